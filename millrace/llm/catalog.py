@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Query name by module.
-MODULES = {"decontaminate": "op1_decontaminate", "quality": "op4_quality_rules"}
+MODULES = {"decontaminate": "op1_decontaminate", "quality": "op4_quality_rules", "licenses": "op8_license_scan"}
 
 
 def queries() -> dict:
