@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Query name by module.
-MODULES = {"packing": "op2_packing", "decontaminate": "op1_decontaminate", "quality": "op4_quality_rules", "licenses": "op8_license_scan"}
+MODULES = {"linededup": "op7_line_dedup", "packing": "op2_packing", "decontaminate": "op1_decontaminate", "quality": "op4_quality_rules", "licenses": "op8_license_scan"}
 
 
 def queries() -> dict:

@@ -25,3 +25,34 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put(path: str, data: bytes) -> None:
+    """Writes a file of the shared folder from any executor; a repeated attempt replaces it whole."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    store.create_dir(name.rpartition("/")[0])
+    draft = f"{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(draft) as f:
+        f.write(data)
+    store.move(draft, name)
+
+
+def get(path: str) -> bytes:
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_file(name) as f:
+        return f.read()
+
+
+def mapped(path: str):
+    """A file's bytes as an array: memory-mapped where the shared folder is mounted, else read into memory."""
+    import numpy as np
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    if isinstance(store, fs.LocalFileSystem):
+        return np.memmap(name, dtype=np.uint8, mode="r")
+    return np.frombuffer(get(path), dtype=np.uint8)
