@@ -155,8 +155,8 @@ def pack(
             nonlocal of
             for b in batches:
                 of = b.schema.field(0).type
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    yield from packer.add(doc, code.encode(text.as_py()) + end)
+                for doc, ids in zip(b.column(0).to_pylist(), code.encode_all(t.as_py() for t in b.column(1)), strict=True):
+                    yield from packer.add(doc, ids + end)
             yield from packer.flush()
 
         of = None

@@ -36,8 +36,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 _tables: list[np.ndarray] = []
 
 
-def _block(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of ``data`` and the places where they begin."""
+def _block(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of ``data`` and the places where they begin and end."""
     if not _tables or len(_tables[0]) < len(data) + 1:
         n = max(BLOCK, len(data)) + 1
         _tables[:] = [_powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n)]
@@ -47,14 +47,12 @@ def _block(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(table[data] * _tables[0][: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _tables[1][starts] + (ends - starts).astype(np.uint64)), starts
+    return mix((sums[ends] - sums[starts]) * _tables[1][starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def word_hashes(texts: list[bytes | None], fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """All words' hashes in order and the number of words of each text; ``fold`` lower-cases A-Z."""
-    texts = [t or b"" for t in texts]
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    table, hashes, starts, at = _FOLDED if fold else _TABLE, [], [], 0
+def words_of(data: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of ``data``; ``fold`` lower-cases A-Z."""
+    table, found, at = _FOLDED if fold else _TABLE, [], 0
     while at < len(data):
         end = min(at + BLOCK, len(data))
         if end < len(data) and not _SPACE[data[end]]:
@@ -62,17 +60,22 @@ def word_hashes(texts: list[bytes | None], fold: bool) -> tuple[np.ndarray, np.n
             if len(back):
                 end = at + int(back[-1]) + 1
             else:  # a word longer than a block
-                ahead = end
-                while ahead < len(data) and not _SPACE[data[ahead : ahead + BLOCK]].any():
-                    ahead += BLOCK
-                end = min(len(data), ahead + int(np.argmax(_SPACE[data[ahead : ahead + BLOCK]])) + 1 if ahead < len(data) else len(data))
-        h, s = _block(data[at:end], table)
-        hashes.append(h)
-        starts.append(s + at)
+                while end < len(data) and not _SPACE[data[end : end + BLOCK]].any():
+                    end += BLOCK
+                end = end + int(np.argmax(_SPACE[data[end : end + BLOCK]])) + 1 if end < len(data) else len(data)
+        h, s, e = _block(data[at:end], table)
+        found.append((h, s + at, e + at))
         at = end
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)
-    return np.concatenate(hashes), counts
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def word_hashes(texts: list[bytes | None], fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All words' hashes in order and the number of words of each text; ``fold`` lower-cases A-Z."""
+    texts = [t or b"" for t in texts]
+    hashes, starts, _ = words_of(np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8), fold)
+    return hashes, np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
 
 
 def window_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
