@@ -29,22 +29,27 @@ from millrace.llm.storage import shared_folder
 from millrace.llm.wordhash import mix
 
 #: Ids that the rolling hash sees; a chunk ends where MASK bits of it are 0; least and most ids of a chunk.
-ROLL, MASK, LEAST, MOST = 12, (1 << 8) - 1, 64, 1024
+ROLL, MASK, LEAST, MOST = 12, (1 << 9) - 1, 128, 2048
 #: Chunks whose payload a task remembers having sent.
 REMEMBER = 200_000
+#: Ids that are cut together.
+GROUP = 1 << 20
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids; they depend on nothing but the ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    g = mix(ids.astype(np.uint64) + np.uint64(1))
-    roll = np.zeros(n, dtype=np.uint64)
-    for k in range(ROLL):
-        roll[k:] += g[: n - k] * np.uint64(2 * k + 1) << np.uint64(k)
-    marks, ends, last = (np.flatnonzero((mix(roll) & np.uint64(MASK)) == 0) + 1).tolist(), [], 0
-    for m in [*marks, n]:
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash would end a chunk, in a stream of ids; the first ROLL - 1 places of a text depend on what
+    stands before it, and lie where no chunk may end."""
+    g = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1))[ids] if ids.max(initial=0) < 1 << 16 else mix(ids.astype(np.uint64) + np.uint64(1))
+    roll = np.zeros(len(ids), dtype=np.uint64)
+    for k in range(min(ROLL, len(ids))):
+        roll[k:] += g[: len(ids) - k] * np.uint64((2 * k + 1) << k)
+    return np.flatnonzero((roll >> np.uint64(23)) & np.uint64(MASK) == 0) + 1
+
+
+def chunk_ends(n: int, places: list[int]) -> list[int]:
+    """Ends of the chunks of a document of ``n`` ids, given the marks inside it."""
+    ends, last = [], 0
+    for m in [*places, n]:
         while m - last > MOST:
             last += MOST
             ends.append(last)
@@ -102,35 +107,49 @@ def write_store(
     schema = f"kind string, key binary, id {kind_of}, n_tokens long, hashes array<binary>, sizes array<int>, n int, width int, payload binary"
     names = ["kind", "key", "id", "n_tokens", "hashes", "sizes", "n", "width", "payload"]
 
+    def take(docs_of: Iterator, group: list[bytes], rows: list[tuple], sent: set[bytes], kind: np.dtype) -> None:
+        """Cuts the documents of ``group`` into chunks; adds the chunks that weren't sent, and the recipes."""
+        ids = np.frombuffer(b"".join(group), dtype="<u4")
+        data, at = memoryview(ids.astype(kind).tobytes()), marks(ids)
+        edges = np.cumsum([0, *(len(g) // 4 for g in group)])
+        first = np.searchsorted(at, edges, side="right").tolist()
+        at, edges, width = at.tolist(), edges.tolist(), kind.itemsize
+        for a, b, i, j in zip(edges, edges[1:], first, first[1:], strict=False):
+            doc, hashes, sizes, last = next(docs_of), [], [], 0
+            for e in chunk_ends(b - a, [m - a for m in at[i:j]]):
+                payload = data[width * (a + last) : width * (a + e)]
+                h = blake2b(payload, digest_size=16).digest()
+                hashes.append(h)
+                sizes.append(e - last)
+                if h not in sent:
+                    if len(sent) >= REMEMBER:
+                        sent.clear()
+                    sent.add(h)
+                    rows.append(("chunk", h, None, None, None, None, e - last, width, bytes(payload)))
+                last = e
+            rows.append(("recipe", blake2b(b"".join(hashes[:4]) + repr(doc).encode(), digest_size=16).digest(), doc, b - a, hashes, sizes, None, None, None))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, sent = encoder(tokenizer, kind), set()
-        end, width = np.array([end_id], dtype="<u4").tobytes(), np.dtype(code.width).itemsize
+        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            of, rows, held = batch.schema.field(0).type, [], 0
+            of, rows = batch.schema.field(0).type, []
 
-            def out(of=of) -> pa.RecordBatch:
+            def out() -> pa.RecordBatch:
                 types = [pa.string(), pa.binary(), of, pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-            for doc, raw in zip(batch.column(0).to_pylist(), code.encode_all(t.as_py() for t in batch.column(1)), strict=True):
-                ids = np.frombuffer(raw + end, dtype="<u4")
-                data, hashes, sizes, last = ids.astype(code.width).tobytes(), [], [], 0
-                for e in chunk_ends(ids):
-                    payload = data[width * last : width * e]
-                    h = blake2b(payload, digest_size=16).digest()
-                    hashes.append(h)
-                    sizes.append(e - last)
-                    if h not in sent:
-                        if len(sent) >= REMEMBER:
-                            sent.clear()
-                        sent.add(h)
-                        rows.append(("chunk", h, None, None, None, None, e - last, width, payload))
-                        held += len(payload)
-                    last = e
-                rows.append(("recipe", blake2b(b"".join(hashes[:4]) + repr(doc).encode(), digest_size=16).digest(), doc, len(ids), hashes, sizes, None, None, None))
-                if held >= 8 << 20:
+            docs_of, group, size = iter(batch.column(0).to_pylist()), [], 0
+            for raw in code.encode_all(t.as_py() for t in batch.column(1)):
+                group.append(raw + end)
+                size += len(raw) // 4 + 1
+                if size >= GROUP:
+                    take(docs_of, group, rows, sent, np.dtype(code.width))
+                    group, size = [], 0
                     yield out()
-                    rows, held = [], 0
+                    rows = []
+            if group:
+                take(docs_of, group, rows, sent, np.dtype(code.width))
             if rows:
                 yield out()
 
@@ -145,7 +164,7 @@ def write_store(
             yield b.filter(pa.array(keep))
 
     rows = docs.select(id_col, text_col).mapInArrow(cut, schema).repartition("key").sortWithinPartitions("kind", "key").mapInArrow(once, schema)
-    rows.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/draft")
+    rows.write.partitionBy("kind").option("compression", "lz4").parquet(f"{folder}/draft")
     spark = docs.sparkSession
     draft = spark.read.schema(schema.replace("kind string, ", "") + ", kind string").parquet(f"{folder}/draft")
     recipes = draft.where("kind = 'recipe'").select("id", "n_tokens", "hashes", "sizes")
