@@ -17,6 +17,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="millrace-"))
         root = f"file://{_own[0]}"
+    # With its scheme, so that Spark and Python workers mean the same store.
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
