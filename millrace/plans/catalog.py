@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from importlib import import_module
+
+from millrace.plans.register import ORACLES, QUERIES
+
+for _module in ("retrieval", "textual", "documents", "extras"):
+    import_module(f"millrace.plans.{_module}")
 
 
 def queries() -> dict:
