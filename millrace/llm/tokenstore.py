@@ -2,7 +2,7 @@
 
 Files of a store, all Parquet below one folder:
 
-``chunks``     ``hash`` (BLAKE2b-128 of the payload), ``n`` ids, ``payload`` (little-endian ids of ``width`` bytes);
+``draft``      (kind "chunk") ``key`` (BLAKE2b-128 of the payload), ``n`` ids, ``payload`` (little-endian ids of ``width`` bytes);
                a chunk is there once, however many documents hold it.
 ``manifest``   one row per document in ascending id order: id, ``part`` (file order) and ``local`` (ids before it in
                the part), ``n_tokens``, ``hashes`` and ``sizes`` of its chunks in order (the recipe), ``root`` (Merkle
@@ -32,6 +32,7 @@ from millrace.llm.wordhash import mix
 ROLL, MASK, LEAST, MOST = 12, (1 << 9) - 1, 128, 2048
 #: Chunks whose payload a task remembers having sent.
 REMEMBER = 200_000
+MANIFEST = "id {}, n_tokens long, hashes array<binary>, sizes array<int>, part int, local long, root binary"
 #: Ids that are cut together.
 GROUP = 1 << 20
 
@@ -179,7 +180,7 @@ def write_store(
             roots = [merkle(h) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(roots, pa.binary())], [*b.schema.names, "part", "local", "root"])
 
-    manifest = f"id {kind_of}, n_tokens long, hashes array<binary>, sizes array<int>, part int, local long, root binary"
+    manifest = MANIFEST.format(kind_of)
     ordered.mapInArrow(number, manifest).write.option("compression", "zstd").parquet(f"{folder}/manifest")
     saved = spark.read.schema(manifest).parquet(f"{folder}/manifest")
     # One row a part: the only thing that is put in one order by a single task.
@@ -188,9 +189,11 @@ def write_store(
     parts.withColumn("first", first).coalesce(1).write.parquet(f"{folder}/parts")
 
 
-def _tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    chunks = spark.read.parquet(f"{folder}/draft").where("kind = 'chunk'").select(F.col("key").alias("hash"), "n", "width", "payload")
-    manifest = spark.read.parquet(f"{folder}/manifest").join(F.broadcast(spark.read.parquet(f"{folder}/parts").select("part", "first")), "part")
+def _tables(spark: SparkSession, folder: str, id_type: str) -> tuple[DataFrame, DataFrame]:
+    chunks = spark.read.schema("key binary, n int, width int, payload binary, kind string").parquet(f"{folder}/draft").where("kind = 'chunk'")
+    chunks = chunks.select(F.col("key").alias("hash"), "n", "width", "payload")
+    parts = spark.read.schema("part int, first long").parquet(f"{folder}/parts")
+    manifest = spark.read.schema(MANIFEST.format(id_type)).parquet(f"{folder}/manifest").join(F.broadcast(parts), "part")
     return chunks, manifest.withColumn("start", F.col("first") + F.col("local"))
 
 
@@ -231,13 +234,13 @@ def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([start, n.cast(pa.int64()), pa.array(x.astype(np.int64))], ["start", "n", "x"])
 
 
-def read_digests(spark: SparkSession, folder: str) -> DataFrame:
+def read_digests(spark: SparkSession, folder: str, id_type: str = "long") -> DataFrame:
     """One row per document, from the files: id, ``start, n_tokens, ids_crc32`` of the reconstructed ids.
 
     Every payload is read and held against its address, every recipe against its Merkle root; the CRC-32 of a
     document is put together from those of its chunks, so that payloads don't travel.
     """
-    chunks, manifest = _tables(spark, folder)
+    chunks, manifest = _tables(spark, folder, id_type)
     read = chunks.mapInArrow(_checked, "hash binary, n int, crc long")
     uses = manifest.select("start", "hashes", "sizes", "root").mapInArrow(_recipes, "start long, hash binary, size int, after long")
     joined = uses.join(read, "hash", "left").select("start", "size", "n", "after", "crc")
@@ -247,9 +250,9 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("id", "start", F.when(F.col("n_read") == F.col("n_tokens"), F.col("n_tokens")).otherwise(wrong).alias("n_tokens"), "ids_crc32")
 
 
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+def read_ids(spark: SparkSession, folder: str, id_type: str = "long") -> DataFrame:
     """One row per document, from the files: id, ``start`` and ``ids`` (array), put together from its chunks."""
-    chunks, manifest = _tables(spark, folder)
+    chunks, manifest = _tables(spark, folder, id_type)
     uses = manifest.select("id", "start", F.posexplode("hashes").alias("k", "hash")).join(chunks, "hash")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
