@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import numpy as np
 
-_ONE = np.uint64(1)
+_ONE, _BYTES, _TOPS = np.uint64(1), np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: By byte and r, the place of its r-th one.
+_IN_BYTE = np.array([(*(k for k in range(8) if b >> k & 1), *[0] * 8)[r] for b in range(256) for r in range(8)], dtype=np.uint64)
 
 
 def build(values: np.ndarray, universe: int) -> bytes:
     """The bytes for ascending ``values`` (64-bit unsigned), all below ``universe``; a whole number of 8-byte words."""
     n = len(values)
-    low = max(0, (universe // max(1, n)).bit_length() - 1)
-    if low > 56:
-        raise ValueError("the universe is too large for so few numbers")
+    low = min(56, max(0, (universe // max(1, n)).bit_length() - 1))  # low bits are read from 8 bytes at any bit
     if low:
         bits = np.zeros((n, low), dtype=np.uint8)
         for k in range(low):
@@ -50,20 +50,31 @@ class Sequence:
 
     @staticmethod
     def _in_word(words: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """The place of the ``r``-th one in each word."""
-        pos = np.zeros(len(words), dtype=np.int64)
-        for s in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(words & np.uint64((1 << s) - 1)).astype(np.int64)
-            go = r >= c
-            r = np.where(go, r - c, r)
-            words = np.where(go, words >> np.uint64(s), words)
-            pos += np.where(go, s, 0)
-        return pos
+        """The place of the ``r``-th one in each word: its byte by sums of the bytes' ones, then a table."""
+        x = words - ((words >> _ONE) & np.uint64(0x5555555555555555))
+        x = (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
+        sums = ((x + (x >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
+        r = r.astype(np.uint64)
+        place = np.bitwise_count(((r * _BYTES | _TOPS) - sums) & _TOPS).astype(np.uint64) << np.uint64(3)
+        rest = r - ((sums << np.uint64(8)) >> place & np.uint64(0xFF))
+        byte = (words >> place) & np.uint64(0xFF)
+        return (place + _IN_BYTE[(byte << np.uint64(3) | rest).astype(np.int64)]).astype(np.int64)
 
-    def _select(self, ranks: np.ndarray, i: np.ndarray, ones: bool) -> np.ndarray:
+    def _select(self, i: np.ndarray, ones: bool, following: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """The places of the ``i``-th ones (or zeros), and if asked for of those after them."""
+        ranks = self.ones if ones else self.zeros
         word = np.searchsorted(ranks, i.astype(np.uint64), side="right") - 1
-        w = self.words[word]
-        return 64 * word + self._in_word(w if ones else ~w, i - ranks[word].astype(np.int64))
+        w = self.words[word] if ones else ~self.words[word]
+        bit = self._in_word(w, i - ranks[word].astype(np.int64))
+        place = 64 * word + bit
+        if not following:
+            return place, None
+        above = w & ~((_ONE << bit.astype(np.uint64)) * np.uint64(2) - _ONE)
+        after = 64 * word + np.bitwise_count((above & (~above + _ONE)) - _ONE)
+        rest = np.flatnonzero(above == 0)
+        if len(rest):
+            after[rest] = self._select(i[rest] + 1, ones)[0]
+        return place, after
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -74,17 +85,28 @@ class Sequence:
     def get(self, i: np.ndarray) -> np.ndarray:
         """The ``i``-th numbers."""
         i = np.asarray(i, dtype=np.int64)
-        high = self._select(self.ones, i, True) - i
+        high = self._select(i, True)[0] - i
         return high.astype(np.uint64) << np.uint64(self.low) | self._low(i)
 
+    def get_both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ``i``-th numbers and those after them."""
+        i = np.asarray(i, dtype=np.int64)
+        place, after = self._select(i, True, True)
+        low = np.uint64(self.low)
+        return (place - i).astype(np.uint64) << low | self._low(i), (after - i - 1).astype(np.uint64) << low | self._low(i + 1)
+
     def find(self, target: np.ndarray, first: np.ndarray | int = 0, last: np.ndarray | None = None) -> np.ndarray:
         """Where each target stands among the numbers ``first`` to ``last`` (exclusive), -1 if it doesn't."""
         high = (target >> np.uint64(self.low)).astype(np.int64)
-        edges = np.zeros((2, len(target)), dtype=np.int64)
-        some = high > 0
-        edges[0, some] = self._select(self.zeros, high[some] - 1, False) + 1 - high[some]
-        edges[1] = self._select(self.zeros, high, False) - high
-        a, b = np.maximum(edges[0], first), edges[1] if last is None else np.minimum(edges[1], last)
+        # A high part's numbers stand between the zero before it (none before the first) and its own.
+        before, own = np.full(len(target), -1, dtype=np.int64), np.zeros(len(target), dtype=np.int64)
+        some = np.flatnonzero(high > 0)
+        before[some], own[some] = self._select(high[some] - 1, False, True)
+        none = np.flatnonzero(high == 0)
+        own[none] = self._select(high[none], False)[0]
+        a, b = np.maximum(before + 1 - high, first), own - high
+        if last is not None:
+            b = np.minimum(b, last)
         end, low = b, target & self.mask
         while True:
             open_ = np.flatnonzero(a < b)

@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm import chunks as C
 from millrace.llm.eliasfano import Sequence, build
-from millrace.llm.storage import get, mapped, put, shared_folder
+from millrace.llm.storage import get, mapped, put, shared_folder, written
 from millrace.llm.wordhash import word_hashes
 
 #: Discount; steps of the stored logarithms: log10 p by 1/32, log10 of a weight by 1/64.
 DISCOUNT, P_STEP, W_STEP = 0.75, 32, 64
+PROBABILITIES, WEIGHTS = (10.0 ** (-np.arange(256) / step) for step in (P_STEP, W_STEP))
 #: The token after each text's words, as a hash; no word has it but by chance.
 END = np.uint64(0x2545F4914F6CDD1D)
 
@@ -39,21 +40,41 @@ def training(doc_id, fold: int = 2, folds: int = 7) -> bool:
 
 
 class Streams:
-    """A chunk's tokens as hashes: for each document an END that begins it, its words, and its END."""
+    """A chunk's tokens: for each document an END that begins it, its words, and its END; as hashes at first, and as
+    word numbers once the vocabulary is there."""
 
-    def __init__(self, data: bytes):
-        self.ids, texts = C.read(data)
-        words, counts = word_hashes(texts, fold=True)
-        n, ends = counts + 2, np.cumsum(counts + 2)
-        self.tokens = np.full(int(n.sum()), END, dtype=np.uint64)
-        inside = np.ones(len(self.tokens), dtype=bool)
-        inside[ends - 1] = False
-        inside[ends - n] = False
-        self.tokens[inside] = words
+    def __init__(self, ids: list, counts: np.ndarray):
+        self.ids, self.counts, n = ids, counts, counts + 2
+        ends = np.cumsum(n)
+        self.first, self.last = ends - n, ends - 1
         self.doc = np.repeat(np.arange(len(n)), n)
-        self.place = np.arange(len(self.tokens)) - np.repeat(ends - n, n)
-        self.learn = np.array([training(i) for i in self.ids], dtype=bool)
-        self.counts = counts
+        self.place = np.arange(int(n.sum())) - np.repeat(ends - n, n)
+        self.learn = np.array([training(i) for i in ids], dtype=bool)
+
+    @staticmethod
+    def of_texts(data: bytes) -> Streams:
+        ids, texts = C.read(data)
+        words, counts = word_hashes(texts, fold=True)
+        s = Streams(ids, counts)
+        s.tokens = np.full(len(s.doc), END, dtype=np.uint64)
+        inside = np.ones(len(s.doc), dtype=bool)
+        inside[s.first] = inside[s.last] = False
+        s.tokens[inside] = words
+        return s
+
+    def save(self, number: np.ndarray) -> bytes:
+        known = np.array([i is not None for i in self.ids], dtype=np.uint8)
+        ids = np.array([i or 0 for i in self.ids], dtype="<i8")
+        head = np.array([len(ids), len(number)], dtype="<u8").tobytes()
+        return head + C.squeeze(known.tobytes() + ids.tobytes() + self.counts.astype("<u4").tobytes() + C.planes((number + 1).astype("<u4")))
+
+    @staticmethod
+    def of_numbers(data: bytes) -> tuple[Streams, np.ndarray]:
+        n, m = np.frombuffer(data[:16], dtype="<u8").tolist()
+        raw = C.unsqueeze(data[16:])
+        ids = [i if k else None for k, i in zip(raw[:n], np.frombuffer(raw[n : 9 * n], dtype="<i8").tolist(), strict=True)]
+        s = Streams(ids, np.frombuffer(raw[9 * n : 13 * n], dtype="<u4").astype(np.int64))
+        return s, C.unplanes(raw[13 * n :], "<u4", m).astype(np.int64) - 1
 
 
 class Vocabulary:
@@ -67,22 +88,34 @@ class Vocabulary:
             hashes = Sequence(data)
             self.parts.append((hashes, Sequence(data[hashes.size :])))
 
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number (-1: unknown) and count of each of some ascending hashes."""
-        number, count = np.full(len(h), -1, dtype=np.int64), np.zeros(len(h), dtype=np.int64)
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        """The number of each of some ascending hashes, -1 if it is unknown."""
+        number = np.full(len(h), -1, dtype=np.int64)
         for shard, a, b in C.runs(C.shard_of(h, len(self.parts))):
-            hashes, sums = self.parts[shard]
-            base = np.uint64(shard) * _width(len(self.parts))
-            at = hashes.find((h[a:b] - base) if len(self.parts) > 1 else h[a:b] >> np.uint64(0))
+            at = self.parts[shard][0].find(h[a:b] - np.uint64(_base(shard, len(self.parts))))
             some = np.flatnonzero(at >= 0)
             number[a + some] = self.first[shard] + at[some]
-            count[a + some] = (sums.get(at[some] + 1) - sums.get(at[some])).astype(np.int64)
-        return number, count
+        return number
+
+    def counts(self, number: np.ndarray) -> np.ndarray:
+        """The count of each of some numbers; 0 for -1."""
+        order = np.argsort(number)
+        n = number[order]
+        starts = C.starts_of(n)
+        unique, count = n[starts], np.zeros(len(starts), dtype=np.int64)
+        shard = np.searchsorted(self.first, unique, side="right") - 1
+        for k, a, b in C.runs(shard):
+            if k >= 0:
+                first, last = self.parts[k][1].get_both(unique[a:b] - self.first[k])
+                count[a:b] = (last - first).astype(np.int64)
+        out = np.empty(len(n), dtype=np.int64)
+        out[order] = np.repeat(count, np.diff(np.concatenate([starts, [len(n)]])))
+        return out
 
 
-def _width(shards: int) -> np.uint64:
-    """The least hash of shard 1: where C.shard_of goes from 0 to 1."""
-    return np.uint64(-(-(1 << 32) // shards) << 32) if shards > 1 else np.uint64(0)
+def _base(shard: int, shards: int) -> int:
+    """The least hash of a shard, by C.shard_of."""
+    return -(-(shard << 32) // shards) << 32
 
 
 class Level:
@@ -100,15 +133,16 @@ class Level:
         """The entry of each word after its node, -1 if none; nodes ascend, so each range is read once."""
         starts = C.starts_of(node)
         unique, of = node[starts], np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(node)]])))
-        both = self.pointers.get(np.concatenate([unique, unique + 1])).astype(np.int64)
-        first, last = both[: len(unique)], both[len(unique) :]
-        base, some = np.zeros(len(unique), dtype=np.uint64), first > 0
+        first, last = (x.astype(np.int64) for x in self.pointers.get_both(unique))
+        base, top = np.zeros(len(unique), dtype=np.uint64), np.zeros(len(unique), dtype=np.uint64)
+        full = last > first
+        some = full & (first > 0)
         base[some] = self.words.get(first[some] - 1) + np.uint64(1)
-        out, open_ = np.full(len(node), -1, dtype=np.int64), np.flatnonzero((last > first)[of])
+        top[full] = self.words.get(last[full] - 1)
+        out, open_ = np.full(len(node), -1, dtype=np.int64), np.flatnonzero(full[of])
         if len(open_):
             k = of[open_]
             target = base[k] + word[open_].astype(np.uint64)
-            top = self.words.get(np.maximum(last - 1, 0))
             inside = target <= top[k]
             open_, k = open_[inside], k[inside]
             out[open_] = self.words.find(target[inside], first[k], last[k])
@@ -141,65 +175,67 @@ class Trie:
         self.vocabulary, self.shards, self.order = Vocabulary(folder, sizes), shards, order
         self.levels = {(k, s): Level(mapped(f"{folder}/{k}-{s}")) for k in range(2, order + 1) for s in range(shards)}
 
-    def numbers(self, s: Streams) -> tuple[np.ndarray, np.ndarray]:
-        """Word number and count of each token."""
+    def numbers(self, s: Streams) -> np.ndarray:
+        """The word number of each token."""
         order = np.argsort(s.tokens)
         h = s.tokens[order]
         starts = C.starts_of(h)
-        number, count = self.vocabulary.look_up(h[starts])
-        times, out = np.diff(np.concatenate([starts, [len(h)]])), np.empty((2, len(h)), dtype=np.int64)
-        out[0, order], out[1, order] = np.repeat(number, times), np.repeat(count, times)
-        return out[0], out[1]
+        out = np.empty(len(h), dtype=np.int64)
+        out[order] = np.repeat(self.vocabulary.look_up(h[starts]), np.diff(np.concatenate([starts, [len(h)]])))
+        return out
 
     def parents(self, level: int, shard: int) -> int:
         """How many nodes the level before has in a shard."""
         return -(-(self.vocabulary.n - shard) // self.shards) if level == 2 else self.levels[level - 1, shard].n
 
-    def walk(self, number: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the tokens with k - 1 tokens before them, whose context of k - 1 tokens is a node: their places in the
-        stream, the node of the context, and its shard."""
-        at = np.flatnonzero(place >= k - 1)
-        first = number[at - k + 1]
-        known = first >= 0
-        at, first = at[known], first[known]
-        shard, node = first % self.shards, first // self.shards
-        for j in range(2, k):
-            entry = self.entries(j, shard, node, number[at - k + j])
-            known = entry >= 0
-            at, shard, node = at[known], shard[known], entry[known]
-        return at, node, shard
+    def contexts(self, number: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+        """For k from 2 to one above the trie's order: the tokens whose k - 1 tokens before them are a node, that
+        node and its shard, and (up to the order) the entry that each token is there, -1 if it is none."""
+        at = np.flatnonzero(number >= 0)
+        shard, entry = number[at] % self.shards, number[at] // self.shards
+        for k in range(2, self.order + 2):
+            # An n-gram that ends at a token is the context of the token after it, if one stands there.
+            ok = at + 1 < len(place)
+            at, shard, entry = at[ok] + 1, shard[ok], entry[ok]
+            ok = place[at] > 0
+            at, shard, node = at[ok], shard[ok], entry[ok]
+            if k > self.order:
+                yield k, at, node, shard, None
+                return
+            entry = self.entries(k, shard, node, number[at])
+            yield k, at, node, shard, entry
+            ok = entry >= 0
+            at, shard, entry = at[ok], shard[ok], entry[ok]
 
     def entries(self, k: int, shard: np.ndarray, node: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The entries of level k, -1 where there are none."""
-        order = np.lexsort((word, node, shard))
-        s, n, w = shard[order], node[order], word[order]
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (n[1:] != n[:-1]) | (w[1:] != w[:-1])]) if len(s) else np.zeros(0, bool)
-        s, n, w, of = s[new], n[new], w[new], np.cumsum(new) - 1
-        found = np.full(len(s), -1, dtype=np.int64)
-        for shard_, a, b in C.runs(s):
-            some = a + np.flatnonzero(w[a:b] >= 0)
-            if len(some):
-                found[some] = self.levels[k, shard_].find(n[some], w[some])
-        out = np.empty(len(order), dtype=np.int64)
-        out[order] = found[of] if len(order) else found
+        out = np.full(len(node), -1, dtype=np.int64)
+        known = np.flatnonzero(word >= 0)
+        known = known[np.argsort(shard[known].astype(np.int32), kind="stable")]
+        key = node[known].astype(np.uint64) << np.uint64(32) | word[known].astype(np.uint64)
+        for part, a, b in C.runs(shard[known]):
+            order = np.argsort(key[a:b])
+            ks = key[a:b][order]
+            starts = C.starts_of(ks)
+            found = self.levels[k, part].find((ks[starts] >> np.uint64(32)).astype(np.int64), (ks[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            out[known[a:b][order]] = np.repeat(found, np.diff(np.concatenate([starts, [len(ks)]])))
         return out
 
-    def scores(self, s: Streams, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, s: Streams, number: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token its count, log10 of the base probability and log10 of the model's; of END at a start 0."""
-        number, count = self.numbers(s)
+        count = self.vocabulary.counts(number)
         p = (count + 1) / (total + self.vocabulary.n + 1)
         base = np.log10(p)
-        for k in range(2, self.order + 1):
-            at, node, shard = self.walk(number, s.place, k)
-            entry = self.entries(k, shard, node, number[at])
-            weight, seen = np.ones(len(at)), np.zeros(len(at))
-            for part in range(self.shards):
-                own = np.flatnonzero(shard == part)
-                if len(own):
-                    level, e = self.levels[k, part], entry[own]
-                    weight[own] = 10.0 ** (-level.weight[node[own]].astype(float) / W_STEP)
-                    some = own[e >= 0]
-                    seen[some] = 10.0 ** (-level.p[e[e >= 0]].astype(float) / P_STEP)
+        for k, at, node, shard, entry in self.contexts(number, s.place):
+            if entry is None:
+                break
+            weight, seen = np.empty(len(at)), np.zeros(len(at))
+            order = np.argsort(shard.astype(np.int32), kind="stable")
+            for part, a, b in C.runs(shard[order]):
+                own, level = order[a:b], self.levels[k, part]
+                weight[own] = WEIGHTS[level.weight[node[own]]]
+                some = own[entry[own] >= 0]
+                seen[some] = PROBABILITIES[level.p[entry[some]]]
             p[at] = seen + weight * p[at]
         model = np.log10(p)
         base[s.place == 0] = model[s.place == 0] = 0
@@ -252,7 +288,7 @@ def lm_scores(docs: DataFrame, order: int = 3, keep: int = 2, id_col: str = "doc
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for file in rows["file"]:
-                s = Streams(get(f"{folder}/{file}"))
+                s = Streams.of_texts(get(f"{folder}/{file}"))
                 h = np.sort(s.tokens[s.learn[s.doc] & (s.place > 0)])
                 starts = C.starts_of(h)
                 n = np.diff(np.concatenate([starts, [len(h)]]))
@@ -262,10 +298,10 @@ def lm_scores(docs: DataFrame, order: int = 3, keep: int = 2, id_col: str = "doc
     def write_words(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
         key, count = merge(rows)
-        top = (1 << 64) - int(_width(shards)) * shard if shard == shards - 1 else int(_width(shards))
-        key = key - np.uint64(shard) * _width(shards)
+        base = _base(shard, shards)
+        top, key = _base(shard + 1, shards) - base, key - np.uint64(base)
         sums = np.concatenate([[0], np.cumsum(count)]).astype(np.uint64)
-        put(f"{trie}/1-{shard}", build(key, max(top, int(key[-1]) + 1)) + build(sums, int(sums[-1]) + 1))
+        put(f"{trie}/1-{shard}", build(key, top) + build(sums, int(sums[-1]) + 1))
         return pd.DataFrame({"shard": [shard], "n": [len(key)], "tokens": [int(count.sum())]})
 
     words = spread.mapInPandas(count_words, sent).repartition(shards, "shard").groupBy("shard").applyInPandas(write_words, "shard int, n long, tokens long")
@@ -275,23 +311,30 @@ def lm_scores(docs: DataFrame, order: int = 3, keep: int = 2, id_col: str = "doc
             put(f"{trie}/1-{k}", build(np.zeros(0, np.uint64), 1) + build(np.zeros(1, np.uint64), 1))
     sizes, total = [made[k]["n"] if k in made else 0 for k in range(shards)], sum(r["tokens"] for r in made.values())
 
+    def save_numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = _trie(trie, sizes, shards, 1)
+        for rows in batches:
+            for file in rows["file"]:
+                s = Streams.of_texts(get(f"{folder}/{file}"))
+                put(f"{trie}/n-{file}", s.save(t.numbers(s)))
+            yield rows[["file"]]
+
+    numbered = written(spread.mapInPandas(save_numbers, "file string"), "lm-numbered").repartition(parts, "file")
+
     for level in range(2, order + 1):
 
         def count_ngrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t = _trie(trie, sizes, shards, level - 1)
             for rows in batches:
                 for file in rows["file"]:
-                    s = Streams(get(f"{folder}/{file}"))
-                    learnt = s.learn[s.doc]
-                    number = np.where(learnt, t.numbers(s)[0], -1)
-                    at, node, shard = t.walk(number, s.place, level)
+                    s, number = Streams.of_numbers(get(f"{trie}/n-{file}"))
+                    *_, (_, at, node, shard, _) = t.contexts(np.where(s.learn[s.doc], number, -1), s.place)
                     key = node.astype(np.uint64) << np.uint64(32) | number[at].astype(np.uint64)
-                    out = []
-                    for part in range(shards):
-                        k = np.sort(key[shard == part])
+                    out, order_ = [], np.argsort(shard.astype(np.int32), kind="stable")
+                    for part, a, b in C.runs(shard[order_]):
+                        k = np.sort(key[order_[a:b]])
                         starts = C.starts_of(k)
-                        if len(k):
-                            out.append((part, k[starts], np.diff(np.concatenate([starts, [len(k)]]))))
+                        out.append((part, k[starts], np.diff(np.concatenate([starts, [len(k)]]))))
                     yield send(out)
 
         def write_ngrams(rows: pd.DataFrame) -> pd.DataFrame:
@@ -302,7 +345,7 @@ def lm_scores(docs: DataFrame, order: int = 3, keep: int = 2, id_col: str = "doc
             put(f"{trie}/{level}-{shard}", data)
             return pd.DataFrame({"shard": [shard]})
 
-        found = spread.mapInPandas(count_ngrams, sent).repartition(shards, "shard").groupBy("shard").applyInPandas(write_ngrams, "shard int")
+        found = numbered.mapInPandas(count_ngrams, sent).repartition(shards, "shard").groupBy("shard").applyInPandas(write_ngrams, "shard int")
         there = {r["shard"] for r in found.collect()}  # a number a shard
         if len(there) < shards:  # shards without an n-gram
             t = Trie(trie, sizes, shards, level - 1)
@@ -314,8 +357,8 @@ def lm_scores(docs: DataFrame, order: int = 3, keep: int = 2, id_col: str = "doc
         t = _trie(trie, sizes, shards, order)
         for rows in batches:
             for file in rows["file"]:
-                s = Streams(get(f"{folder}/{file}"))
-                count, base, model = t.scores(s, total)
+                s, number = Streams.of_numbers(get(f"{trie}/n-{file}"))
+                count, base, model = t.scores(s, number, total)
                 known = np.bincount(s.doc, weights=(count > 0) & (s.place > 0), minlength=len(s.ids)).astype(np.int64)
                 yield pd.DataFrame(
                     {
@@ -324,7 +367,7 @@ def lm_scores(docs: DataFrame, order: int = 3, keep: int = 2, id_col: str = "doc
                     }
                 )
 
-    scored = spread.mapInPandas(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = numbered.mapInPandas(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
