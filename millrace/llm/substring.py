@@ -10,52 +10,25 @@ Overlapping windows cover the maximal repeats.  Only sets of hashes travel, once
 
 from __future__ import annotations
 
-import io
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.storage import get, put, shared_folder, written
-from millrace.llm.wordhash import inside_texts, split_texts, window_hashes, word_hashes
+from millrace.llm import chunks as C
+from millrace.llm.storage import get, written
+from millrace.llm.wordhash import inside_texts, window_hashes, word_hashes
 
-#: Bytes of text and documents of a chunk; the hashes of a shard on average; shards at most.
-CHUNK_BYTES, CHUNK_DOCS, SHARD, SHARDS = 6 << 20, 1 << 12, 3_000_000, 1 << 20
 LEAST_ID = -(2**63)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes of equal weight together, which the compressor can use."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
-
-
-def _unplanes(data: bytes, dtype: str, n: int) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(size, n).T).reshape(-1).view(dtype)
-
-
-def _squeeze(data: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(data)
-
-
-def _unsqueeze(data: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
 class Chunk:
     """A chunk file's documents in id order, with their words' hashes."""
 
     def __init__(self, data: bytes):
-        table = pa.ipc.open_file(pa.BufferReader(data)).read_all()
-        self.ids, self.texts = table.column(0).to_pylist(), table.column(1).to_pylist()
+        self.ids, self.texts = C.read(data)
         self.words, self.counts = word_hashes(self.texts, fold=False)
         number = np.array([LEAST_ID if i is None else i for i in self.ids], dtype=np.int64)
         self.rank = np.cumsum(np.diff(number, prepend=number[:1]) != 0) if len(number) else np.zeros(0, np.int64)
@@ -65,7 +38,7 @@ class Chunk:
     def first_keys(self, block: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each rolling window its key (shard, then 32 bits of hash), whether it lies in one text, and if it is a block."""
         h = window_hashes(self.words, block)
-        key = ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
+        key = C.shard_of(h, shards) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
         begin = np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
         aligned = ((np.arange(len(self.words)) - begin) % block == 0)[: len(h)]
         return key, inside_texts(self.counts, block), aligned
@@ -76,7 +49,7 @@ def _set_of(key: np.ndarray, doc: np.ndarray, aligned: np.ndarray) -> tuple[np.n
     both = np.sort(key << np.uint64(12) | doc.astype(np.uint64))
     both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
     keys = both >> np.uint64(12)
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    starts = C.starts_of(keys)
     unique = keys[starts]
     several = np.diff(np.concatenate([starts, [len(keys)]])) > 1
     blocks = np.zeros(len(unique), dtype=bool)
@@ -84,13 +57,6 @@ def _set_of(key: np.ndarray, doc: np.ndarray, aligned: np.ndarray) -> tuple[np.n
     return unique, several, blocks
 
 
-def _slices(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Runs of one shard in an ascending array."""
-    edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else [0]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(shard[a]), int(a), int(b)
-
-
 def _bits(rows: pd.DataFrame, n_of: dict[int, tuple[int, int]], n: int) -> np.ndarray:
     out = np.zeros(n, dtype=bool)
     for shard, bits in zip(rows["shard"], rows["bits"], strict=True):
@@ -107,36 +73,9 @@ def substring_dedup(docs: DataFrame, block: int = 7, id_col: str = "doc_id", tex
     count as one document below all others, and rows with one id as one document.  Null and empty texts have no words
     and come back as ''.  Repeats within one document stay.  Extra columns are ignored; empty tables give no rows.
     """
-    spark, window = docs.sparkSession, 2 * block - 1
-    folder = shared_folder(spark, "substring-chunks")
-
-    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def save() -> pa.RecordBatch:
-            held.sort(key=lambda x: (x[0] is not None, x[0] or 0))
-            name, sink = uuid.uuid4().hex, io.BytesIO()
-            table = pa.table({"id": pa.array([i for i, _ in held], pa.int64()), "text": pa.array([t for _, t in held], pa.binary())})
-            with pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(table)
-            put(f"{folder}/{name}", sink.getvalue())
-            return pa.RecordBatch.from_pydict({"chunk": [name], "n_words": pa.array([sum(len(t or b"") // 2 for _, t in held)], pa.int64())})
-
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), split_texts(b.column(1)), strict=True):
-                if held and (size + len(t or b"") > CHUNK_BYTES or len(held) == CHUNK_DOCS):
-                    yield save()
-                    held, size = [], 0
-                held.append((i, t))
-                size += len(t or b"")
-        if held:
-            yield save()
-
-    chunks = written(docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(stage, "chunk string, n_words long"), "substring-chunk-list")
-    n_chunks, bound = chunks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    shards = int(min(SHARDS, max(1, bound // 3 // SHARD)))
-    parts = int(min(max(1, n_chunks), 1 << 16))
+    window = 2 * block - 1
+    folder, listed, shards, parts = C.stage(docs, id_col, text_col, "substring-chunks")
+    chunks = listed.select(F.col("file").alias("chunk"))
 
     def send_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -145,23 +84,23 @@ def substring_dedup(docs: DataFrame, block: int = 7, id_col: str = "doc_id", tex
                 key, ok, aligned = c.first_keys(block, shards)
                 unique, several, blocks = _set_of(key[ok], c.doc[: len(key)][ok], aligned[ok])
                 out = []
-                for shard, a, b in _slices(unique >> np.uint64(32)):
+                for shard, a, b in C.runs(unique >> np.uint64(32)):
                     v = (unique[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    data = _planes(np.diff(v, prepend=np.uint32(0))) + np.packbits(several[a:b]).tobytes() + np.packbits(blocks[a:b]).tobytes()
-                    out.append((shard, name, b - a, _squeeze(data)))
+                    data = C.planes(np.diff(v, prepend=np.uint32(0))) + np.packbits(several[a:b]).tobytes() + np.packbits(blocks[a:b]).tobytes()
+                    out.append((shard, name, b - a, C.squeeze(data)))
                 yield pd.DataFrame(out, columns=["shard", "chunk", "n", "data"])
 
     def answer_blocks(rows: pd.DataFrame) -> pd.DataFrame:
         vs, several, blocks = [], [], []
         for n, data in zip(rows["n"], rows["data"], strict=True):
-            raw, flags = _unsqueeze(data), -(-n // 8)
-            vs.append(np.cumsum(_unplanes(raw[: 4 * n], "<u4", n), dtype=np.uint32))
+            raw, flags = C.unsqueeze(data), -(-n // 8)
+            vs.append(np.cumsum(C.unplanes(raw[: 4 * n], "<u4", n), dtype=np.uint32))
             several.append(np.unpackbits(np.frombuffer(raw[4 * n : 4 * n + flags], np.uint8), count=n))
             blocks.append(np.unpackbits(np.frombuffer(raw[4 * n + flags :], np.uint8), count=n))
         v = np.concatenate(vs).astype(np.uint64)
         both = np.sort(v << np.uint64(32) | np.arange(len(v), dtype=np.uint64))
         at, v = (both & np.uint64(0xFFFFFFFF)).astype(np.int64), both >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        starts = C.starts_of(v)
         length = np.diff(np.concatenate([starts, [len(v)]]))
         hit = ((length > 1) | np.maximum.reduceat(np.concatenate(several)[at], starts).astype(bool)) & np.maximum.reduceat(np.concatenate(blocks)[at], starts).astype(bool)
         out = np.zeros(len(v), dtype=bool)
@@ -171,21 +110,21 @@ def substring_dedup(docs: DataFrame, block: int = 7, id_col: str = "doc_id", tex
         return pd.DataFrame({"chunk": rows["chunk"], "shard": rows["shard"], "bits": bits})
 
     answer = "chunk string, shard int, bits binary"
-    sent = chunks.select("chunk").repartition(parts, "chunk").mapInPandas(send_blocks, "shard int, chunk string, n int, data binary")
+    sent = chunks.repartition(parts, "chunk").mapInPandas(send_blocks, "shard int, chunk string, n int, data binary")
     first = written(sent.repartition(shards, "shard").groupBy("shard").applyInPandas(answer_blocks, answer), "substring-hits")
 
     def windows(c: Chunk, rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
         """Starts of the windows around hits and, of the distinct ones in order, shard, hash, smallest rank, and which is whose."""
         key, ok, aligned = c.first_keys(block, shards)
         unique, _, _ = _set_of(key[ok], c.doc[: len(key)][ok], aligned[ok])
-        hit_of = _bits(rows, {s: (a, b) for s, a, b in _slices(unique >> np.uint64(32))}, len(unique))
+        hit_of = _bits(rows, {s: (a, b) for s, a, b in C.runs(unique >> np.uint64(32))}, len(unique))
         hit = np.zeros(len(key), dtype=bool)
         hit[ok] = hit_of[np.searchsorted(unique, key[ok])]
         total = np.concatenate([[0], np.cumsum(hit)])
         whole = inside_texts(c.counts, window)
         starts = np.flatnonzero(whole & (total[block : block + len(whole)] - total[: len(whole)] > 0))
         h, g = window_hashes(c.words, window, 1)[starts], window_hashes(c.words, window, 2)[starts]
-        shard = (g >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        shard = C.shard_of(g, shards)
         order = np.lexsort((h, shard))  # stable: equal windows stay in the documents' order
         new = np.ones(len(order), dtype=bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (shard[order][1:] != shard[order][:-1])
@@ -198,19 +137,19 @@ def substring_dedup(docs: DataFrame, block: int = 7, id_col: str = "doc_id", tex
         name, out = rows["chunk"].iloc[0], []
         c = Chunk(get(f"{folder}/{name}"))
         _, shard, h, doc, _ = windows(c, rows)
-        for s, a, b in _slices(shard):
-            out.append((s, name, b - a, _squeeze(_planes(np.diff(h[a:b], prepend=np.uint64(0))) + _planes(c.number[doc[a:b]]))))
+        for s, a, b in C.runs(shard):
+            out.append((s, name, b - a, C.squeeze(C.planes(np.diff(h[a:b], prepend=np.uint64(0))) + C.planes(c.number[doc[a:b]]))))
         return pd.DataFrame(out, columns=["shard", "chunk", "n", "data"])
 
     def answer_windows(rows: pd.DataFrame) -> pd.DataFrame:
         hs, ids = [], []
         for n, data in zip(rows["n"], rows["data"], strict=True):
-            raw = _unsqueeze(data)
-            hs.append(np.cumsum(_unplanes(raw[: 8 * n], "<u8", n), dtype=np.uint64))
-            ids.append(_unplanes(raw[8 * n :], "<i8", n))
+            raw = C.unsqueeze(data)
+            hs.append(np.cumsum(C.unplanes(raw[: 8 * n], "<u8", n), dtype=np.uint64))
+            ids.append(C.unplanes(raw[8 * n :], "<i8", n))
         h, ids = np.concatenate(hs), np.concatenate(ids)
         order = np.argsort(h, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        starts = C.starts_of(h[order])
         least = np.repeat(np.minimum.reduceat(ids[order], starts), np.diff(np.concatenate([starts, [len(h)]])))
         out = np.zeros(len(h), dtype=bool)
         out[order] = least < ids[order]
@@ -224,7 +163,7 @@ def substring_dedup(docs: DataFrame, block: int = 7, id_col: str = "doc_id", tex
     def remove(rows: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(get(f"{folder}/{rows['chunk'].iloc[0]}"))
         starts, shard, h, doc, of = windows(c, rows[rows["step"] == 1])
-        smaller = _bits(rows[rows["step"] == 2], {s: (a, b) for s, a, b in _slices(shard)}, len(h))
+        smaller = _bits(rows[rows["step"] == 2], {s: (a, b) for s, a, b in C.runs(shard)}, len(h))
         gone = smaller[of] | (c.rank[c.doc[starts]] > c.rank[doc[of]] if len(of) else np.zeros(0, dtype=bool))
         edge = np.zeros(len(c.words) + window + 1, dtype=np.int32)
         edge[starts[gone]] += 1
