@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.memory import tidy
 from millrace.llm.storage import put, shared_folder, written
 from millrace.llm.wordhash import split_texts
 
@@ -30,6 +31,7 @@ def stage(docs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = [], 0, TaskContext.get().partitionId() << 24
+        tidy(forget_encoders=True)
 
         def save() -> pa.RecordBatch:
             nonlocal number
@@ -51,6 +53,8 @@ def stage(docs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[str,
                 size += len(t or b"")
         if held:
             yield save()
+            held = []
+        tidy()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "chunk long, file string, size long")
     listed = written(rows, f"{name}-list")

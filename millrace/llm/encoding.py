@@ -202,3 +202,8 @@ def encoder(path: str, kind: str) -> Encoder:
     if (path, kind) not in _encoders:
         _encoders[path, kind] = Encoder(path, kind)
     return _encoders[path, kind]
+
+
+def forget() -> None:
+    """Drops the encoders of this process, which other operators don't need."""
+    _encoders.clear()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import mph
+from millrace.llm.memory import tidy
 from millrace.llm.storage import mapped, put, shared_folder, written
 from millrace.llm.wordhash import split_texts
 
@@ -55,6 +56,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     docs = docs.drop("n_lines", "n_dropped")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(forget_encoders=True)
         for b in batches:
             ids, parts = b.column(0), []
             for text in split_texts(b.column(1)):
@@ -114,6 +116,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
             columns[text_col] = pa.array(out, pa.binary()).cast(pa.string())
             columns |= {"n_lines": pa.array([len(f[0]) for f in found], pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
+        tidy()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_dropped long"
     return docs.withColumn("__id", F.col(id_col).cast("long")).mapInArrow(drop, schema)

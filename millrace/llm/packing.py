@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.encoding import encoder
+from millrace.llm.memory import tidy
 
 #: Penalties in tokens for a cut at the end of a sentence and inside one.
 SENTENCE_CUT, INNER_CUT = 1, 8
@@ -168,6 +169,7 @@ def pack(
                 rows, held = [], 0
         if rows:
             yield out()
+        tidy()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
