@@ -1,9 +1,9 @@
 """HTML main-text extraction with a site style tree.
 
 Every page's elements are merged, host by host, into one tree of style paths (tags with their classes).  For each style
-path two entropies are counted over the host's pages: of presentation (which child elements follow each other) and of
-content (the text below).  What looks and reads alike on page after page has low importance, and a branch that has it
-throughout is removed from each page; elements whose name, role or class says what they are go without counting.
+path two entropies are counted over the host's different pages: of presentation (which child elements follow each other)
+and of content (the text below).  What looks and reads alike on page after page has low importance, and a branch that has
+it throughout is removed from each page; elements whose name, role or class says what they are go without counting.
 """
 
 from __future__ import annotations
@@ -61,6 +61,8 @@ def _digest(text: str) -> int:
 
 #: How an element is dropped: by what it is, or by a class that an article inside may be free of.
 GONE, WRAPPED = 1, 2
+#: What an element holds by its tag or role: the page, or an article.
+PAGE, ARTICLE = 1, 2
 
 
 class Page:
@@ -68,6 +70,7 @@ class Page:
 
     def __init__(self, html: str):
         self.path, self.parent, self.drop, self.main, self.shape = [0], [-1], [0], [False], [0]
+        self.holds = [PAGE]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._parse(html)
 
@@ -98,6 +101,7 @@ class Page:
                     drop = GONE if value.lower() == "true" else drop
                 elif name == "style":
                     drop = GONE if "display:none" in value.replace(" ", "").lower() else drop
+        self.holds.append(PAGE if tag in ("html", "body") else ARTICLE if main and not self.main[top] else 0)
         self.path.append(hash((self.path[top], _name(style))))
         self.shape[top] = hash((self.shape[top], _name(tag)))
         self.parent.append(top)
@@ -221,11 +225,27 @@ class Page:
                 out[path, 1] = hash((out.get((path, 1), 0), text))
         return out
 
+    def _sizes(self) -> list[int]:
+        """Characters of the text below each element, without named furniture."""
+        size = [0] * len(self.path)
+        for e, text, _ in self.blocks:
+            if not self.drop[e]:
+                size[e] += len(text)
+        for e in range(len(size) - 1, 0, -1):
+            size[self.parent[e]] += size[e]
+        return size
+
     def text(self, noise: set[int]) -> str:
-        """The blocks that are left, in page order, joined by an empty line."""
+        """The blocks that are left, in page order, joined by an empty line.  What holds the page, and an article that
+        has most of its text, is never noise."""
+        size, held = self._sizes(), [h == PAGE for h in self.holds]
+        for e, h in enumerate(self.holds):
+            if h == ARTICLE and 2 * size[e] > size[0]:
+                while e >= 0 and not held[e]:
+                    held[e], e = True, self.parent[e]
         noisy = [False] * len(self.path)
         for e, (p, path) in enumerate(zip(self.parent, self.path, strict=True)):
-            noisy[e] = p >= 0 and (noisy[p] or path in noise)
+            noisy[e] = p >= 0 and (noisy[p] or path in noise and not held[e])
         left = [(e, t, n) for e, t, n in self.blocks if not noisy[e] and not self.drop[e]]
         main = [b for b in left if self.main[b[0]]]
         if main:
@@ -253,8 +273,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Character references are decoded and white space in a block becomes one space.  Null html is empty, a null or
     odd url belongs to the host ''.  Broken markup is read as browsers do in the common cases (ends left out, ends
-    without a start, comments and tags that never end).  Pages of any length are read whole; repeated rows are pages of
-    their own; empty tables give no rows; extra columns are ignored.
+    without a start, comments and tags that never end).  Pages of any length are read whole; repeated rows give
+    a row each and count as one page of their host; empty tables give no rows; extra columns are ignored.
     """
     host = F.lower(F.coalesce(F.try_parse_url(F.col(url_col), F.lit("HOST")), F.lit("")))
     pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
@@ -267,8 +287,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             host, path, kind, v = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.int64()), pa.array(kind, pa.int32()), pa.array(v, pa.int64())], ["host", "path", "kind", "value"])
 
-    seen = pages.select("host", "html").mapInArrow(hosts, "host string, path long, kind int, value long").groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
-    # Entropy of the values on the pages of a host, as a share of the most that so many pages could have.
+    # Copies of a page count once; a host's pages lie apart by their hashes.
+    different = pages.groupBy("host", F.xxhash64("html").alias("h"), F.length("html").alias("n")).agg(F.first("html").alias("html")).select("host", "html")
+    seen = different.mapInArrow(hosts, "host string, path long, kind int, value long").groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
+    # Entropy of the values on the different pages of a host, as a share of the most that so many pages could have.
     stats = seen.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), (F.sum(F.col("c") * F.log("c"))).alias("s"))
     stats = stats.withColumn("imp", F.expr("if(m > 1, (ln(m) - s / m) / ln(m), 1D)"))
     tree = stats.groupBy("host", "path").agg(

@@ -178,3 +178,27 @@ def test_branches_that_read_alike_on_a_site_go(spark):
     pages += [(99, None, None), (100, "not a url", "<div class='x'>Same words everywhere</div>")]
     got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got[3] == "Story 3 is new" and got[99] == "" and got[100] == "Same words everywhere"
+
+
+def main_texts(spark, pages):
+    from millrace.llm.sitestyle import extract_main_text
+
+    return {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<html><body><div class='x'>Site line</div><article><p>{}</p></article></body></html>".format
+    copied = "The story that was copied again and again, with some words to it."
+    pages = [(i, "http://copies.org/a", page(copied)) for i in range(12)]
+    pages += [(100 + i, "http://mixed.org/a", page(copied)) for i in range(800)]
+    pages += [(1000 + i, f"http://mixed.org/{i}", page(f"Story {i} is new and has words of its own.")) for i in range(200)]
+    got = main_texts(spark, pages)
+    assert {got[i] for i in range(12)} == {got[100 + i] for i in range(800)} == {copied}
+    assert all(got[1000 + i] == f"Story {i} is new and has words of its own." for i in range(200))
+
+
+def test_pages_and_articles_are_never_noise():
+    from millrace.llm.sitestyle import Page
+
+    page = Page("<html><body><div class='w'><article><p>The article of the page.</p></article></div><div class='x'>Words</div></body></html>")
+    assert page.text(set(page.path[:5])) == "The article of the page."
