@@ -3,12 +3,14 @@
 Every page's elements are merged, host by host, into one tree of style paths (tags with their classes).  For each style
 path two entropies are counted over the host's different pages: of presentation (which child elements follow each other)
 and of content (the text below).  What looks and reads alike on page after page has low importance, and a branch that has
-it throughout is removed from each page; elements whose name, role or class says what they are go without counting.
+it throughout is removed from each page; elements whose name, role or class says what they are go without counting.  What is
+left outside of <article> and <main> gives way to them unless it is more than the largest of them.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -38,6 +40,10 @@ OUTSIDE = frozenset("header masthead topbar topnav logo branding alert blogroll"
 OTHERS = frozenset("comment comments commentlist disqus replies reply related recommended recommendations sponsored promo".split())
 #: A branch is noise below this importance, on hosts where its path is on at least so many pages.
 IMPORTANCE, PAGES, GAMMA = 0.25, 8, 0.9
+#: On hosts where a path is on fewer pages, but on so many, it is noise if it reads alike on all of them.
+FEW_PAGES = 3
+#: Words of classes that name articles which stand for another page.
+TEASERS = frozenset("card cards teaser teasers preview excerpt summary tile".split())
 #: Noise paths (8 bytes each) that are broadcast at most; beyond that pages are joined with their host's by shuffle.
 BROADCAST_PATHS = 1_000_000
 
@@ -70,12 +76,13 @@ class Page:
 
     def __init__(self, html: str):
         self.path, self.parent, self.drop, self.main, self.shape = [0], [-1], [0], [False], [0]
-        self.holds = [PAGE]
+        self.holds, self.teaser = [PAGE], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._parse(html)
 
     def _open(self, tag: str, rest: str, top: int) -> int:
         drop, main, style = self.drop[top], self.main[top] or tag in ("article", "main"), tag
+        teaser = False
         if drop == WRAPPED and tag in ("article", "main"):  # a class that only says what stands beside the article
             drop = 0
         if tag in NEVER or tag == "header" and not self.main[top]:
@@ -85,6 +92,7 @@ class Page:
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id"):
                     words = {w.lower() for w in _WORDS.findall(value)}
+                    teaser |= bool(words & TEASERS)
                     if tag not in ("body", "html"):
                         if words & OTHERS:
                             drop = GONE
@@ -101,6 +109,7 @@ class Page:
                     drop = GONE if value.lower() == "true" else drop
                 elif name == "style":
                     drop = GONE if "display:none" in value.replace(" ", "").lower() else drop
+        self.teaser.append(teaser)
         self.holds.append(PAGE if tag in ("html", "body") else ARTICLE if main and not self.main[top] else 0)
         self.path.append(hash((self.path[top], _name(style))))
         self.shape[top] = hash((self.shape[top], _name(tag)))
@@ -235,9 +244,11 @@ class Page:
             size[self.parent[e]] += size[e]
         return size
 
-    def text(self, noise: set[int]) -> str:
-        """The blocks that are left, in page order, joined by an empty line.  What holds the page, and an article that
-        has most of its text, is never noise."""
+    def text(self, noise: set[int], few: set[int] = frozenset()) -> str:
+        """The blocks that are left, in page order, joined by an empty line.
+
+        What holds the page, and an article that has most of its text, is never noise.  ``few`` is noise that few pages
+        tell of: it holds outside articles only, and never for a branch that has most of the page's text."""
         size, held = self._sizes(), [h == PAGE for h in self.holds]
         for e, h in enumerate(self.holds):
             if h == ARTICLE and 2 * size[e] > size[0]:
@@ -245,20 +256,40 @@ class Page:
                     held[e], e = True, self.parent[e]
         noisy = [False] * len(self.path)
         for e, (p, path) in enumerate(zip(self.parent, self.path, strict=True)):
-            noisy[e] = p >= 0 and (noisy[p] or path in noise and not held[e])
+            alike = path in noise or path in few and not self.main[e] and 2 * size[e] <= size[0]
+            noisy[e] = p >= 0 and (noisy[p] or alike and not held[e])
         left = [(e, t, n) for e, t, n in self.blocks if not noisy[e] and not self.drop[e]]
-        main = [b for b in left if self.main[b[0]]]
-        if main:
-            return "\n\n".join(t for _, t, _ in main)
-        # Without an article: lists that are links for the most part are menus.
-        size: dict[int, list[int]] = {}
+        # Lists outside articles that are links for the most part are menus.
+        lists: dict[int, list[int]] = {}
         for e, t, n in left:
-            s = size.setdefault(self.parent[e], [0, 0, 0])
+            s = lists.setdefault(self.parent[e], [0, 0, 0])
             s[0] += len(t)
             s[1] += n
             s[2] += n > 0
-        menus = {e for e, (all_, linked, n) in size.items() if n >= 3 and 10 * linked >= 8 * all_}
-        return "\n\n".join(t for e, t, _ in left if self.parent[e] not in menus)
+        menus = {e for e, (all_, linked, n) in lists.items() if n >= 3 and 10 * linked >= 8 * all_}
+        outside = [b for b in left if not self.main[b[0]] and self.parent[b[0]] not in menus]
+        if len(outside) == len(left):
+            return "\n\n".join(t for _, t, _ in left)
+        # Text in links doesn't weigh.  The tags decide unless more text stands outside than in the largest article.
+        weight = lambda blocks: sum(max(0, len(t) - n) for _, t, n in blocks)
+        articles: dict[int, list[tuple[int, str, int]]] = {}
+        for b in left:
+            if self.main[b[0]]:
+                articles.setdefault(self._article(b[0]), []).append(b)
+        if weight(outside) <= max(map(weight, articles.values()), default=0):
+            return "\n\n".join(t for e, t, _ in left if self.main[e])
+        # The page's article is outside: what stands for other pages goes, what else there is stays.
+        alike = Counter(self.path[a] for a in articles)
+        less = sum(map(weight, articles.values())) < weight(outside)
+        gone = {a for a, bs in articles.items() if self.teaser[a] or 2 * weight(bs) < sum(len(t) for _, t, _ in bs) or less and alike[self.path[a]] > 1}
+        stays = lambda e: self._article(e) not in gone if self.main[e] else self.parent[e] not in menus
+        return "\n\n".join(t for e, t, _ in left if stays(e))
+
+    def _article(self, e: int) -> int:
+        """The outermost article around an element that is in one."""
+        while self.main[self.parent[e]]:
+            e = self.parent[e]
+        return e
 
 
 #: For elements whose end may be left out: where the search for an open one stops, and which it ends.
@@ -297,17 +328,20 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         F.max("m").alias("m"), F.max(F.expr("if(kind = 0, imp, null)")).alias("look"), F.max(F.expr("if(kind = 1, imp, null)")).alias("read")
     )
     # An element's content covers all below it, so a path that reads alike everywhere has no varied branch in it.
-    noise = tree.where(f"m >= {PAGES} AND read < {IMPORTANCE} AND {1 - GAMMA} * look + {GAMMA} * read < {IMPORTANCE}").groupBy("host").agg(F.collect_list("path").alias("noise"))
+    low = f"read < {IMPORTANCE} AND {1 - GAMMA} * look + {GAMMA} * read < {IMPORTANCE}"
+    noise = tree.where(f"m >= {PAGES} AND {low} OR m >= {FEW_PAGES} AND m < {PAGES} AND read < 1e-9").groupBy("host")
+    noise = noise.agg(*(F.expr(f"collect_list(if(m {test} {PAGES}, path, null))").alias(name) for name, test in (("noise", ">="), ("few", "<"))))
     noise = written(noise, "site-noise")
-    n_noise = noise.agg(F.coalesce(F.sum(F.size("noise")), F.lit(0))).first()[0]
+    n_noise = noise.agg(F.coalesce(F.sum(F.size("noise") + F.size("few")), F.lit(0))).first()[0]
     if n_noise <= BROADCAST_PATHS:
         noise = F.broadcast(noise)
-    joined = pages.join(noise, "host", "left").select("id", "url", "html", "noise")
+    joined = pages.join(noise, "host", "left").select("id", "url", "html", "noise", "few")
     kind_of = pages.schema["id"].dataType.simpleString()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [Page(html.as_py() or "").text(set(noise.as_py() or ())) for html, noise in zip(b.column(2), b.column(3), strict=True)]
+            columns = zip(b.column(2), b.column(3), b.column(4), strict=True)
+            out = [Page(html.as_py() or "").text(set(noise.as_py() or ()), set(few.as_py() or ())) for html, noise, few in columns]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], [id_col, url_col, "text"])
 
     return joined.mapInArrow(texts, f"`{id_col}` {kind_of}, `{url_col}` string, text string")

@@ -202,3 +202,31 @@ def test_pages_and_articles_are_never_noise():
 
     page = Page("<html><body><div class='w'><article><p>The article of the page.</p></article></div><div class='x'>Words</div></body></html>")
     assert page.text(set(page.path[:5])) == "The article of the page."
+
+
+POST = "The post of this page goes on for some sentences. It says more than a teaser says, and it has no link. That is what the reader came for."
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<div class='post'><p>{POST}</p></div><article class='card'><h3><a>Other one</a></h3><p>Read on.</p></article><article class='card'><h3><a>Other two</a></h3></article>", POST),
+        (f"<article class='x'><p>One of many.</p></article><article class='x'><p>Two of many.</p></article><div class='post'><p>{POST}</p></div>", POST),
+        (f"<div class='post'><p>{POST}</p></div><article><p>A short article.</p></article>", f"{POST}\n\nA short article."),
+        (f"<div class='post'><p>{POST}</p></div><div><p>And more.</p></div>", f"{POST}\n\nAnd more."),
+        (f"<div><p>Beside it.</p></div><article><p>{POST}</p></article>", POST),
+        (f"<div><p>Beside it.</p></div><main><div class='post'><p>{POST}</p></div></main>", POST),
+    ],
+)
+def test_text_outside_of_articles(html, text):
+    from millrace.llm.sitestyle import Page
+
+    assert Page(html).text(set()) == text
+
+
+def test_branches_that_read_alike_on_a_small_site_go(spark):
+    pages = [(i, f"http://small.org/{i}", f"<div class='x'>Same words</div><div class='y'><p>Story {i} is new here.</p></div>") for i in range(4)]
+    pages += [(10 + i, f"http://print.org/{i}", f"<div class='x'>Visit {i}</div><div class='y'><p>{POST}</p></div>") for i in range(4)]
+    got = main_texts(spark, pages)
+    assert [got[i] for i in range(4)] == [f"Story {i} is new here." for i in range(4)]
+    assert all(POST in got[10 + i] for i in range(4))
