@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``, with
 ``n_chars`` kept true.  Nulls: a document without text has no words and is rejected by the first stage.  Rows that
-repeat an id and a text count once after the third stage.  Null ids are documents of their own; where one of them leads
-its group, all that have no id stay.  Empty tables give empty results; extra columns are carried along.
+repeat an id and a text count once after the third stage.  Decisions join back by id and text, so documents whose ids
+are null or repeated are documents of their own.  Empty tables give empty results; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.decontaminate import decontaminate
+from millrace.llm.exprs import with_row_key
 from millrace.llm.jaccard import jaccard_components
 from millrace.llm.linededup import line_dedup
 from millrace.llm.packing import pack
@@ -43,16 +44,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
-    leads = jaccard_components(docs.select("doc_id", "text")).where("leads").select(F.col("doc_id").alias("__lead")).distinct()
-    kept = docs.join(leads, F.col("doc_id").eqNullSafe(F.col("__lead")), "left_semi")
-    return kept.withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).select(*docs.columns)
+    key = {"__id": "doc_id", "__h": "text_hash", "__n": "text_bytes"}
+    leads = jaccard_components(docs.select("doc_id", "text")).where("leads").select(F.struct(*(F.col(c).alias(k) for k, c in key.items())).alias("__row")).distinct()
+    row = F.struct(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("__n"))
+    return docs.withColumn("__row", row).join(leads, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are contaminated by the benchmark go."""
-    found = decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    found = decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"), with_key=True)
+    gone = found.where("contaminated").select("__key").distinct()
+    return with_row_key(docs, "doc_id", "text").join(gone, "__key", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

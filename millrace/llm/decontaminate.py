@@ -26,6 +26,7 @@ def _shingles(words: str, width: int) -> str:
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3, share: int = 20,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    with_key: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_words, n_hit, n_items, items`` (sorted array) and ``contaminated``.
 
@@ -35,9 +36,10 @@ def decontaminate(
 
     Null or empty texts have no words and are never hit; null or wordless items have no windows; an item whose id is
     null still hits words but is not listed.  Repeated rows of either table are judged alike, each document row giving
-    a row.  Extra columns are ignored, whatever their names.  Texts are taken whole.
+    a row.  Extra columns are ignored, whatever their names.  Texts are taken whole.  ``with_key`` adds the row's
+    ``__key`` (``exprs.with_row_key``), by which verdicts join back where ids are null or repeated.
     """
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, ["__key"] if with_key else []
     docs = X.with_row_key(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), "__id", "__t")
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.expr(X.plain_words(f"`{item_text_col}`")).alias("w")).where("size(w) > 0")
     windows = (
@@ -55,6 +57,7 @@ def decontaminate(
         return docs.select(
             F.col("__id").alias(id_col), F.expr(f"cast(size({X.plain_words('__t')}) as bigint)").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"),
             F.lit(0).cast("bigint").alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"),
+            *key,
         )
     wanted = parts[0]
     for p in parts[1:]:
@@ -101,7 +104,7 @@ def decontaminate(
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("bigint")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return out.select(
         F.col("__id").alias(id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items",
-        F.expr(f"n_hit > 0 AND {share} * n_hit >= n_words").alias("contaminated"),
+        F.expr(f"n_hit > 0 AND {share} * n_hit >= n_words").alias("contaminated"), *key,
     )
 
 

@@ -68,9 +68,18 @@ def _keys(tokens: np.ndarray, shards: int) -> np.ndarray:
     return C.shard_of(tokens, shards) << np.uint64(32) | (tokens & np.uint64(0xFFFFFFFF))
 
 
+def _text_keys(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the hash that Spark's xxhash64 gives, and its bytes; a null text is the seed and 0."""
+    from xxhash import xxh64_intdigest
+
+    h = np.array([42 if t is None else xxh64_intdigest(t, seed=42) for t in texts], dtype=np.uint64).view(np.int64)
+    return h, np.array([len(t or b"") for t in texts], dtype=np.int32)
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles, n_links`` (sets other than its own that were found linked to its
-    set directly), ``component_id`` and ``leads`` (true for one row of each component).
+    set directly), ``component_id`` and ``leads`` (true for one row of each component); also ``text_hash`` (Spark's
+    xxhash64) and ``text_bytes``, which tell rows of one id apart.
 
     A set: distinct ``width``-word shingles of the text, A-Z lower-cased, words between ASCII white space; with fewer
     words the whole sequence as one.  Sets link when their intersection is at least ``percent`` of their union;
@@ -86,13 +95,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for chunk, file in zip(rows["chunk"], rows["file"], strict=True):
-                s = Sets(get(f"{folder}/{file}"), width)
+                data = get(f"{folder}/{file}")
+                s = Sets(data, width)
                 a, b = s.digests()
                 sid = (chunk << bits) + np.arange(len(s.ids))
-                yield pd.DataFrame({"id": pd.array(s.ids, dtype="Int64"), "sid": sid, "n": s.sizes, "a": a, "b": b})
+                h, size = _text_keys(C.read(data)[1])
+                yield pd.DataFrame({"id": pd.array(s.ids, dtype="Int64"), "sid": sid, "n": s.sizes, "a": a, "b": b, "h": h, "size": size})
 
     spread = listed.repartition(parts, "chunk")
-    sets = written(spread.mapInPandas(digest, "id long, sid long, n long, a long, b long"), "jaccard-sets")
+    sets = written(spread.mapInPandas(digest, "id long, sid long, n long, a long, b long, h long, size int"), "jaccard-sets")
     classes = written(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("sid").alias("class"), F.min("id").alias("least")), "jaccard-classes")
     leads = classes.groupBy(F.shiftright("class", bits).alias("chunk")).agg(F.collect_list((F.col("class") % (1 << bits)).cast("int")).alias("rows"))
     held = written(listed.join(leads, "chunk"), "jaccard-leads")  # at most CHUNK_DOCS rows a chunk
@@ -218,6 +229,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     return rows.join(chosen, "sid", "left").select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("leads", F.lit(False)).alias("leads"),
+        F.col("h").alias("text_hash"), F.col("size").alias("text_bytes"),
     )
 
 

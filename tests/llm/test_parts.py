@@ -230,3 +230,20 @@ def test_branches_that_read_alike_on_a_small_site_go(spark):
     got = main_texts(spark, pages)
     assert [got[i] for i in range(4)] == [f"Story {i} is new here." for i in range(4)]
     assert all(POST in got[10 + i] for i in range(4))
+
+
+def test_pipeline_stages_tell_null_and_repeated_ids_apart(spark, tmp_path):
+    import corpus_pipeline as P
+
+    words = lambda name, n=40: " ".join(f"{name}{i}é" for i in range(n))
+    spark.createDataFrame([(1, words("item"))], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = lambda stage, rows: sorted((r["doc_id"] or 0, r["text"] or "") for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect())
+    rows = [(None, words("item")), (None, words("clean")), (None, None), (7, words("item") + " end"), (7, words("other")), (8, words("third"))]
+    assert found(P.benchmark_stage, rows) == [(0, ""), (0, words("clean")), (7, words("other")), (8, words("third"))]
+    near = words("near", 200)
+    rows = [(None, near), (None, near + " a"), (None, near + " b"), (None, words("clean")), (None, words("clean"))]
+    assert len(found(P.near_stage, rows)) == 2
+    far = words("far", 200)
+    rows = [(5, near), (5, far), (4, near + " a"), (6, far + " a"), (5, far + " b"), (5, far), (9, None)]
+    kept = found(P.near_stage, rows)
+    assert len(kept) == 3 and (4, near + " a") in kept and {(d, t[:3]) for d, t in kept} == {(4, "nea"), (5, "far"), (9, "")}
