@@ -5,7 +5,8 @@ a set's order (rarest first) only the first n - ceil(t n) + 1 shingles need list
 a set with enough shingles of its own drops out here.  A list's entries have the shingle's position: entries whose rests
 are too short for the threshold are skipped.  In each list the set with the lowest position leads: it is compared with
 the others, and what lies in its component has its answers by the leader.  Only sets of one list that are still in
-different components are compared with each other afterwards.
+different components are compared with each other afterwards.  That finds the components; where the number of links is
+asked for, the sets of a component are compared with each other at last, block by block.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from millrace.llm.wordhash import mix, window_hashes, word_hashes
 
 #: Counts of classes per shingle are exact below this; more common shingles are ordered by hash.
 MOST_COUNTED = (1 << 16) - 1
+#: Sets of a component that are compared with as many others at once, and shingles that are looked at at once for that.
+BLOCK, SLICE = 128, 4096
 
 
 class Sets:
@@ -76,9 +79,32 @@ def _text_keys(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.array([len(t or b"") for t in texts], dtype=np.int32)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles, n_links`` (sets other than its own that were found linked to its
-    set directly), ``component_id`` and ``leads`` (true for one row of each component); also ``text_hash`` (Spark's
+def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of some sets shares with each of others."""
+    a, b = np.concatenate(xs), np.concatenate(ys)
+    of_a, of_b = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (xs, ys))
+    shared, out = np.intersect1d(a, b), np.zeros((len(xs), len(ys)), dtype=np.int64)
+    sides = []
+    for tokens, of, n in ((a, of_a, len(xs)), (b, of_b, len(ys))):
+        at = np.searchsorted(shared, tokens)
+        ok = at < len(shared)
+        ok[ok] = shared[at[ok]] == tokens[ok]
+        order = np.argsort(at[ok], kind="stable")
+        sides.append((at[ok][order], of[ok][order], n))
+    for start in range(0, len(shared), SLICE):
+        held = []
+        for at, of, n in sides:
+            lo, hi = np.searchsorted(at, [start, start + SLICE])
+            m = np.zeros((n, min(SLICE, len(shared) - start)), dtype=np.float32)
+            m[of[lo:hi], at[lo:hi] - start] = 1
+            held.append(m)
+        out += (held[0] @ held[1].T).astype(np.int64)
+    return out
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, ``n_shingles``, with ``links`` ``n_links`` (sets other than its own that are linked
+    to its set directly, all of them), ``component_id`` and ``leads`` (true for one row of each component); also ``text_hash`` (Spark's
     xxhash64) and ``text_bytes``, which tell rows of one id apart.
 
     A set: distinct ``width``-word shingles of the text, A-Z lower-cased, words between ASCII white space; with fewer
@@ -218,16 +244,43 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     cross = left.join(rest.select("token", F.col("root").alias("s"), F.struct("sid", "n", "pos").alias("y")), ["token", "s"]).where(fits("x", "y"))
     cross = cross.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
     more = written(verified(cross.join(known.select("a", "b"), ["a", "b"], "left_anti")), "jaccard-more")
-    links = known.where("linked").unionByName(more.where("linked")).select("a", "b")
-    labels = components(links)
-    degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
+    labels = components(known.where("linked").unionByName(more.where("linked")).select("a", "b"))
+
+    def count_links(rows: pd.DataFrame) -> pd.DataFrame:
+        """The links of two blocks' sets with each other, or of a block's own."""
+        p, q = rows["p"].iloc[0], rows["q"].iloc[0]
+        blocks = [rows[rows["own"] == k] for k in (p, q)]
+        if not len(blocks[0]) or not len(blocks[1]):  # a block that no set fell into
+            return pd.DataFrame({"class": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+        x, y = ([np.frombuffer(s, dtype="<u8") for s in b["tokens"]] for b in blocks)
+        common = _common(x, y)
+        linked = 100 * common >= t * (np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None] - common)
+        if p == q:
+            np.fill_diagonal(linked, False)
+        out = [(blocks[0]["node"].to_numpy(), linked.sum(axis=1)), (blocks[1]["node"].to_numpy(), linked.sum(axis=0))][: 1 if p == q else 2]
+        return pd.DataFrame({"class": np.concatenate([n for n, _ in out]), "n": np.concatenate([c for _, c in out]).astype(np.int64)})
+
+    def degrees() -> DataFrame:
+        """``class, n_links`` of the sets that have any.  All sets of a component are compared, but for pairs on their own."""
+        placed = labels.join(labels.groupBy("root").agg(F.count("*").alias("k")), "root")
+        placed = written(placed.withColumn("blocks", F.expr(f"cast(ceil(k / {BLOCK}) as int)")), "jaccard-members")
+        members = candidates.select(F.col("sid").alias("node"), "tokens").join(placed.where("k > 2"), "node")
+        dealt = members.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        dealt = dealt.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "tokens")
+        counted = dealt.groupBy("root", "p", "q").applyInPandas(count_links, "class long, n long").groupBy("class").agg(F.sum("n").alias("n_links"))
+        return counted.unionByName(placed.where("k = 2").select(F.col("node").alias("class"), F.lit(1).cast("long").alias("n_links")))
+
     found = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = found.groupBy("root").agg(F.min("least").alias("component_id"), F.min("class").alias("lead"))
-    found = found.join(least, "root").join(degree, "class", "left").select("n", "a", "b", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root")
+    found = found.join(least, "root")
+    counted = ["n_links"] if links else []
+    if links:
+        found = found.join(degrees(), "class", "left")
+    found = found.select("n", "a", "b", "component_id", *counted, "root")
     rows = sets.join(found, ["n", "a", "b"], "left")
     chosen = rows.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "sid")).alias("c")).select(F.col("c.sid").alias("sid"), F.lit(True).alias("leads"))
     return rows.join(chosen, "sid", "left").select(
-        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counted),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("leads", F.lit(False)).alias("leads"),
         F.col("h").alias("text_hash"), F.col("size").alias("text_bytes"),
     )
@@ -237,6 +290,11 @@ def query(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
+def links_query(spark, sf_dir: str) -> DataFrame:
+    """The join with each document's number of links, all of them."""
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), links=True).select("doc_id", "n_shingles", "n_links", "component_id")
+
+
 SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
@@ -246,3 +304,14 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
 """
+#: The same with the number of sets that are linked to a document's own; documents of one set have one of them as key.
+LINKS_SQL = (
+    SQL[: SQL.rindex("SELECT d.doc_id")].rstrip()
+    + r""",
+e AS (SELECT p.a, min(p.b) AS b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE c = x.n AND c = y.n GROUP BY p.a),
+k AS (SELECT d.doc_id, least(d.doc_id, coalesce(e.b, d.doc_id)) AS k FROM d LEFT JOIN e ON e.a = d.doc_id),
+g AS (SELECT l.a, count(DISTINCT y.k) AS n_links FROM l JOIN k x ON x.doc_id = l.a JOIN k y ON y.doc_id = l.b WHERE x.k <> y.k GROUP BY l.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g ON g.a = d.doc_id
+"""
+)

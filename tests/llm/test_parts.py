@@ -247,3 +247,15 @@ def test_pipeline_stages_tell_null_and_repeated_ids_apart(spark, tmp_path):
     rows = [(5, near), (5, far), (4, near + " a"), (6, far + " a"), (5, far + " b"), (5, far), (9, None)]
     kept = found(P.near_stage, rows)
     assert len(kept) == 3 and (4, near + " a") in kept and {(d, t[:3]) for d, t in kept} == {(4, "nea"), (5, "far"), (9, "")}
+
+
+@pytest.mark.parametrize("block", [2, 128])
+def test_no_link_inside_a_component_is_lost(spark, monkeypatch, block):
+    from millrace.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*base[: 40 * k], f"new{k}", *base[40 * k + 1 :]]) for k in range(7)] + ["a pair of its own it is", "A pair of its own it is", "alone with these words here now"]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_components(docs, links=True).collect()}
+    assert got == {**dict.fromkeys(range(7), 6), 7: 0, 8: 0, 9: 0, 10: 6}
