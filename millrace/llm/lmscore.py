@@ -373,3 +373,8 @@ def lm_scores(docs: DataFrame, order: int = 3, keep: int = 2, id_col: str = "doc
 
 def query(spark, sf_dir: str) -> DataFrame:
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def all_query(spark, sf_dir: str) -> DataFrame:
+    """Scores by all n-grams of the training documents, those seen once too."""
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=1)
