@@ -190,6 +190,12 @@ def text_sufficiency(spark, d):
     return table(spark, d, "documents").select("doc_id", text.is_insufficient(t).alias("insufficient"))
 
 
+@query("text_sufficiency_whole", r"WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^ -~]', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents) SELECT doc_id, coalesce(length(t) < 50 OR length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) < 25, true) AS insufficient FROM s")
+def text_sufficiency_whole(spark, d):
+    """The whole text of each document is judged."""
+    return table(spark, d, "documents").select("doc_id", text.is_insufficient(F.expr(r"regexp_replace(text, '[^ -~]', '')")).alias("insufficient"))
+
+
 @query("mock_embed", "SELECT item_id, 64 AS dim, CAST(('0x' || substr(sha256(text), 1, 2)) AS INTEGER) AS first_byte FROM benchmark")
 def mock_embed(spark, d):
     v = table(spark, d, "benchmark").select("item_id", vectors.mock_embedding("text", 64).alias("v"), F.conv(F.substring(F.sha2("text", 256), 1, 2), 16, 10).cast("int").alias("first_byte"))

@@ -134,3 +134,13 @@ def test_agent_replans_and_gives_up():
     assert len(tried) == 3 and events[-1]["sources"] == []
     events = list(providers.Agent(lambda q: [{"filename": "f", "text": "t"}]).events("q"))
     assert events[-1]["sources"] == ["f"]
+
+
+def test_whole_texts_are_judged_for_sufficiency(spark, tmp_path):
+    from millrace.plans import catalog
+
+    whole = "A sentence that goes on for quite some more than fifty letters and signs."
+    rows = [(90, whole), (5, whole), (95, whole * 9), (1, "short"), (2, "." * 200), (3, None), (4, "  " + "a" * 49 + " "), (6, "a" * 50)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["insufficient"] for r in catalog.queries()["text_sufficiency_whole"](spark, str(tmp_path)).collect()}
+    assert got == {90: False, 5: False, 95: False, 1: True, 2: True, 3: True, 4: True, 6: False}
