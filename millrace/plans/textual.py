@@ -107,6 +107,27 @@ def sections(spark, d):
     return s.select("doc_id", F.array_join(F.transform("s", lambda x: F.concat(x["heading"], F.lit("="), F.replace(x["content"], F.lit("\n"), F.lit(" ")))), ";").alias("sections"))
 
 
+def whole(spark, d):
+    """Whole texts with the noisy phrase put to their ends."""
+    return table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.expr(_NOISY.format(s="string"))).alias("t"))
+
+
+#: Repairs of whole texts.  SQL can't say them, as its patterns fit the phrase alone; a test holds them on a fixture.
+_REPAIRS = {
+    "ocr_fix_tags": ocr.fix_tags, "ocr_fix_numbers": ocr.fix_numbers, "ocr_fix_units": ocr.normalize_units, "ocr_fix_dates": ocr.fix_dates,
+    "unverified_mark": lambda t: ocr.mark_doubtful(t, (F.col("doc_id") % 10) / 10), "ocr_repair": lambda t: ocr.repair(F.col(t), (F.col("doc_id") % 10) / 10),
+}
+for _name, _repair in _REPAIRS.items():
+    query(f"{_name}_whole")(lambda spark, d, f=_repair: whole(spark, d).select("doc_id", f("t").alias("fixed")))
+
+
+@query("sections_whole")
+def sections_whole(spark, d):
+    """Sections of whole texts with the headings put to their ends."""
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.expr(_SECTIONS.format(s="string")))
+    return table(spark, d, "documents").select("doc_id", ocr.sections(t).alias("s")).select("doc_id", F.array_join(F.transform("s", lambda x: F.concat(x["heading"], F.lit("="), F.replace(x["content"], F.lit("\n"), F.lit(" ")))), ";").alias("sections"))
+
+
 @query("semantic_chunks")
 def semantic_chunks(spark, d):
     return chunking.semantic_chunks(table(spark, d, "documents"), "doc_id", "text")

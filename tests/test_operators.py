@@ -144,3 +144,24 @@ def test_whole_texts_are_judged_for_sufficiency(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["insufficient"] for r in catalog.queries()["text_sufficiency_whole"](spark, str(tmp_path)).collect()}
     assert got == {90: False, 5: False, 95: False, 1: True, 2: True, 3: True, 4: True, 6: False}
+
+
+def test_repairs_read_whole_texts(spark, tmp_path):
+    from millrace.plans import catalog
+
+    body = "Prose that stays.\n# Body\nSee TT 2O5 at 3O bar, 7 mpa, on 0l/1O/2023. " + "word " * 3000
+    spark.createDataFrame([(13, body), (8, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: {r[0]: r[1] for r in catalog.queries()[f"{name}_whole"](spark, str(tmp_path)).collect()}
+    end = "Valve PT l4O at 1O3 kpa on 1l/O5/2024 near xv"
+    parts = {
+        "ocr_fix_tags": ("TT 2O5", "TT-205", "PT l4O", "PT-140"), "ocr_fix_numbers": ("3O bar", "30 bar", "1O3 kpa", "103 kpa"), "ocr_fix_units": ("7 mpa", "7 MPa", "kpa", "kPa"),
+        "ocr_fix_dates": ("0l/1O/2023", "01/10/2023", "1l/O5/2024", "11/05/2024"), "unverified_mark": ("3O bar, 7 mpa", "3O bar [UNVERIFIED], 7 mpa [UNVERIFIED]", "1O3 kpa", "1O3 kpa [UNVERIFIED]"),
+    }
+    for name, (a, b, c, d) in parts.items():
+        got = run(name)
+        assert got[13] == body.replace(a, b) + " " + end.replace(c, d), name
+        assert got[8].startswith(" Valve PT")
+    got = run("ocr_repair")[13]
+    assert "TT-205 at 30 bar [UNVERIFIED], 7 MPa [UNVERIFIED], on 01/10/2023." in got and "PT-140 at 103 kPa [UNVERIFIED] on 11/05/2024" in got and len(got) > len(body)
+    sections = run("sections")
+    assert sections[13].startswith("Body=See TT 2O5") and sections[13].endswith(";First=13;LIMITS:=a b;1.2 TRIP SETTINGS=") and sections[8] == "First=8;LIMITS:=a b;1.2 TRIP SETTINGS="
