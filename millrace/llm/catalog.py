@@ -8,7 +8,7 @@ from importlib import import_module
 MODULES = {"lmscore": "op9_lm_scoring", "sitestyle": "op3_html_extraction", "jaccard": "op10_jaccard_join", "substring": "op6_substring_dedup", "tokenstore": "op5_token_store", "linededup": "op7_line_dedup", "packing": "op2_packing", "decontaminate": "op1_decontaminate", "quality": "op4_quality_rules", "licenses": "op8_license_scan"}
 
 #: Further queries of a module: module, function, SQL.
-MORE = {"op10_jaccard_links": ("jaccard", "links_query", "LINKS_SQL"), "op9_lm_scoring_all": ("lmscore", "all_query", None)}
+MORE = {"op8_license_scan_decided": ("licenses", "decided_query", "DECIDED_SQL"), "op10_jaccard_links": ("jaccard", "links_query", "LINKS_SQL"), "op9_lm_scoring_all": ("lmscore", "all_query", None)}
 
 
 def queries() -> dict:

@@ -34,6 +34,9 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("public-domain", "this is free and unencumbered software released into the public domain"),
 ]
+#: Words that tell a license from its relatives: True, a block of it has the word; False, it has not.  The words of a
+#: plain GPL notice beside a relative's are found by its phrase.
+DECIDING = [("agpl", "affero", True), ("cc-by-nc", "nc", True), ("cc-by-sa", "sa", True), ("lgpl", "lesser", True), ("gpl", "affero", False), ("gpl", "lesser", False)]
 #: Words of a block and words between the starts of blocks: a notice of up to 32 words lies whole in one block.
 BLOCK, STEP = 64, 32
 
@@ -46,13 +49,14 @@ def _sql(value) -> str:
 
 def license_scan(
     docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", deciding: list[tuple[str, str, bool]] | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words, n_base, first_word, last_word, base_labels, found, labels, score``.
 
     Base: places (word numbers from 0) where the words of a phrase stand consecutively.  ``found``: one struct
     (label, at, containment) for each block and template whose containment in the block, |block and template| over
-    |template| on distinct words, is at least ``threshold``; ``at`` is the block's first word.  ``labels``: base
+    |template| on distinct words, is at least ``threshold``; ``at`` is the block's first word.  With ``deciding`` (label,
+    word of a template, whether it must be there), a label's templates are found only in blocks that have or lack the word.  ``labels``: base
     labels and those found.  ``score``: 1 with a base place, else the largest containment found, else 0.
 
     Null and empty texts have no words, no labels and score 0.  Empty tables give empty results; repeated rows are
@@ -77,6 +81,10 @@ def license_scan(
     candidates = f"array_distinct(transform({fits}, e -> e.k))"
     overlaps = f"transform({candidates}, k -> struct(k as k, size(array_intersect(b, get({texts}, k))) as o))"
     verified = f"filter({overlaps}, x -> x.o >= get({_sql(need)}, x.k))"
+    if deciding:
+        labels = _sql([n for n, _ in templates])
+        tests = " AND ".join(f"(get({labels}, x.k) <> {_sql(n)} OR array_contains(b, {_sql(w)}) = {there})" for n, w, there in deciding)
+        verified = f"filter({verified}, x -> {tests})"
     labelled = f"transform({verified}, x -> struct(get({_sql([n for n, _ in templates])}, x.k) as label, {STEP}L * n as at, x.o / get({sizes}, x.k) as containment))"
     rare = _sql(sorted(index))
     block = f"array_intersect(slice(w, {STEP} * n + 1, {BLOCK}), {_sql(vocabulary)})"
@@ -104,6 +112,11 @@ def query(spark, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("found")
 
 
+def decided_query(spark, sf_dir: str) -> DataFrame:
+    """The scan with the words that decide between related licenses."""
+    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), deciding=DECIDING).drop("found")
+
+
 _PHRASE_ROWS = ", ".join(f"({p.split()!r}, '{v}')" for p, v in PHRASES.items())
 _TEMPLATE_ROWS = ", ".join(f"('{n}', {sorted(set(t.split()))!r})" for n, t in TEMPLATES)
 SQL = rf"""
@@ -122,3 +135,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
     coalesce(ba.labels, '') AS base_labels, coalesce(al.labels, '') AS labels, CASE WHEN n > 0 THEN 1 ELSE coalesce(c, 0) END::DOUBLE AS score
 FROM d LEFT JOIN ba USING (r) LEFT JOIN al USING (r) LEFT JOIN sc USING (r)
 """
+DECIDED_SQL = SQL.replace(
+    "ceil(round(0.8 * len(t), 9))),",
+    f"ceil(round(0.8 * len(t), 9)) AND {' AND '.join(f"(label <> '{n}' OR list_contains(b, '{w}') = {there})" for n, w, there in DECIDING)}),",
+)

@@ -270,3 +270,16 @@ def test_scores_by_all_ngrams(spark, edge, where):
     assert len(rows) == len(want)
     for r in rows:
         assert r["score"] == pytest.approx(want[r["doc_id"]][4], rel=1e-9)
+
+
+def test_deciding_words_of_licenses(spark):
+    from millrace.llm.licenses import DECIDING, TEMPLATES, license_scan
+
+    agpl = TEMPLATES[0][1]
+    texts = {
+        "Licensed under the GNU General Public License": "gpl", "licensed under the GNU Lesser General Public License": "lgpl", "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+        "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa", agpl.replace(" affero", ""): "gpl", agpl: "agpl",
+        "This work is licensed under the GNU Lesser General Public License": "lgpl", "This work is licensed under the GNU General Public License": "gpl",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan(docs, deciding=DECIDING).collect()} == dict(enumerate(texts.values()))
