@@ -150,12 +150,64 @@ def test_store_round_trip_and_damage(spark, edge, tmp_path):
     chunks_ = spark.read.parquet(f"{folder}/draft").where("kind = 'chunk'")
     assert chunks_.count() == chunks_.select("key").distinct().count()
     chunks_.withColumn("payload", chunks_["key"]).drop("kind").write.parquet(f"{folder}2/draft/kind=chunk")
-    for part in ("manifest", "parts"):
+    for part in ("manifest", "parts", "store"):
         spark.read.parquet(f"{folder}/{part}").write.parquet(f"{folder}2/{part}")
     with pytest.raises(Exception, match="damaged"):
         tokenstore.read_digests(spark, f"{folder}2").collect()
 
 
+@pytest.mark.parametrize("lost", ["n_tokens > 3", "false"])
+def test_store_tells_of_a_damaged_manifest(spark, edge, tmp_path, lost):
+    import public_tokenizers
+
+    from millrace.llm import tokenstore
+
+    folder = f"file://{tmp_path}/store"
+    tokenstore.write_store(spark.read.parquet(f"{edge}/documents.parquet"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    tokenstore.check_manifest(spark, folder)
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    # The recipe of one document goes, or two recipes of one part get each other's root.
+    changed = manifest.where(f"NOT (kind = 'document' AND {lost} AND local = 0)")
+    if lost == "false":
+        changed = changed.withColumn("root", tokenstore.F.expr("if(kind = 'document' AND local = 0, unhex(md5('x')), root)"))
+    changed.write.partitionBy("kind").parquet(f"{folder}2/manifest")
+    for part in ("parts", "store"):
+        spark.read.parquet(f"{folder}/{part}").write.parquet(f"{folder}2/{part}")
+    with pytest.raises(Exception, match="damaged|missing"):
+        tokenstore.check_manifest(spark, f"{folder}2")
+
+
+def test_merkle_grows_by_leaves():
+    from hashlib import blake2b
+
+    from millrace.llm.tokenstore import merkle
+
+    def plain(leaves):
+        while len(leaves) > 1:
+            leaves = [blake2b(b"".join(leaves[i : i + 2]), digest_size=16).digest() if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
+        return leaves[0] if leaves else bytes(16)
+
+    for n in range(20):
+        leaves = [bytes([k] * 16) for k in range(n)]
+        assert merkle(leaves) == plain(leaves)
+
+
+def test_store_of_null_ids_and_repeated_rows(spark, tmp_path):
+    import public_tokenizers
+    from brute import ids_of
+
+    from millrace.llm import tokenstore
+
+    texts = [(None, "a text"), (None, "a text"), (3, None), (3, ""), (3, "longer than the others of its id"), (1, "word " * 30_000), (2, "a text")]
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in texts], "doc_id long, text string, kind string, part int, root string")
+    folder = f"file://{tmp_path}/store"
+    tokenstore.write_store(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    rows = sorted(tokenstore.read_ids(spark, folder).collect(), key=lambda r: r["start"])
+    assert [(r["id"], r["ids"]) for r in rows] == [(i, ids_of(t, "byte_bpe_50k.json", 2)) for i, t in sorted(texts, key=lambda x: (x[0] or 0, len(x[1] or "")))]
+    digests = sorted(tokenstore.read_digests(spark, folder).collect(), key=lambda r: r["start"])
+    assert [(r["id"], r["start"], r["n_tokens"]) for r in digests] == [(r["id"], r["start"], len(r["ids"])) for r in rows]
+
+
 @pytest.mark.parametrize(
     "html,text",
     [
@@ -272,14 +324,36 @@ def test_scores_by_all_ngrams(spark, edge, where):
         assert r["score"] == pytest.approx(want[r["doc_id"]][4], rel=1e-9)
 
 
-def test_deciding_words_of_licenses(spark):
-    from millrace.llm.licenses import DECIDING, TEMPLATES, license_scan
+def test_related_licenses_are_told_apart(spark):
+    from millrace.llm.licenses import license_scan
+    from millrace.llm.notices import NOTICES
 
-    agpl = TEMPLATES[0][1]
+    full = {n: t for n, _, t in NOTICES if len(t) > 120}
     texts = {
-        "Licensed under the GNU General Public License": "gpl", "licensed under the GNU Lesser General Public License": "lgpl", "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
-        "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa", agpl.replace(" affero", ""): "gpl", agpl: "agpl",
-        "This work is licensed under the GNU Lesser General Public License": "lgpl", "This work is licensed under the GNU General Public License": "gpl",
+        "Licensed under the GNU General Public License": "gpl", "licensed under the GNU Lesser General Public License": "lgpl", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa", "Licensed under CC BY 4.0": "cc-by", "licensed under cc by-nc-sa 4.0": "cc-by,cc-by-nc-sa", "Released under the Apache License": "apache",
+        "the reserved rights of all citizens": "", "All rights reserved": "all-rights-reserved", "This work is licensed under the GNU General Public License, version 3.": "gpl",
+        "A permission to copy the software is granted by the license of the author": "", "rights all reserved": "",
+        **{f"Some words before it.\n{t}\nAnd words after it, which are not part of it.": n for n, t in full.items()},
+        " ".join(f"{w}\n" if k % 7 == 0 else w for k, w in enumerate(full["mit"].split())): "mit",
+        " ".join(w for k, w in enumerate(full["lgpl"].split()) if k % 20 != 19): "lgpl",
+        " ".join(full["mit"].split()[:60]): "",
+        "word " * 4090 + full["bsd-2-clause"] + " word" * 5000 + full["gpl"] + " " + full["agpl"]: "agpl,bsd-2-clause,gpl",
     }
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"]: r["labels"] for r in license_scan(docs, deciding=DECIDING).collect()} == dict(enumerate(texts.values()))
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, w string, found int")
+    got = {r["doc_id"]: r for r in license_scan(docs).collect()}
+    assert {k: r["labels"] for k, r in got.items()} == dict(enumerate(texts.values()))
+    assert all(f["at"] == 4090 for r in got.values() for f in r["found"] if f["label"] == "bsd-2-clause" and r["n_words"] > 5000)
+
+
+def test_templates_of_any_length(spark):
+    from millrace.llm.licenses import license_scan
+
+    long = " ".join(f"w{k * 7919 % 1009}" for k in range(1500))
+    cut = " ".join(w for k, w in enumerate(long.split()) if k % 10)
+    docs = spark.createDataFrame([(0, "x " * 3000 + long), (1, "y " * 100 + cut), (2, " ".join(sorted(long.split()))), (3, "ab cd"), (4, "ab"), (5, "all rights reserved " * 3000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan(docs, templates=[("long", "l", long), ("pair", "p", "AB, cd"), ("r", "r", "all rights reserved")]).collect()}
+    assert {k: r["labels"] for k, r in got.items()} == {0: "long", 1: "long" if got[1]["score"] >= 0.8 else "", 2: "", 3: "pair", 4: "", 5: "r"}
+    assert got[0]["score"] == 1.0
+    with pytest.raises(ValueError, match="two words"):
+        license_scan(docs, templates=[("x", "x", "one")])
