@@ -44,7 +44,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
+        self.keys, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.int32)
         self.pool, self.used, self.n = np.zeros(1 << 22, self.width), 0, 0
         self.cores: dict[str, bytes] = {}
 
@@ -186,7 +186,7 @@ class Encoder:
             slot[missing] = self._find(h[missing])
         size = self.size[slot].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.repeat(self.at[slot] - total[:-1], size) + np.arange(total[-1])].astype("<u4")
+        ids = self.pool[np.repeat(self.at[slot].astype(np.int64) - total[:-1], size) + np.arange(total[-1])].astype("<u4")
         for k, (a, b) in enumerate(zip(total[edges[:-1]].tolist(), total[edges[1:]].tolist(), strict=True)):
             if k in odd:
                 yield np.frombuffer(b"".join(map(self.ids, CHUNK.findall(texts[k]))), dtype=self.width).astype("<u4").tobytes()

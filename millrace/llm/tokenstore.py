@@ -4,11 +4,12 @@ Files of a store, all Parquet below one folder:
 
 ``draft``      (kind "chunk") ``key`` (BLAKE2b-128 of the payload), ``n`` ids, ``payload`` (little-endian ids of ``width`` bytes);
                a chunk is there once, however many documents hold it.
-``manifest``   one row per document in ascending id order: id, ``part`` (file order) and ``local`` (ids before it in
-               the part), ``n_tokens``, ``hashes`` and ``sizes`` of its chunks in order (the recipe), ``root`` (Merkle
-               root over its chunk hashes).
-``parts``      one row per part: ``part``, ``n_tokens``, ``first`` (ids before the part), ``root`` (Merkle root over its
-               documents' roots).
+``manifest``   (kind "document") one row per document in ascending id order: id, ``part`` (file order) and ``local`` (ids
+               before it in the part), ``n_tokens``, ``hashes`` and ``sizes`` of its chunks in order (the recipe),
+               ``root`` (Merkle root over its chunk hashes).  (kind "part") one row per part: ``n_tokens``, ``docs`` and
+               ``root`` (Merkle root over its documents' roots, in order).
+``parts``      one row per part: ``part``, ``n_tokens``, ``docs``, ``first`` (ids before the part), ``root``.
+``store``      one row: ``root`` (Merkle root over the parts' roots), ``docs``, ``n_tokens``.
 
 A rolling hash over the last ids decides where chunks end, so a passage yields the same chunks wherever it stands.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.encoding import encoder
+from millrace.llm.memory import tidy
 from millrace.llm.storage import shared_folder
 from millrace.llm.wordhash import mix
 
 #: Ids that the rolling hash sees; a chunk ends where MASK bits of it are 0; least and most ids of a chunk.
 ROLL, MASK, LEAST, MOST = 12, (1 << 9) - 1, 128, 2048
 #: Chunks whose payload a task remembers having sent.
-REMEMBER = 200_000
-MANIFEST = "id {}, n_tokens long, hashes array<binary>, sizes array<int>, part int, local long, root binary"
+REMEMBER = 100_000
+MANIFEST = "id {}, n_tokens long, hashes array<binary>, sizes array<int>, part int, local long, docs long, root binary, kind string"
+PARTS = "part int, n_tokens long, docs long, root binary, first long"
 #: Ids that are cut together.
 GROUP = 1 << 20
 
@@ -60,11 +64,36 @@ def chunk_ends(n: int, places: list[int]) -> list[int]:
     return ends
 
 
+class Merkle:
+    """A Merkle tree that grows by leaves in order and keeps one hash a level; an odd one goes up alone."""
+
+    def __init__(self):
+        self.levels: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level = 0
+        while self.levels and self.levels[-1][0] == level:
+            leaf, level = blake2b(self.levels.pop()[1] + leaf, digest_size=16).digest(), level + 1
+        self.levels.append((level, leaf))
+
+    def root(self) -> bytes:
+        """The root of what was added; no leaves: 16 zero bytes."""
+        if not self.levels:
+            return bytes(16)
+        root = self.levels[-1][1]
+        for _, left in reversed(self.levels[:-1]):
+            root = blake2b(left + root, digest_size=16).digest()
+        return root
+
+
 def merkle(leaves: list[bytes]) -> bytes:
-    """The Merkle root of hashes in order; an odd one goes up alone.  No leaves: 16 zero bytes."""
-    while len(leaves) > 1:
-        leaves = [blake2b(b"".join(leaves[i : i + 2]), digest_size=16).digest() if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
-    return leaves[0] if leaves else bytes(16)
+    """The Merkle root of hashes in order."""
+    if len(leaves) == 1:
+        return leaves[0]
+    tree = Merkle()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
 def _power(bits: int) -> np.ndarray:
@@ -101,14 +130,16 @@ def write_store(
 ) -> None:
     """Encodes ``docs`` (null text: empty; each text's ids and then ``end_id``) and writes the store's files.
 
-    Repeated rows and null ids are documents of their own; null ids come first.  An empty table makes empty files.
-    Texts are encoded once; only distinct chunks of a task are shuffled, by hash, and hashes for the recipes.
+    Repeated rows and null ids are documents of their own; null ids come first; of equal ids the shorter come first.  An
+    empty table makes empty files.  Texts of any length are encoded whole; extra columns are ignored.  Texts are encoded
+    once; only distinct chunks of a task are shuffled, by hash, and hashes for the recipes.  A task holds one group of
+    texts (`GROUP` ids), the word tables of its encoder and the addresses of its chunks (16 bytes each).
     """
-    kind_of = docs.select(id_col).schema.fields[0].dataType.simpleString()
-    schema = f"kind string, key binary, id {kind_of}, n_tokens long, hashes array<binary>, sizes array<int>, n int, width int, payload binary"
-    names = ["kind", "key", "id", "n_tokens", "hashes", "sizes", "n", "width", "payload"]
+    kind_of = docs.select(F.col(f"`{id_col}`")).schema.fields[0].dataType.simpleString()
+    schema = f"kind string, key binary, id {kind_of}, n_tokens long, row long, hashes array<binary>, sizes array<int>, n int, width int, payload binary"
+    names = ["kind", "key", "id", "n_tokens", "row", "hashes", "sizes", "n", "width", "payload"]
 
-    def take(docs_of: Iterator, group: list[bytes], rows: list[tuple], sent: set[bytes], kind: np.dtype) -> None:
+    def take(docs_of: Iterator, row: Iterator[int], group: list[bytes], rows: list[tuple], sent: set[bytes], kind: np.dtype) -> None:
         """Cuts the documents of ``group`` into chunks; adds the chunks that weren't sent, and the recipes."""
         ids = np.frombuffer(b"".join(group), dtype="<u4")
         data, at = memoryview(ids.astype(kind).tobytes()), marks(ids)
@@ -126,18 +157,20 @@ def write_store(
                     if len(sent) >= REMEMBER:
                         sent.clear()
                     sent.add(h)
-                    rows.append(("chunk", h, None, None, None, None, e - last, width, bytes(payload)))
+                    rows.append(("chunk", h, None, None, None, None, None, e - last, width, bytes(payload)))
                 last = e
-            rows.append(("recipe", blake2b(b"".join(hashes[:4]) + repr(doc).encode(), digest_size=16).digest(), doc, b - a, hashes, sizes, None, None, None))
+            k = next(row)
+            rows.append(("recipe", blake2b(k.to_bytes(8, "little"), digest_size=16).digest(), doc, b - a, k, hashes, sizes, None, None, None))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, sent = encoder(tokenizer, kind), set()
         end = np.array([end_id], dtype="<u4").tobytes()
+        row = count(TaskContext.get().partitionId() << 33)
         for batch in batches:
             of, rows = batch.schema.field(0).type, []
 
             def out() -> pa.RecordBatch:
-                types = [pa.string(), pa.binary(), of, pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
+                types = [pa.string(), pa.binary(), of, pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
             docs_of, group, size = iter(batch.column(0).to_pylist()), [], 0
@@ -145,55 +178,127 @@ def write_store(
                 group.append(raw + end)
                 size += len(raw) // 4 + 1
                 if size >= GROUP:
-                    take(docs_of, group, rows, sent, np.dtype(code.width))
+                    take(docs_of, row, group, rows, sent, np.dtype(code.width))
                     group, size = [], 0
                     yield out()
                     rows = []
             if group:
-                take(docs_of, group, rows, sent, np.dtype(code.width))
+                take(docs_of, row, group, rows, sent, np.dtype(code.width))
             if rows:
                 yield out()
 
+        tidy()
+
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by kind and hash, the first of each chunk and all recipes."""
-        last = None
+        """The first of each chunk, and all recipes; what has one address is in one partition."""
+        tidy(forget_encoders=True)
+        seen: set[bytes] = set()
         for b in batches:
             keep = []
             for k, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                keep.append(k == "recipe" or h != last)
-                last = h if k == "chunk" else last
+                keep.append(k == "recipe" or h not in seen)
+                if k == "chunk":
+                    seen.add(h)
             yield b.filter(pa.array(keep))
+        tidy()
 
-    rows = docs.select(id_col, text_col).mapInArrow(cut, schema).repartition("key").sortWithinPartitions("kind", "key").mapInArrow(once, schema)
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(cut, schema).repartition("key").mapInArrow(once, schema)
     rows.write.partitionBy("kind").option("compression", "lz4").parquet(f"{folder}/draft")
     spark = docs.sparkSession
     draft = spark.read.schema(schema.replace("kind string, ", "") + ", kind string").parquet(f"{folder}/draft")
-    recipes = draft.where("kind = 'recipe'").select("id", "n_tokens", "hashes", "sizes")
-    ordered = recipes.repartitionByRange("id").sortWithinPartitions("id", "n_tokens", "hashes")
+    recipes = draft.where("kind = 'recipe'").select("id", "n_tokens", "row", "hashes", "sizes")
+    # By row number last, so that rows of one id lie in several parts.
+    ordered = recipes.repartitionByRange("id", "n_tokens", "row").sortWithinPartitions("id", "n_tokens", "row").drop("row")
+    manifest = MANIFEST.format(kind_of)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, local = TaskContext.get().partitionId(), 0
+        tidy(forget_encoders=True)
+        part, local, docs, tree, of = TaskContext.get().partitionId(), 0, 0, Merkle(), None
+        names = ["id", "n_tokens", "hashes", "sizes", "part", "local", "docs", "root", "kind"]
         for b in batches:
+            of = b.schema.types
             n = np.asarray(b.column(1), dtype=np.int64)
             before = local + np.cumsum(n) - n
-            local += int(n.sum())
+            local, docs = local + int(n.sum()), docs + len(n)
             roots = [merkle(h) for h in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(roots, pa.binary())], [*b.schema.names, "part", "local", "root"])
+            for root in roots:
+                tree.add(root)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array([1] * len(n), pa.int64()), pa.array(roots, pa.binary()), pa.array(["document"] * len(n))], names)
+        if docs:
+            whole = [pa.array([x], t) for x, t in zip((None, local, None, None), of, strict=True)]
+            yield pa.RecordBatch.from_arrays([*whole, pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([docs], pa.int64()), pa.array([tree.root()], pa.binary()), pa.array(["part"])], names)
+
+    ordered.mapInArrow(number, manifest).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/manifest")
+    # One row a part, of which there are as many as tasks: the only thing that a single task puts in one order.
+    parts = spark.read.schema(manifest).parquet(f"{folder}/manifest").where("kind = 'part'").select("part", "n_tokens", "docs", "root")
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = 0
+        for b in batches:
+            n = np.asarray(b.column(1), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + np.cumsum(n) - n, pa.int64())], [*b.schema.names, "first"])
+            first += int(n.sum())
 
-    manifest = MANIFEST.format(kind_of)
-    ordered.mapInArrow(number, manifest).write.option("compression", "zstd").parquet(f"{folder}/manifest")
-    saved = spark.read.schema(manifest).parquet(f"{folder}/manifest")
-    # One row a part: the only thing that is put in one order by a single task.
-    parts = saved.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"), F.expr("unhex(md5(array_join(transform(sort_array(collect_list(struct(local, root))), x -> hex(x.root)), '')))").alias("root"))
-    first = F.expr("coalesce(sum(n_tokens) over (order by part rows between unbounded preceding and 1 preceding), 0L)")
-    parts.withColumn("first", first).coalesce(1).write.parquet(f"{folder}/parts")
+    parts.coalesce(1).sortWithinPartitions("part").mapInArrow(top, PARTS).write.parquet(f"{folder}/parts")
+    _store(spark, folder).write.parquet(f"{folder}/store")
+
+
+def _store(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: the root over the parts in order, with the sums of their documents and ids."""
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, n, docs = Merkle(), 0, 0
+        for b in batches:
+            for root in b.column(3).to_pylist():
+                tree.add(root)
+            n, docs = n + sum(b.column(1).to_pylist()), docs + sum(b.column(2).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([tree.root()], pa.binary()), pa.array([docs], pa.int64()), pa.array([n], pa.int64())], ["root", "docs", "n_tokens"])
+
+    return spark.read.schema(PARTS).parquet(f"{folder}/parts").coalesce(1).sortWithinPartitions("part").mapInArrow(top, "root binary, docs long, n_tokens long")
+
+
+def check_manifest(spark: SparkSession, folder: str) -> None:
+    """Puts the tree together again from the manifest and raises ``ValueError`` where it differs from what is stored.
+
+    The documents' roots of a part come in order to one task, which keeps one hash a level; a part is what one task
+    wrote.  The parts' roots, one row for each task of the writer, come to one task.
+    """
+    roots = spark.read.schema("root binary, local long, n_tokens long, part int, kind string").parquet(f"{folder}/manifest").where("kind = 'document'")
+    ordered = roots.select("part", "local", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "local", "n_tokens")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(forget_encoders=True)
+        at, tree, docs, tokens = None, Merkle(), 0, 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([tokens], pa.int64()), pa.array([docs], pa.int64()), pa.array([tree.root()], pa.binary())], ["part", "found_tokens", "found_docs", "found"])
+        for b in batches:
+            for part, local, n, root in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part != at:
+                    if at is not None:
+                        yield row()
+                    at, tree, docs, tokens = part, Merkle(), 0, 0
+                if local != tokens:
+                    raise ValueError(f"a document of part {part} is missing or repeated at {local}")
+                tree.add(root)
+                docs, tokens = docs + 1, tokens + n
+        if at is not None:
+            yield row()
+
+    found = ordered.mapInArrow(again, "part int, found_tokens long, found_docs long, found binary")
+    parts = spark.read.schema(PARTS).parquet(f"{folder}/parts")
+    wrong = parts.join(found, "part", "full").where("NOT (found <=> root AND found_tokens <=> n_tokens AND found_docs <=> docs)").limit(3).collect()
+    if wrong:
+        raise ValueError(f"parts of the manifest are damaged: {sorted(r['part'] for r in wrong)}")
+    stored = spark.read.schema("root binary, docs long, n_tokens long").parquet(f"{folder}/store").collect()
+    if stored != _store(spark, folder).collect():
+        raise ValueError("the store's root is not that of its parts")
 
 
 def _tables(spark: SparkSession, folder: str, id_type: str) -> tuple[DataFrame, DataFrame]:
     chunks = spark.read.schema("key binary, n int, width int, payload binary, kind string").parquet(f"{folder}/draft").where("kind = 'chunk'")
     chunks = chunks.select(F.col("key").alias("hash"), "n", "width", "payload")
-    parts = spark.read.schema("part int, first long").parquet(f"{folder}/parts")
-    manifest = spark.read.schema(MANIFEST.format(id_type)).parquet(f"{folder}/manifest").join(F.broadcast(parts), "part")
+    parts = spark.read.schema(PARTS).parquet(f"{folder}/parts").select("part", "first")
+    # One row of 12 bytes for each task of the writer: Spark's own threshold decides whether they are broadcast.
+    manifest = spark.read.schema(MANIFEST.format(id_type)).parquet(f"{folder}/manifest").where("kind = 'document'").join(parts, "part")
     return chunks, manifest.withColumn("start", F.col("first") + F.col("local"))
 
 
@@ -201,9 +306,11 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads payloads: each must have its address and its size; gives the CRC-32 of its ids as 32 bits each."""
     from zlib import crc32
 
+    tidy(forget_encoders=True)
     for b in batches:
         crc = []
-        for h, n, width, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for h, n, width, payload in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3), strict=True):
+            payload = payload.as_buffer()
             ids = np.frombuffer(payload, dtype=f"<u{width}")
             if blake2b(payload, digest_size=16).digest() != h or len(ids) != n:
                 raise ValueError(f"chunk {h.hex()} is damaged")
@@ -213,6 +320,7 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads recipes: each must have its Merkle root; gives a row for each chunk with the ids that follow it."""
+    tidy(forget_encoders=True)
     for b in batches:
         start, hashes, sizes, roots = (c.to_pylist() for c in b.columns)
         rows, h, n, after = [], [], [], []
@@ -228,6 +336,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tidy(forget_encoders=True)
     for b in batches:
         start, size, n, after, crc = b.columns
         x = crc32_shift(np.asarray(crc).astype(np.uint32), 4 * np.asarray(after))
@@ -237,9 +346,11 @@ def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_digests(spark: SparkSession, folder: str, id_type: str = "long") -> DataFrame:
     """One row per document, from the files: id, ``start, n_tokens, ids_crc32`` of the reconstructed ids.
 
-    Every payload is read and held against its address, every recipe against its Merkle root; the CRC-32 of a
-    document is put together from those of its chunks, so that payloads don't travel.
+    Every payload is read and held against its address, every recipe against its Merkle root, the documents' roots
+    against their part's and the parts' against the store's; the CRC-32 of a document is put together from those of its
+    chunks, so that payloads don't travel (``read_ids`` puts the ids themselves together).
     """
+    check_manifest(spark, folder)
     chunks, manifest = _tables(spark, folder, id_type)
     read = chunks.mapInArrow(_checked, "hash binary, n int, crc long")
     uses = manifest.select("start", "hashes", "sizes", "root").mapInArrow(_recipes, "start long, hash binary, size int, after long")

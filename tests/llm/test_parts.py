@@ -357,3 +357,111 @@ def test_templates_of_any_length(spark):
     assert got[0]["score"] == 1.0
     with pytest.raises(ValueError, match="two words"):
         license_scan(docs, templates=[("x", "x", "one")])
+
+
+SITE_HEAD = "<html><body><div class='a1'><p>{}</p></div><div class='b7'><ul><li><a href='/x'>One</a></li><li><a href='/y'>Two</a></li></ul></div>"
+
+
+def site(host: str, n: int, start: int) -> list[tuple]:
+    """Pages without article, main or telling names: a slogan out of three, a list of links, a story, a note that every page has."""
+    slogans = ["Best site there is", "Come again soon", "Tell your friends"]
+    story = "<div class='c3'><h2>Story {0} of {1}</h2><p>It happened on day {0} and was told by {1}.</p><p>Nothing else was said about number {0}.</p></div>"
+    return [(start + i, f"http://{host}/{i}", SITE_HEAD.format(slogans[i % 3]) + story.format(i, host) + "<div class='d9'><p>Written by the same hand as ever.</p></div></body></html>") for i in range(n)]
+
+
+def plain_tree(pages: list[tuple]) -> dict:
+    """By host and style path: number of different pages and their contents, by the standard library's parser."""
+    from collections import Counter
+    from html.parser import HTMLParser
+    from urllib.parse import urlparse
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.nodes = [[(), [], []]], []
+            self.nodes.append(self.stack[0])
+
+        def handle_starttag(self, tag, attrs):
+            node = [(*self.stack[-1][0], tag + "".join(f".{v}" for k, v in attrs if k == "class")), [], []]
+            node[0] = tuple(x.translate(str.maketrans("123456789", "000000000")) if "." in x else x for x in node[0])
+            self.stack[-1][2].append(tag)
+            self.stack.append(node)
+            self.nodes.append(node)
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            for n in self.stack:
+                n[1].append(data)
+
+    seen: dict = {}
+    for host, html in {(urlparse(u).netloc, h) for _, u, h in pages}:
+        t, own = Tree(), {}
+        t.feed(html)
+        for path, text, children in t.nodes:
+            if text and not (path and path[-1] == "a"):
+                own.setdefault(path, []).append((tuple(text), tuple(children)))
+        for path, what in own.items():
+            seen.setdefault((host, path), []).append((tuple(x for x, _ in what), tuple(x for _, x in what)))
+    share = lambda v: 1.0 if len(v) == 1 else -sum(c / len(v) * math.log(c / len(v)) for c in Counter(v).values()) / math.log(len(v))
+    return {k: (len(v), share([x for x, _ in v]), share([x for _, x in v])) for k, v in seen.items()}
+
+
+def test_site_tree_is_that_of_a_plain_count(spark):
+    from millrace.llm.sitestyle import site_paths
+
+    pages = site("one.org", 30, 0) + site("two.org", 5, 100) + site("one.org", 30, 200)[:4]
+    rows = site_paths(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    want = sorted((h, m, round(read, 9), round(look, 9)) for (h, _), (m, read, look) in plain_tree(pages).items())
+    assert sorted((r["host"], r["m"], round(abs(r["read"]), 9), round(abs(r["look"]), 9)) for r in rows) == want
+
+
+def test_the_tree_finds_the_text_without_names_and_articles(spark):
+    pages = site("big.org", 40, 0) + site("small.org", 3, 100)
+    got = main_texts(spark, pages)
+    for page_id, url, _ in pages:
+        host, i = url.split("/")[2:]
+        lines = [f"Story {i} of {host}", f"It happened on day {i} and was told by {host}.", f"Nothing else was said about number {i}."]
+        small = ["Best site there is", "Come again soon", "Tell your friends"][int(i) % 3]
+        assert got[page_id].split("\n\n") == (lines if host == "big.org" else [small, *lines])
+
+
+def test_what_the_tree_finds_important_beside_an_article_stays(spark):
+    page = "<html><body><article><p>The first part of story {0}, which is longer than what follows it on this page.</p></article><div class='q'><p>The rest of story {0}.</p></div><div class='r'><p>Read us daily.</p></div></body></html>".format
+    got = main_texts(spark, [(i, f"http://h.org/{i}", page(i)) for i in range(12)])
+    assert all(got[i] == f"The first part of story {i}, which is longer than what follows it on this page.\n\nThe rest of story {i}." for i in range(12))
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<article><p>We say <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p><p id='feedback'>What readers told us.</p><p class='survey search-results'>Half of them.</p><label>A label.</label></article>", "We say x=2 here.\n\nWhat readers told us.\n\nHalf of them.\n\nA label."),
+        (f"<article><p>{POST}</p></article><article class='teaser'><h3><a>Other story</a></h3><p>Read on.</p></article>", POST),
+        (f"<article><p>{POST}</p></article><article><h3><a>Other story</a></h3><p>Read on.</p></article>", POST),
+        (f"<article><p>{POST}</p></article><article><h3>Second</h3><p>{POST}</p></article>", f"{POST}\n\nSecond\n\n{POST}"),
+        (f"<article><p>{POST}</p></article><section class='comments'><p>I agree.</p></section><div class='survey'>Tell us!</div>", POST),
+    ],
+)
+def test_names_are_a_prior(html, text):
+    from millrace.llm.sitestyle import Page
+
+    assert Page(html).text(set()) == text
+
+
+def test_names_in_doubt_go_by_the_tree(spark):
+    page = "<article><p>Story {0} has its words.</p><div class='notice'><p>{1}</p></div></article>".format
+    pages = [(i, f"http://same.org/{i}", page(i, "Our terms have changed.")) for i in range(5)] + [(10 + i, f"http://own.org/{i}", page(i, f"Note {i}.")) for i in range(5)]
+    got = main_texts(spark, pages)
+    assert [got[i] for i in range(5)] == [f"Story {i} has its words." for i in range(5)]
+    assert [got[10 + i] for i in range(5)] == [f"Story {i} has its words.\n\nNote {i}." for i in range(5)]
+
+
+def test_hard_rows_of_pages(spark):
+    from millrace.llm.sitestyle import extract_main_text
+
+    long = "<article>" + "".join(f"<p>Line {i} of it.</p>" for i in range(60_000)) + "</article>"
+    rows = [(1, None, None, "a", 1), (None, "http://h.org/1", "<p>x</p>", "b", 2), (None, "http://h.org/1", "<p>x</p>", "b", 2), (2, "", "", None, None), (3, "http://[bad", "<p>y &lt; z</p>", "c", 3), (4, "http://l.org/", long, "d", 4), (5, "http://d.org/", "<div>" * 3000 + "deep", "e", 5)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, host string, noise int")
+    got = extract_main_text(docs).collect()
+    assert sorted((str(r["page_id"]), r["url"], len(r["text"])) for r in got) == sorted((str(i), u, n) for (i, u, *_), n in zip(rows, [0, 1, 1, 0, 5, sum(len(f"Line {i} of it.") + 2 for i in range(60_000)) - 2, 4], strict=True))
