@@ -1,5 +1,6 @@
 """Parts of the training operators on their own, and passes over many chunks and shards."""
 
+import math
 import random
 
 import numpy as np
@@ -313,17 +314,6 @@ def test_no_link_inside_a_component_is_lost(spark, monkeypatch, block):
     assert got == {**dict.fromkeys(range(7), 6), 7: 0, 8: 0, 9: 0, 10: 6}
 
 
-@pytest.mark.parametrize("where", ["edge", "sf"])
-def test_scores_by_all_ngrams(spark, edge, where):
-    folder = edge if where == "edge" else SF
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
-    want = lm(docs, keep=1)
-    rows = catalog.queries()["op9_lm_scoring_all"](spark, folder).collect()
-    assert len(rows) == len(want)
-    for r in rows:
-        assert r["score"] == pytest.approx(want[r["doc_id"]][4], rel=1e-9)
-
-
 def test_related_licenses_are_told_apart(spark):
     from millrace.llm.licenses import license_scan
     from millrace.llm.notices import NOTICES
