@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import chunks as C
-from millrace.llm.components import components
+from millrace.llm.components import HOT_ROWS, components, join_hot
 from millrace.llm.memory import tidy
 from millrace.llm.storage import get, written
 from millrace.llm.wordhash import mix, window_hashes, word_hashes
@@ -29,6 +29,8 @@ from millrace.llm.wordhash import mix, window_hashes, word_hashes
 MOST_COUNTED = (1 << 16) - 1
 #: Sets of a component that are compared with as many others at once, and shingles that are looked at at once for that.
 BLOCK, SLICE = 128, 4096
+#: Pairs of one set that a task compares at once on average: a leader of more is dealt out over several.
+PAIRS = 512
 
 
 class Sets:
@@ -130,7 +132,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     spread = listed.repartition(parts, "chunk")
     sets = written(spread.mapInPandas(digest, "id long, sid long, n long, a long, b long, h long, size int"), "jaccard-sets")
-    classes = written(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("sid").alias("class"), F.min("id").alias("least")), "jaccard-classes")
+    classes = written(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("sid").alias("class"), F.min("id").alias("least"), F.count("*").alias("c")), "jaccard-classes")
     leads = classes.groupBy(F.shiftright("class", bits).alias("chunk")).agg(F.collect_list((F.col("class") % (1 << bits)).cast("int")).alias("rows"))
     held = written(listed.join(leads, "chunk"), "jaccard-leads")  # at most CHUNK_DOCS rows a chunk
 
@@ -222,9 +224,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked)], ["a", "b", "linked"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = candidates.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
-        two = candidates.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
-        return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, linked boolean")
+        """Compares pairs; a set of many pairs stands in as many copies as its pairs are dealt out over."""
+        pairs = written(pairs, "jaccard-pairs")
+        for side, other, tokens in (("b", "a", "y"), ("a", "b", "x")):
+            # Sets of more than PAIRS pairs, so at most a PAIRS-th of the pairs' number: 12 bytes each.
+            often = pairs.groupBy(side).agg(F.count("*").alias("c")).where(F.col("c") > PAIRS).select(side, F.ceil(F.col("c") / PAIRS).cast("int").alias("copies"))
+            often = written(often, "jaccard-often")
+            sets_ = candidates.select(F.col("sid").alias(side), F.col("tokens").alias(tokens)).join(often, side, "left")
+            copied = sets_.withColumn("part", F.explode(F.expr("sequence(0, coalesce(copies, 1) - 1)"))).drop("copies")
+            dealt = pairs.join(near_(often), side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+            pairs = dealt.join(copied, [side, "part"]).drop("part")
+        return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, linked boolean")
+
+    def near_(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= HOT_ROWS else rows
 
     first = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "sid")).alias("f"), F.count("*").alias("c")).where("c > 1")
     leaders = first.select("token", "f.*")
@@ -276,8 +289,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     counted = ["n_links"] if links else []
     if links:
         found = found.join(degrees(), "class", "left")
-    found = found.select("n", "a", "b", "component_id", *counted, "root")
-    rows = sets.join(found, ["n", "a", "b"], "left")
+    found = found.select("n", "a", "b", "c", "component_id", *counted, "root")
+    rows = join_hot(sets, found, ["n", "a", "b"])
     chosen = rows.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "sid")).alias("c")).select(F.col("c.sid").alias("sid"), F.lit(True).alias("leads"))
     return rows.join(chosen, "sid", "left").select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counted),
