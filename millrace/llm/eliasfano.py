@@ -1,7 +1,8 @@
 """Elias-Fano sequences in flat bytes: ascending numbers in about log2(universe / n) + 2 bits each.
 
 The low bits of every number stand side by side; the high bits are a bit vector in which number i has its one at
-(high part + i).  All operations take arrays; the data may be a memory map.
+(high part + i), with the ones and zeros before each of its words.  All operations take arrays; the data may be a
+memory map, of which nothing is copied.
 """
 
 from __future__ import annotations
@@ -30,22 +31,26 @@ def build(values: np.ndarray, universe: int) -> bytes:
     upper = np.zeros(size, dtype=np.uint8)
     upper[high + np.arange(n)] = 1
     words = np.packbits(upper, bitorder="little").view("<u8")
-    ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.uint64)]).astype("<u8")
-    head = np.array([n, low, len(lows), len(words)], dtype="<u8")
-    return head.tobytes() + lows.tobytes() + words.tobytes() + ranks.tobytes()
+    ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.uint64)])
+    zeros = np.arange(len(ranks), dtype=np.uint64) * np.uint64(64) - ranks
+    last = int(values[-1]) if n else 0
+    width = 4 if size < 1 << 32 else 8
+    head = np.array([n, low, len(lows), len(words), last, width], dtype="<u8")
+    counts = np.concatenate([ranks, zeros]).astype(f"<u{width}").tobytes()
+    return head.tobytes() + lows.tobytes() + words.tobytes() + counts
 
 
 class Sequence:
     def __init__(self, data: np.ndarray):
-        n, low, n_low, n_words = (int(x) for x in data[:32].view("<u8"))
-        self.n, self.low = n, low
-        lows = data[32 : 32 + n_low]
+        n, low, n_low, n_words, last, width = (int(x) for x in data[:48].view("<u8"))
+        self.n, self.low, self.last = n, low, np.uint64(last)
+        lows = data[48 : 48 + n_low]
         self.lows = np.lib.stride_tricks.as_strided(lows[:8].view("<u8"), shape=(n_low - 7,), strides=(1,), writeable=False)
-        at = 32 + n_low
+        at = 48 + n_low
         self.words = data[at : at + 8 * n_words].view("<u8")
-        self.ones = data[at + 8 * n_words : at + 16 * n_words + 8].view("<u8")
-        self.zeros = np.arange(n_words + 1, dtype=np.uint64) * np.uint64(64) - self.ones
-        self.size = at + 16 * n_words + 8
+        counts = data[at + 8 * n_words : at + 8 * n_words + 2 * width * (n_words + 1)].view(f"<u{width}")
+        self.ones, self.zeros = counts[: n_words + 1], counts[n_words + 1 :]
+        self.size = at + 8 * n_words + 2 * width * (n_words + 1)
         self.mask = np.uint64((1 << low) - 1)
 
     @staticmethod
@@ -63,7 +68,7 @@ class Sequence:
     def _select(self, i: np.ndarray, ones: bool, following: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """The places of the ``i``-th ones (or zeros), and if asked for of those after them."""
         ranks = self.ones if ones else self.zeros
-        word = np.searchsorted(ranks, i.astype(np.uint64), side="right") - 1
+        word = np.searchsorted(ranks, i.astype(ranks.dtype), side="right") - 1
         w = self.words[word] if ones else ~self.words[word]
         bit = self._in_word(w, i - ranks[word].astype(np.int64))
         place = 64 * word + bit
@@ -108,15 +113,16 @@ class Sequence:
         if last is not None:
             b = np.minimum(b, last)
         end, low = b, target & self.mask
-        while True:
-            open_ = np.flatnonzero(a < b)
-            if not len(open_):
-                break
-            mid = (a[open_] + b[open_]) >> 1
-            less = self._low(mid) < low[open_]
-            a, b = a.copy(), b.copy()
-            a[open_[less]] = mid[less] + 1
-            b[open_[~less]] = mid[~less]
+        # What is still searched: its place in the result, its bounds and what it looks for.
+        at = np.flatnonzero(a < b)
+        lo, hi, wanted = a[at], b[at], low[at]
+        while len(at):
+            mid = (lo + hi) >> 1
+            less = self._low(mid) < wanted
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            open_ = lo < hi
+            a[at[~open_]] = lo[~open_]
+            at, lo, hi, wanted = at[open_], lo[open_], hi[open_], wanted[open_]
         inside = np.flatnonzero((a < end) & (a < self.n))
         hit = inside[self._low(a[inside]) == low[inside]]
         out = np.full(len(target), -1, dtype=np.int64)

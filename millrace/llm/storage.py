@@ -1,33 +1,12 @@
-"""Tables written to the folder that driver and executors share, to cut lineage and to hold file formats."""
+"""Files of the shared folder, written and read by Python workers, beside the tables of ``millrace.shared``."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from millrace.shared import drop, scope, shared_folder, written
 
-_own: list[str] = []
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (tests on one machine), below a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="millrace-"))
-        root = f"file://{_own[0]}"
-    # With its scheme, so that Spark and Python workers mean the same store.
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: a lost executor costs no recomputation of its plan."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["drop", "get", "is_mapped", "mapped", "put", "scope", "shared_folder", "written"]
 
 
 def put(path: str, data: bytes) -> None:
@@ -50,6 +29,13 @@ def get(path: str) -> bytes:
         return f.read()
 
 
+def is_mapped(path: str) -> bool:
+    """Whether ``mapped`` can map files of this folder: it is mounted."""
+    from pyarrow import fs
+
+    return isinstance(fs.FileSystem.from_uri(path)[0], fs.LocalFileSystem)
+
+
 def mapped(path: str):
     """A file's bytes as an array: memory-mapped where the shared folder is mounted, else read into memory."""
     import numpy as np

@@ -28,7 +28,7 @@ def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
 
-def lm(texts: dict, order: int = 3, keep: int = 2, discount: float = 0.75):
+def lm(texts: dict, order: int = 3, discount: float = 0.75):
     """Base and model scores by id, from dictionaries of counts."""
     tokens = {d: [*words((t or "").translate(LOWER)), "</s>"] for d, t in texts.items()}
     train = [d for d in tokens if zlib.crc32(str(d).encode()) % 7 != 2]
@@ -45,8 +45,8 @@ def lm(texts: dict, order: int = 3, keep: int = 2, discount: float = 0.75):
             if k == 2 or g[:-1] in level[k - 1][0]:
                 total[g[:-1]] += m
         for g, m in c[k].items():
-            if g[:-1] in total and m >= keep:
-                p[g] = 10 ** (-min(255, math.ceil(-math.log10((m - discount) / total[g[:-1]]) * 32 - 1e-12)) / 32)
+            if g[:-1] in total:
+                p[g] = 10 ** (-min(255, math.ceil(-math.log10((m - discount) / total[g[:-1]]) * 20 - 1e-12)) / 20)
                 mass[g[:-1]] += p[g]
         level[k] = p, {x: 10 ** (-min(255, max(0, round(-math.log10(min(1, max(1e-4, 1 - mass[x]))) * 64))) / 64) for x in total}
     out = {}
