@@ -22,7 +22,9 @@ NO_TAGS = ["PAGE", "SHEET", "DOC", "PDF", "ITEM", "REV", "NOTE", "DATE"]
 UNITS = "bar|barg|psig|kpa|mpa|psi|°C|°F|deg C|deg F|mm/s|m/s|rpm|hz|v|kv|ma|a|kw|mw|m3/h|tph|kg/h|lpm"
 SPELLED = {"deg c": "°C", "deg f": "°F", "°c": "°C", "°f": "°F", "kpa": "kPa", "mpa": "MPa", "mw": "MW", "kw": "kW", "kv": "kV", "hz": "Hz"}
 MEASUREMENT = rf"(?i)\b(\d+(?:\.\d+)?)\s*({UNITS})\b"
+#: Fixed patterns of tags in questions, and of what else makes a question one for exact words.
 QUERY_TAG = r"\b([A-Z]{1,5}-\d{1,5}[A-Z]?|[A-Z]{2,4}\d{2,4}[A-Z]?)\b"
+EXACT = r"\b(?:[A-Z0-9]{2,6}-[A-Z0-9]{2,6}|ERR[_-]?[A-Z0-9]+|0x[0-9A-Fa-f]+|E-\d{2,4})\b"
 #: Fixed terms of document types in the order of precedence, and their categories.
 TYPES = [
     ("pid", "engineering", ["p&id", "p_and_i", "pid", "legend"]),
@@ -34,6 +36,7 @@ TYPES = [
     ("standard", "standards", ["standard", "manual", "specification", "sop"]),
     ("template", "templates", ["template", "form", "inventory"]),
 ]
+#: Fixed pattern of revisions.
 REVISION = r"(?i)\b(?:Rev|Revision)[\s.:_-]*([0-9]+(?:\.[0-9]+)?|[A-Z])\b"
 
 
@@ -109,18 +112,33 @@ def query_tags(question: Column | str, codes: list[str] = ()) -> Column:
     return F.array_sort(F.array_distinct(F.filter(hits, lambda t: (F.length(t) >= 4) & ~t.isin(list(codes) or ["-"]))))
 
 
-def authority(filename: Column, location: Column, question: Column, revision: Column) -> Column:
+def asks_exactly(question: Column | str, codes: list[str] = ()) -> Column:
+    """Whether a question names a tag or a code, so that exact words weigh more than meaning."""
+    return (F.size(query_tags(question, codes)) > 0) | F.coalesce(F.trim(col(question)).rlike(EXACT), F.lit(False))
+
+
+#: Fixed words of questions about audits.
+ASKS_AUDIT = ["audit", "report", "incident", "accident", "mah", "inspection", "safety"]
+#: Fixed multipliers of documents by parts of their names or places, in the order of precedence: parts, multiplier, and the
+#: multiplier where the question asks for audits.  Callers add their own folders.
+AUTHORITY = [
+    (["safety_audit", "incident", "audit", "annual_safety"], 1.35, 1.65),
+    (["sop", "standard", "design_basis"], 1.25, 1.25),
+    (["pid", "p&id", "schematic"], 1.15, 1.15),
+    (["template", "blank", "fat_sat_checklist"], 0.65, 0.65),
+]
+#: Fixed multipliers by revision.
+LIFE = [(["superseded", "obsolete", "withdrawn"], 0.40), (["draft", "preliminary"], 0.75), (["rev"], 1.05)]
+
+
+def authority(filename: Column, location: Column, question: Column, revision: Column, table: list = AUTHORITY) -> Column:
     """A multiplier for a chunk: by the kind of its document (first that applies), then by its revision."""
-    where, q, rev = F.lower(F.concat_ws(" ", F.coalesce(filename, F.lit("")), F.coalesce(location, F.lit("")))), F.lower(question), F.lower(F.coalesce(revision, F.lit("")))
-    asked = any_of(q, ["audit", "report", "incident", "accident", "mah", "inspection", "safety"])
-    base = (
-        F.when(any_of(where, ["09_inspection_accident", "safety_audit", "incident", "audit", "annual_safety"]), F.when(asked, 1.65).otherwise(1.35))
-        .when(any_of(where, ["01_standards_reference", "04_sops_manuals", "sop", "standard", "design_basis"]), 1.25)
-        .when(any_of(where, ["03_pids", "pid", "p&id", "schematic"]), 1.15)
-        .when(any_of(where, ["02_templates_checklists_forms", "template", "blank", "fat_sat_checklist"]), 0.65)
-        .otherwise(1.0)
-    )
-    life = F.when(any_of(rev, ["superseded", "obsolete", "withdrawn"]), 0.40).when(any_of(rev, ["draft", "preliminary"]), 0.75).when(F.contains(rev, F.lit("rev")), 1.05).otherwise(1.0)
+    where, rev = F.lower(F.concat_ws(" ", F.coalesce(filename, F.lit("")), F.coalesce(location, F.lit("")))), F.lower(F.coalesce(revision, F.lit("")))
+    asked, base, life = any_of(F.lower(question), ASKS_AUDIT), F.lit(1.0), F.lit(1.0)
+    for parts, plain, audits in reversed(table):
+        base = F.when(any_of(where, parts), F.when(asked, float(audits)).otherwise(float(plain))).otherwise(base)
+    for parts, factor in reversed(LIFE):
+        life = F.when(any_of(rev, parts), factor).otherwise(life)
     return F.round(base * life, 4)
 
 

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 TOKEN = r"([a-z0-9]+(?:-[a-z0-9]+)?)"
 #: Fixed greetings.
 GREETINGS = [
-    "hi", "hello", "hey", "good morning", "good afternoon", "good evening", "who are you", "what are you", "help",
+    "hello", "hi", "hey", "good morning", "good afternoon", "good evening", "greetings", "who are you", "what are you", "what can you do", "help",
     "thanks", "thank you", "bye", "goodbye", "namaste",
 ]
 #: Fixed parts of questions that follow up on earlier ones.
 FOLLOWUPS = [
     "it", "that", "they", "this", "those", "its", "what about", "how about", "and for", "same for", "what is it", "what does it", "and what", "also",
 ]
+#: Fixed pattern of tags that make a short question stand for itself.
+OWN_TAG = r"(?i)\b(?:[A-Z]{2,6}-[A-Z0-9]{2,6}|PT|FT|LT|XV|FV|ESD)\b"
 
 
 def col(c: Column | str) -> Column:
@@ -52,19 +54,21 @@ def is_conversational(question: Column | str) -> Column:
     return F.coalesce(F.array_contains(known, clean) | ((F.size(words) > 0) & (F.size(words) <= 3) & F.arrays_overlap(words, known)), F.lit(False))
 
 
-def is_followup(question: Column | str, whole_words: bool = False) -> Column:
+def is_followup(question: Column | str, earlier: Column | int = 1, whole_words: bool = False) -> Column:
     """A question that needs the turns before it: up to four words without a tag, or with a phrase that points back.
 
-    Phrases are looked for as parts of words too; ``whole_words`` asks for word boundaries."""
+    ``earlier``: how many turns there are before it; without any there is nothing to follow up on.  Phrases are looked
+    for as parts of words too; ``whole_words`` asks for word boundaries."""
     q = F.lower(stripped(question))
     words = F.size(F.filter(F.split(q, r"\s+"), lambda w: w != ""))
-    tagged = col(question).rlike(r"(?i)\b(?:[A-Z]{2,6}-[A-Z0-9]{2,6}|PT|FT|LT|XV|FV|ESD)\b")
+    tagged = col(question).rlike(OWN_TAG)
     clean = F.regexp_replace(q, r"(?U)[^\w\s]", " ")
     if whole_words:
         points = clean.rlike(r"\b(?:" + "|".join(FOLLOWUPS) + r")\b")
     else:
         points = F.exists(F.array(*map(F.lit, FOLLOWUPS)), lambda p: F.contains(clean, p))
-    return F.coalesce(((words <= 4) & ~tagged) | points, F.lit(False))
+    history = F.lit(earlier) if isinstance(earlier, int) else F.coalesce(earlier, F.lit(0))
+    return F.coalesce((history > 0) & (((words <= 4) & ~tagged) | points), F.lit(False))
 
 
 def json_reply(text: Column | str) -> Column:

@@ -14,8 +14,9 @@ from millrace.functions.tags import classify, extract_measurements, extract_tags
 SIZE, OVERLAP, LEAST = 900, 150, 80
 
 
-def _units(text: str, size: int) -> Iterator[str]:
-    """Pieces no longer than ``size`` where structure allows: sections, paragraphs, runs of sentences, hard cuts."""
+def _units(text: str, size: int, lossy: bool) -> Iterator[str]:
+    """Pieces no longer than ``size`` where structure allows: sections, paragraphs, runs of sentences, hard cuts.  A run of
+    more than ``size`` characters without white space is cut into several; ``lossy`` keeps its end only."""
     for section in map(str.strip, re.split(r"(?=\n#+ )", text)):
         if len(section) <= size:
             if section:
@@ -34,23 +35,25 @@ def _units(text: str, size: int) -> Iterator[str]:
                     yield line
                 line = sentence if len(sentence) <= size else ""
                 if not line:
-                    yield from filter(None, (m.strip() for m in re.findall(rf".{{1,{size}}}(?:\s+|$)", sentence)))
+                    ends = r"(?:\s+|$)" if lossy else r"(?:\s+|$|(?=\S))"
+                    yield from filter(None, (m.strip() for m in re.findall(rf".{{1,{size}}}{ends}", sentence, 0 if lossy else re.S)))
             if line:
                 yield line
 
 
-def split_text(text: str | None, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> list[str]:
+def split_text(text: str | None, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, lossy: bool = False) -> list[str]:
     """Units packed into chunks of about ``size``; a chunk begins with the last units of the one before that fit into
-    ``overlap``.  Chunks under ``least`` are left out, but for the last, which goes only if it repeats the one before."""
+    ``overlap``.  A chunk under ``least`` goes on into the next one; ``lossy`` leaves it out, and of very long words all
+    but the end.  The last chunk goes only if it repeats the one before."""
     text = (text or "").strip()
     if len(text) <= size:
         return [text] if text else []
     out: list[str] = []
     held: list[str] = []
     length = 0
-    for unit in _units(text, size):
-        if held and length + len(unit) + 1 > size:
-            whole = "\n\n".join(held)
+    for unit in _units(text, size, lossy):
+        whole = "\n\n".join(held)
+        if held and length + len(unit) + 1 > size and (lossy or len(whole) >= least):
             if len(whole) >= least:
                 out.append(whole)
             room, k = overlap, len(held)
@@ -67,13 +70,13 @@ def split_text(text: str | None, size: int = SIZE, overlap: int = OVERLAP, least
     return out
 
 
-def semantic_chunks(docs: DataFrame, doc: str, text: str, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+def semantic_chunks(docs: DataFrame, doc: str, text: str, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, lossy: bool = False) -> DataFrame:
     """Rows (doc, chunk_index, chunk): a sequential fold per text, in Arrow batches and without a shuffle."""
     kind = docs.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = b["t"].map(lambda t: split_text(t, size, overlap, least))
+            parts = b["t"].map(lambda t: split_text(t, size, overlap, least, lossy))
             rows = pd.DataFrame({"doc": b["doc"], "chunk": parts, "chunk_index": parts.map(lambda p: list(range(len(p))))})
             yield rows.explode(["chunk", "chunk_index"]).dropna(subset=["chunk"]).astype({"chunk_index": "int32"})[["doc", "chunk_index", "chunk"]]
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.tags import asks_exactly, authority
+from millrace.operators import ontology, rerank
+
 RRF_K, THRESHOLD, PER_PAGE = 40, 0.38, 2
 #: Weights of dense and lexical ranks: when the question names a tag, and otherwise.
 TAGGED, PLAIN = (0.30, 0.70), (0.70, 0.30)
@@ -29,7 +32,7 @@ def fuse(dense: DataFrame, sparse: DataFrame, questions: DataFrame, k: int) -> D
     dw, bw = weights(F.col("tagged"))
     d = dense.select("qid", "doc", F.col("score").alias("dense"), F.lit(None).cast("double").alias("bm25"), F.col("rank"))
     s = sparse.select("qid", "doc", F.lit(None).cast("double").alias("dense"), F.col("score").alias("bm25"), F.col("rank"))
-    both = d.unionByName(s).join(F.broadcast(questions.select("qid", "tagged")), "qid")
+    both = d.unionByName(s).join(questions.select("qid", "tagged"), "qid")
     part = F.when(F.col("dense").isNotNull(), dw).otherwise(bw) / (RRF_K + F.col("rank"))
     found = both.groupBy("qid", "doc", "tagged").agg(
         F.max("dense").alias("dense"), F.max("bm25").alias("bm25"), F.sum(part).alias("rrf"), F.min(F.when(F.col("dense").isNotNull(), F.col("rank"))).alias("d_rank"), F.min("rank").alias("s_rank")
@@ -51,25 +54,47 @@ def diversify(hits: DataFrame, k: int, per_page: int = PER_PAGE, page: tuple[str
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "doc"))).where(F.col("place") <= k)
 
 
-def retrieve(index, vectors: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = 4, threshold: float = THRESHOLD, criteria: dict | None = None, prefilter: bool = False) -> DataFrame:
-    """The whole retrieval for a table of questions (qid, text, vector): one lazy plan.
+def prepare(questions: DataFrame, units: DataFrame) -> DataFrame:
+    """Questions (qid, text) with what each side searches for: ``dense_query`` (the question with spoken codes, a bar, the
+    question with definitions, where codes were added), ``lexical_query`` (the first four boosts behind the question) and
+    ``tagged``.  Blank questions go."""
+    asked = questions.where(F.length(F.trim("text")) > 0)
+    out = ontology.expand(asked, units)
+    enriched = ontology.expand_acronyms(F.col("text"))
+    dense = F.when(enriched != F.trim("text"), F.concat(enriched, F.lit(" | "), F.col("dense_text"))).otherwise(F.col("dense_text"))
+    words = F.concat_ws(" ", F.trim("text"), F.array_join(F.slice("boosts", 1, 4), " "))
+    return out.select(*asked.columns, dense.alias("dense_query"), F.trim(words).alias("lexical_query"), asks_exactly("text").alias("tagged"))
+
+
+def retrieve(index, vectors: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = 4, threshold: float = THRESHOLD, criteria: dict | None = None, prefilter: bool = False, score=None) -> DataFrame:
+    """The whole retrieval for a table of questions (qid, text, vector; by choice ``lexical_query`` and ``tagged``, see
+    ``prepare``): one lazy plan.
 
     ``criteria`` filter vectors before the ranking.  Lexical hits are filtered after it, which leaves gaps in their
     ranks; ``prefilter`` filters them before as well.  ``chunks`` has doc, filename, page_number, location, revision.
+    ``score`` (a function of hits with question, text, tags, score and rank; see ``rerank.reranker``) ranks again.
     """
-    from millrace.functions.tags import authority, query_tags
     from millrace.operators import dense as D
     from millrace.operators import lexical as L
 
-    coded = F.col("text").rlike(r"\b[A-Z]{2,5}-?\d{2,5}\b")
-    questions = questions.where(F.length(F.trim("text")) > 0).withColumn("tagged", (F.size(query_tags("text")) > 0) | coded)
+    questions = questions.where(F.length(F.trim("text")) > 0)
+    if "tagged" not in questions.columns:
+        questions = questions.withColumn("tagged", asks_exactly("text"))
     near = D.search(vectors, questions, 2 * k, "doc", "embedding", criteria)
     if criteria and prefilter:
         kept = chunks.where(D.matches(chunks, criteria)).select("doc")
         index = L.Index(index.postings.join(kept, "doc", "left_semi"), index.lengths, index.stats)
-    words = L.search(index, questions, 2 * k)
+    asked = questions.select("qid", (F.col("lexical_query") if "lexical_query" in questions.columns else F.col("text")).alias("text"))
+    words = L.search(index, asked, 2 * k)
     if criteria and not prefilter:
         words = words.join(chunks.where(D.matches(chunks, criteria)).select("doc"), "doc", "left_semi")
-    fused = fuse(near, words, questions, k).join(chunks, "doc").join(F.broadcast(questions.select("qid", "text")), "qid")
-    fused = fused.withColumn("score", F.round(F.col("score") * authority(F.col("filename"), F.col("location"), F.col("text"), F.col("revision")), 4))
-    return diversify(fused.drop("text"), k, threshold=threshold)
+    named = chunks.withColumnRenamed("text", "body") if "text" in chunks.columns else chunks
+    fused = fuse(near, words, questions, k).join(named, "doc").join(questions.select("qid", F.col("text").alias("question")), "qid")
+    factor = authority(F.col("filename"), F.col("location"), F.col("question"), F.col("revision"))
+    fused = fused.withColumn("score", F.round(F.col("score") * factor, 4))
+    if "body" in fused.columns:
+        fused = fused.withColumnRenamed("body", "text")
+    found = diversify(fused, k, threshold=threshold)
+    if score is not None:
+        found = rerank.rerank(found, score(found), k).withColumn("place", F.col("rank") + 1)
+    return found.drop("question")

@@ -42,7 +42,7 @@ def expand(questions: DataFrame, units: DataFrame, text: str = "text") -> DataFr
     alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
     words = questions.select("qid", F.posexplode(F.regexp_extract_all(F.upper(F.col(text)), F.lit(r"\b([A-Z0-9_\-./]+)\b"), F.lit(1))).alias("at", "word"))
     words = words.withColumn("code", F.coalesce(F.try_element_at(alias, F.col("word")), F.col("word")))
-    meant = words.join(F.broadcast(units), "code")
+    meant = words.join(units, "code")
     found = meant.groupBy("qid").agg(
         F.sort_array(F.collect_list(F.struct("at", F.concat("code", F.lit(" ("), "full_name", F.lit("): "), "context").alias("d")))).alias("defs"),
         F.flatten(F.collect_list(F.concat(F.array("full_name"), "synonyms"))).alias("names"),

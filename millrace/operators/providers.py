@@ -31,21 +31,49 @@ class MockEmbedder:
 def embed(chunks: DataFrame, provider, text: str = "text", make: Callable | None = None) -> DataFrame:
     """``chunks`` with ``embedding``: an expression where the provider has one, else Arrow batches.
 
-    ``make`` builds a model once per Python worker; a batch that fails gets zero vectors."""
+    ``make`` builds a model once per Python worker.  Texts of a batch that fails are tried one by one; those that fail
+    again have a null embedding and the reason in ``embed_error``."""
     if hasattr(provider, "column"):
-        return chunks.withColumn("embedding", provider.column(F.col(text)))
+        return chunks.withColumn("embedding", provider.column(F.col(text))).withColumn("embed_error", F.lit(None).cast("string"))
     make = make or (lambda: provider)
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("embedding array<float>, error string")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = make()
         for b in batches:
+            texts = b.fillna("").tolist()
             try:
-                yield pd.Series(list(model.embed(b.fillna("").tolist())))
+                rows = [(v, None) for v in model.embed(texts)]
             except Exception:  # the model's own failure, whatever it is
-                yield pd.Series([[0.0] * model.dimension] * len(b))
+                rows = []
+                for t in texts:
+                    try:
+                        rows.append((model.embed([t])[0], None))
+                    except Exception as e:
+                        rows.append((None, f"{type(e).__name__}: {e}"[:300]))
+            yield pd.DataFrame(rows, columns=["embedding", "error"])
 
-    return chunks.withColumn("embedding", vectors(F.col(text)))
+    out = chunks.withColumn("__v", vectors(F.col(text)))
+    return out.withColumn("embedding", F.col("__v.embedding")).withColumn("embed_error", F.col("__v.error")).drop("__v")
+
+
+#: Makers of embedders by name; those that need a model are added by whoever has one.
+EMBEDDERS: dict[str, Callable] = {"mock": MockEmbedder}
+
+
+def embedder(name: str = "mock", **options):
+    """The embedder of a name."""
+    if name not in EMBEDDERS:
+        raise ValueError(f"no embedder {name!r}; there are {', '.join(EMBEDDERS)}")
+    return EMBEDDERS[name](**options)
+
+
+def available_models(fetch: Callable[[], list[str]]) -> list[str]:
+    """The names that a service lists; none where it can't be reached."""
+    try:
+        return [n for n in fetch() if n]
+    except Exception:  # the service's own failure
+        return []
 
 
 def choose_model(available: list[str], preferred: list[str]) -> str | None:
@@ -56,45 +84,3 @@ def choose_model(available: list[str], preferred: list[str]) -> str | None:
                 if test(have, want):
                     return have
     return available[0] if available else None
-
-
-def valid_plan(plan: dict, tools: set[str] = frozenset({"rag_search", "python_repl", "generate_response", "create_excel", "create_word", "create_ppt"})) -> bool:
-    """One to five steps of known tools, searches with a query; a plan that searches also answers."""
-    steps = plan.get("steps") if isinstance(plan, dict) else None
-    if not isinstance(steps, list) or not 1 <= len(steps) <= 5:
-        return False
-    names = [s.get("tool") for s in steps if isinstance(s, dict)]
-    if len(names) != len(steps) or not set(names) <= tools:
-        return False
-    if any(s["tool"] == "rag_search" and not str((s.get("params") or {}).get("query", "")).strip() for s in steps):
-        return False
-    return "rag_search" not in names or "generate_response" in names
-
-
-class Agent:
-    """Plans, searches, checks, answers; each search is a Spark job.  ``plan`` and ``answer`` may be models."""
-
-    def __init__(self, search: Callable[[str], list[dict]], plan: Callable[[str], dict] | None = None, answer: Callable[[str, list[dict]], str] | None = None, replans: int = 2):
-        self.search, self.plan, self.answer, self.replans = search, plan, answer, replans
-
-    def events(self, task: str) -> Iterator[dict]:
-        if not task.strip():
-            yield {"type": "done", "answer": "", "reason": "empty"}
-            return
-        query = task
-        for attempt in range(self.replans + 1):
-            plan = self.plan(query) if self.plan else None
-            if not plan or not valid_plan(plan):
-                plan = {"goal": task, "steps": [{"tool": "rag_search", "params": {"query": query}}, {"tool": "generate_response", "params": {}}]}
-            yield {"type": "plan", "attempt": attempt, "plan": plan}
-            hits: list[dict] = []
-            for step in plan["steps"]:
-                if step["tool"] == "rag_search":
-                    hits = self.search(step["params"]["query"])
-                    yield {"type": "retrieval", "hits": len(hits)}
-            if hits:
-                text = self.answer(task, hits) if self.answer else "\n".join(f"[E{i}] {h.get('filename')}: {str(h.get('text'))[:300]}" for i, h in enumerate(hits, 1))
-                yield {"type": "done", "answer": text, "sources": [h.get("filename") for h in hits]}
-                return
-            query = " ".join(w for w in task.split() if len(w) > 3) or task
-        yield {"type": "done", "answer": "The documents hold too little evidence for an answer.", "sources": []}

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.schemas import DEFAULTS, PAYLOAD
+
 
 def scan(spark, folder: str) -> DataFrame:
-    """Files below a folder that a reader takes, with hash and id, by path."""
+    """Files below a folder that a reader takes, with hash and id, in the order of their paths."""
     from millrace.functions.tags import is_supported
     from millrace.functions.vectors import document_id
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.where(is_supported("path")).select("path", F.sha2("content", 256).alias("file_hash"), document_id("path").alias("document_id"), "length")
+    return files.where(is_supported("path")).select("path", F.sha2("content", 256).alias("file_hash"), document_id("path").alias("document_id"), "length").orderBy("path")
 
 
 def compare(current: DataFrame, known: DataFrame, scope: str | None = None, force: bool = False) -> DataFrame:
@@ -38,6 +40,40 @@ def summary(changes: DataFrame) -> DataFrame:
     return changes.agg(F.count("*").alias("total"), *counts, F.count_if((F.col("change") == "failed") & F.contains(error, F.lit("ocr"))).alias("ocr_failed"))
 
 
+def by_path(known: DataFrame, path) -> DataFrame:
+    """The row of a path (or the rows of a column of paths, given as a table with ``path``)."""
+    return known.where(F.col("path") == path) if isinstance(path, str) else known.join(path.select("path").distinct(), "path", "left_semi")
+
+
+def by_id(known: DataFrame, document) -> DataFrame:
+    """The row of a document id (or the rows of a table with ``document_id``)."""
+    return known.where(F.col("document_id") == document) if isinstance(document, str) else known.join(document.select("document_id").distinct(), "document_id", "left_semi")
+
+
+def listed(known: DataFrame) -> DataFrame:
+    """The registry by file name, then by path."""
+    return known.orderBy("filename", "path")
+
+
+def without(known: DataFrame, gone: DataFrame, key: str = "document_id") -> DataFrame:
+    """The registry without the rows whose key is in ``gone``."""
+    return known.join(gone.select(key).distinct(), key, "left_anti").select(*known.columns)
+
+
+def payload(chunks: DataFrame, nulls: bool = False) -> DataFrame:
+    """Chunks with the columns that a search gives back.  A column that is missing has its default; with ``nulls``, null
+    values have it too."""
+    out = []
+    for name, default in DEFAULTS.items():
+        kind = PAYLOAD.get(name, "string")
+        value = F.expr(f"cast(array() as {kind})") if kind.startswith("array") else F.lit(default).cast(kind)
+        if name in chunks.columns:
+            value = F.coalesce(F.col(name), value) if nulls else F.col(name)
+        out.append(value.alias(name))
+    rest = [c for c in chunks.columns if c not in DEFAULTS]
+    return chunks.select(*rest, *out)
+
+
 def merge(known: DataFrame, rows: DataFrame, key: str = "path") -> DataFrame:
     """``known`` with ``rows`` put in: new keys are added, of known ones the columns that aren't null are replaced."""
     new = rows.select(*(F.col(c).alias(f"__{c}") for c in rows.columns))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,31 @@ def mock_score(question: Column, text: Column, rank: Column) -> Column:
     return F.round(1 - 0.05 * rank + F.when(hit, 1.0).otherwise(0.0), 4)
 
 
+def model_score(score: Callable[[list[str], list[str]], list[float]], question: Column, text: Column, fallback: Column) -> Column:
+    """Scores of a model on pairs of question and text, in Arrow batches; a batch that it fails on has ``fallback``."""
+
+    @F.pandas_udf("double")
+    def run(q: pd.Series, t: pd.Series, other: pd.Series) -> pd.Series:
+        try:
+            return pd.Series([float(x) for x in score(q.fillna("").tolist(), t.fillna("").tolist())])
+        except Exception:  # the model's own failure
+            return other
+
+    return F.round(run(question, text, fallback.cast("double")), 4)
+
+
+def reranker(name: str = "lexical", model: Callable | None = None) -> Callable[[DataFrame], Column]:
+    """How hits (question, text, tags, score, rank) are scored: "lexical", "mock", or "model" with one that is given."""
+    words = lambda h: lexical_score(F.col("question"), F.col("text"), F.col("tags"), F.col("score"))
+    if name == "mock":
+        return lambda h: mock_score(F.col("question"), F.col("text"), F.col("rank"))
+    if name == "model" and model is not None:
+        return lambda h: model_score(model, F.col("question"), F.col("text"), words(h))
+    if name in ("lexical", "model"):
+        return words
+    raise ValueError(f"no reranker {name!r}")
+
+
 def rerank(hits: DataFrame, score: Column, k: int) -> DataFrame:
     """The ``k`` best hits of each question by ``score``, ties by their rank before."""
     hits = hits.withColumn("rerank_score", score).withColumnRenamed("rank", "rank_before")

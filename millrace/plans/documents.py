@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.tags import file_kind, is_supported
 from millrace.functions.vectors import document_id
-from millrace.operators import evidence, graph, memory, registry
+from millrace.operators import graph, memory, registry
 from millrace.plans.register import query, table
+from millrace.sources import readers
 
 
 def snapshots(spark, d):
@@ -78,10 +78,10 @@ def graph_bfs(spark, d):
     return graph.bfs(edges(spark, d), seeds, 2).select("seed", "node", "hop")
 
 
-@query("graph_context", f"WITH {_EDGES} SELECT upper(n_name) AS seed, count(*) AS n FROM nation JOIN e ON dst = upper(n_name) OR src = upper(n_name) GROUP BY ALL")
+@query("graph_context", f"WITH {_EDGES} SELECT upper(n_name) AS seed, src || ' --[' || CASE WHEN dst = upper(n_name) THEN 'of' ELSE 'lies in' END || ']--> ' || dst AS line FROM nation JOIN e ON dst = upper(n_name) OR src = upper(n_name)")
 def graph_context(spark, d):
     seeds = table(spark, d, "nation").select(F.upper("n_name").alias("seed"))
-    return graph.context(edges(spark, d), seeds, 1).groupBy("seed").agg(F.count("*").alias("n"))
+    return graph.context(edges(spark, d), seeds, 1)
 
 
 @query("memory_last6", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6")
@@ -109,37 +109,15 @@ def airgap_last10(spark, d):
     return memory.audit_last(audit(spark, d).withColumnRenamed("ts", "timestamp")).select("event_id", "is_local")
 
 
-@query("visual_handoff", "SELECT doc_id, doc_id % 9 IN (0, 4, 7) OR doc_id % 2 = 0 AS visual FROM documents")
-def visual_handoff(spark, d):
-    from millrace.functions.tags import classify, is_visual
-    from millrace.plans.textual import _PATHS
-
-    c = classify(F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("doc_id") % 9 + 1).cast("int")))
-    return table(spark, d, "documents").select("doc_id", is_visual(F.lit(False), c["content_type"], c["file_type"], F.col("doc_id") % 2 == 0).alias("visual"))
-
-
 @query(
-    "dossier_lookup",
-    """WITH t AS (SELECT 'PT-' || CAST(100 + k AS VARCHAR) AS tag, k FROM (SELECT unnest(range(0, 500)) AS k)), n AS (SELECT 'PT-' || CAST(100 + doc_id % 400 AS VARCHAR) AS tag, count(DISTINCT source) AS n FROM documents GROUP BY ALL)
-    SELECT tag, CASE WHEN k % 50 = 0 THEN 'known' WHEN n IS NOT NULL THEN 'mined' ELSE 'none' END AS origin, coalesce(n, 0) AS documents FROM t LEFT JOIN n USING (tag)""",
+    "manifest_join",
+    """WITH m AS (SELECT doc_id, 'd' || CAST(doc_id // 2 AS VARCHAR) || '.dwg' AS filename, lang, source FROM documents WHERE doc_id % 3 <> 0), f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY filename ORDER BY doc_id) = 1)
+    SELECT d.doc_id, md5(coalesce(text, '') || CASE WHEN d.doc_id % 4 <> 0 THEN chr(10) || 'Processing: ' || coalesce(f.lang, 'render_to_image_then_vision_ocr') || chr(10) || 'Retrieval: ' || coalesce(f.source, 'multimodal') ELSE '' END) AS text
+    FROM documents d LEFT JOIN f ON f.filename = 'd' || CAST(d.doc_id AS VARCHAR) || '.dwg'""",
 )
-def dossier_lookup(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("filename"), "text", F.expr("array('PT-' || (100 + doc_id % 400))").alias("tags"))
-    tags = spark.range(500).select(F.expr("'PT-' || (100 + id)").alias("tag"), "id")
-    known = tags.where("id % 50 = 0").select("tag", F.lit("pressure").alias("service"))
-    out = evidence.dossiers(tags.select("tag"), known, docs)
-    return out.select("tag", "origin", F.coalesce(F.size("found_in"), F.lit(0)).cast("long").alias("documents"))
-
-
-@query("manifest_join", "SELECT p_partkey, n_name AS category FROM part LEFT JOIN (SELECT n_nationkey, n_name FROM nation) ON p_partkey % 40 = n_nationkey")
 def manifest_join(spark, d):
-    manifest = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("category"))
-    return table(spark, d, "part").join(F.broadcast(manifest), F.col("p_partkey") % 40 == F.col("k"), "left").select("p_partkey", "category")
-
-
-@query("supported_files", "SELECT doc_id, ['dwg', 'pdf', 'xlsx', 'docx', 'png', 'txt', 'pdf', 'jpg', 'md'][doc_id % 9 + 1] <> 'md' AS supported, ['unknown', 'pdf', 'xlsx', 'docx', 'image', 'unknown', 'pdf', 'image', 'unknown'][doc_id % 9 + 1] AS kind FROM documents")
-def supported_files(spark, d):
-    from millrace.plans.textual import _PATHS
-
-    path = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("doc_id") % 9 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", is_supported(path).alias("supported"), file_kind(path).alias("kind"))
+    """Drawings with what the first row of their name in a manifest says; other records stay."""
+    docs = table(spark, d, "documents")
+    manifest = docs.where("doc_id % 3 <> 0").select(F.expr("'d' || (doc_id div 2) || '.dwg'").alias("filename"), F.col("lang").alias("recommended_processing"), F.col("source").alias("retrieval_mode"), "doc_id")
+    records = docs.select("doc_id", F.expr("'d' || doc_id || '.dwg'").alias("filename"), F.coalesce("text", F.lit("")).alias("text"), F.expr("if(doc_id % 4 <> 0, 'cad_drawing', 'document')").alias("content_type"))
+    return readers.with_manifest(records, readers.first_rows(manifest, "doc_id")).select("doc_id", F.md5("text").alias("text"))

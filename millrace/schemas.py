@@ -17,8 +17,11 @@ AUDIT = "timestamp timestamp, component string, operation string, target string,
 TURNS = "conv_id long, turn long, question string, answer string, sources array<string>"
 EVAL_QUESTIONS = "question string, expected_keywords array<string>, category string"
 
-#: What a missing value of a chunk means.
+#: What a missing value of a chunk means, in the order of the columns that a search gives back.
 DEFAULTS = {
-    "source": "Unknown", "filename": "Unknown", "location": "Unknown", "page_number": 1, "file_type": "unknown", "content_type": "document",
-    "category": "general", "document_type": "general", "extraction_method": "native_text", "ocr_used": False, "parent_id": "", "parent_text": "",
+    "text": "", "source": "Unknown", "filename": "Unknown", "location": "Unknown", "page_number": 1, "section": None, "file_type": "unknown", "content_type": "document",
+    "category": "general", "document_type": "general", "tags": [], "measurements": [], "ocr_used": False, "extraction_method": "native_text", "ocr_confidence": None,
+    "parent_id": "", "parent_text": "", "citation": "",
 }
+#: Types of those that aren't strings.
+PAYLOAD = {"page_number": "int", "tags": "array<string>", "measurements": "array<string>", "ocr_used": "boolean", "ocr_confidence": "double"}

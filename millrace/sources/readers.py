@@ -166,14 +166,42 @@ def read_files(spark: SparkSession, folder: str, readers: dict = READERS) -> tup
     return read.where("error is null").drop("error"), read.where("error is not null").select(F.col("source").alias("path"), "error")
 
 
+def first_rows(manifest: DataFrame, order: str) -> DataFrame:
+    """The first row of each file name."""
+    return manifest.groupBy("filename").agg(F.min_by(F.struct(*manifest.columns), order).alias("__r")).select("__r.*")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A manifest (CSV with a header): the first row of each file name."""
     rows = spark.read.csv(path, header=True, quote='"', escape='"').withColumn("__n", F.monotonically_increasing_id())
-    first = rows.groupBy("filename").agg(F.min("__n").alias("__n"))
-    return rows.join(first, ["filename", "__n"], "left_semi").drop("__n")
+    return first_rows(rows, "__n").drop("__n")
+
+
+#: How a drawing is worked on where its manifest doesn't say.
+PROCESSING, MODE = "render_to_image_then_vision_ocr", "multimodal"
+
+
+def with_manifest(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Records, with what a manifest (filename, recommended_processing, retrieval_mode; a row a name) says of drawings put
+    to their texts.  Spark chooses how the two are joined."""
+    told = manifest.select("filename", F.col("recommended_processing").alias("__p"), F.col("retrieval_mode").alias("__m"))
+    line = F.concat(F.lit("\nProcessing: "), F.coalesce("__p", F.lit(PROCESSING)), F.lit("\nRetrieval: "), F.coalesce("__m", F.lit(MODE)))
+    drawn = F.when(F.col("content_type") == "cad_drawing", F.concat("text", line)).otherwise(F.col("text"))
+    return records.join(told, "filename", "left").withColumn("text", drawn).select(*records.columns)
+
 
+def read_questions(spark: SparkSession, path: str, default: list[tuple] | None = None) -> DataFrame:
+    """Questions (question, expected_keywords, category) of a JSON file; where there is none, ``default`` is written there
+    first."""
+    import json
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
     from millrace.schemas import EVAL_QUESTIONS
 
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if default is not None and not store.exists(where):
+        rows = [dict(zip(("question", "expected_keywords", "category"), q, strict=True)) for q in default]
+        out = store.create(where)
+        out.write(bytearray(json.dumps(rows, indent=2).encode()))
+        out.close()
     return spark.read.schema(EVAL_QUESTIONS).json(path, multiLine=True)

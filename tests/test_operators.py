@@ -123,18 +123,6 @@ def test_providers(spark):
     assert providers.choose_model(["llama3:8b", "qwen:4b"], ["mistral", "qwen:7b"]) == "qwen:4b"
 
 
-@pytest.mark.parametrize("plan,good", [({"steps": [{"tool": "generate_response"}]}, True), ({"steps": []}, False), ({"steps": [{"tool": "rag_search", "params": {"query": "x"}}]}, False), ({"steps": [{"tool": "shell"}]}, False), (None, False)])
-def test_plans(plan, good):
-    assert providers.valid_plan(plan) is good
-
-
-def test_agent_replans_and_gives_up():
-    tried = []
-    events = list(providers.Agent(lambda q: tried.append(q) or []).events("where is the relief valve"))
-    assert len(tried) == 3 and events[-1]["sources"] == []
-    events = list(providers.Agent(lambda q: [{"filename": "f", "text": "t"}]).events("q"))
-    assert events[-1]["sources"] == ["f"]
-
 
 def test_whole_texts_are_judged_for_sufficiency(spark, tmp_path):
     from millrace.plans import catalog
