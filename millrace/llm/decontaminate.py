@@ -1,9 +1,10 @@
 """Benchmark decontamination as a prefix-filtered set join of built-in operators only.
 
-The windows of the benchmark are the small side.  Each window needs one prefix token, its rarest shingle over all
-documents: a text that contains the window contains that shingle too (the threshold is full containment, so the
-necessary prefix has length one).  Documents' shingles are joined with these; the shingle's place in the window gives
-where the window would begin, length and position bounds drop what cannot fit, and the words themselves decide.
+The windows of the benchmark are the small side.  A first pass over the documents counts the benchmark's shingles, and
+nothing else.  Each window then needs one prefix token, its rarest shingle over all documents: a text that contains the
+window contains that shingle too (the threshold is full containment, so the necessary prefix has length one).  A second
+pass joins the documents' shingles with these few; the shingle's place in the window gives where the window would begin,
+length and position bounds drop what cannot fit, and the words that stand there decide.
 """
 
 from __future__ import annotations
@@ -14,13 +15,33 @@ from pyspark.sql import functions as F
 from millrace.llm import exprs as X
 from millrace.llm.storage import written
 
-#: Shingles (8 bytes each) and windows (some 300 bytes each) that are broadcast at most; beyond that both sides are shuffled.
-BROADCAST_SHINGLES, BROADCAST_WINDOWS = 2_000_000, 100_000
+#: Rows of shingles (16 to 32 bytes each) that are broadcast at once; beyond that the documents are read in several passes.
+BROADCAST_SHINGLES = 500_000
 
 
-def _shingles(words: str, width: int) -> str:
-    at = ", ".join(f"get(w, i + {k})" for k in range(width))
-    return X.let(words, "w", f"if(size(w) < {width}, cast(array() as array<bigint>), transform(sequence(0, size(w) - {width}), i -> xxhash64({at})))")
+def _hash(width: int) -> str:
+    """The shingle that begins at place ``pos`` of the words ``w``, null beyond the last; a hash knows its width."""
+    at = ", ".join(f"get(w, pos + {k})" for k in range(width))
+    return f"if(pos + {width} <= size(w), xxhash64({width}, {at}), null)"
+
+
+def _places(texts: DataFrame, widths: list[int]) -> DataFrame:
+    """``texts`` (key, words w) with a row for each place ``pos`` and shingle ``h``: loops of generated code, no arrays of hashes."""
+    rows = texts.select("*", F.posexplode("w").alias("pos", "word")).drop("word")
+    if len(widths) == 1:
+        return rows.withColumn("h", F.expr(_hash(widths[0])))
+    return rows.withColumn("h", F.explode(F.expr(f"array({', '.join(map(_hash, widths))})")))
+
+
+def _in_blocks(rows: DataFrame, name: str, one_pass) -> DataFrame:
+    """What ``one_pass`` finds for the rows of a small side (column ``h``), dealt into blocks that may be broadcast."""
+    blocks = max(1, -(-rows.count() // BROADCAST_SHINGLES))
+    found = None
+    for k in range(blocks):
+        mine = rows.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == k) if blocks > 1 else rows
+        part = written(one_pass(F.broadcast(mine)), name)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def decontaminate(
@@ -39,67 +60,50 @@ def decontaminate(
     a row.  Extra columns are ignored, whatever their names.  Texts are taken whole.  ``with_key`` adds the row's
     ``__key`` (``exprs.with_row_key``), by which verdicts join back where ids are null or repeated.
     """
-    spark, key = docs.sparkSession, ["__key"] if with_key else []
-    docs = X.with_row_key(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), "__id", "__t")
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.expr(X.plain_words(f"`{item_text_col}`")).alias("w")).where("size(w) > 0")
-    windows = (
-        items.select("item", F.explode(F.expr(f"transform(sequence(0, greatest(size(w) - {window}, 0)), i -> slice(w, i + 1, {window}))")).alias("win"))
-        .groupBy("win")
-        .agg(F.collect_set("item").alias("items"))
-    )
+    key = ["__key"] if with_key else []
+    docs = X.with_row_key(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t")), "__id", "__t")
+    texts = docs.select("__key", F.expr(X.plain_words("__t")).alias("w"))
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.expr(X.plain_words(f"`{item_text_col}`")).alias("w")).where("size(w) > 0")
+    windows = items.select("item", F.explode(F.expr(f"transform(sequence(0, greatest(size(w) - {window}, 0)), i -> slice(w, i + 1, {window}))")).alias("win")).distinct()
     windows = written(windows, "decontaminate-windows")
     widths = sorted(r[0] for r in windows.select(F.least(F.size("win"), F.lit(shingle)).alias("s")).distinct().collect())  # at most `shingle` rows
-    parts = [
-        windows.where(F.least(F.size("win"), F.lit(shingle)) == s).select("win", F.posexplode(F.expr(_shingles("win", s))).alias("offset", "h"), F.lit(s).alias("s"))
-        for s in widths
-    ]
-    if not parts:
-        return docs.select(
-            F.col("__id").alias(id_col), F.expr(f"cast(size({X.plain_words('__t')}) as bigint)").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"),
-            F.lit(0).cast("bigint").alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"),
-            *key,
+    words = F.expr("cast(size(w) as bigint)").alias("n_words")
+    if not widths:
+        none = docs.select("__id", "__key", F.expr(X.plain_words("__t")).alias("w"))
+        return none.select(
+            F.col("__id").alias(id_col), words, F.lit(0).cast("bigint").alias("n_hit"), F.lit(0).cast("bigint").alias("n_items"),
+            F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"), *key,
         )
-    wanted = parts[0]
-    for p in parts[1:]:
-        wanted = wanted.unionByName(p)
+    distinct = windows.select("win", F.col("win").alias("w")).distinct()
+    per_width = [_places(distinct.where(F.least(F.size("win"), F.lit(shingle)) == s), [s]).select("win", F.col("pos").alias("offset"), "h").where("h IS NOT NULL") for s in widths]
+    wanted = per_width[0]
+    for more in per_width[1:]:
+        wanted = wanted.unionByName(more)
     wanted = written(wanted, "decontaminate-shingles")
-    index = wanted.select("s", "h").distinct()
-    near = F.broadcast if index.count() <= BROADCAST_SHINGLES else lambda df: df
-    near_windows = F.broadcast if windows.count() <= BROADCAST_WINDOWS else lambda df: df
-
-    def occurrences(s: int) -> DataFrame:
-        places = docs.select("__key", F.posexplode(F.expr(_shingles(X.plain_words("__t"), s))).alias("pos", "h"))
-        return places.join(near(index.where(F.col("s") == s).select("h")), "h").select("__key", "pos", "h", F.lit(s).alias("s"))
-
-    hits = occurrences(widths[0])
-    for s in widths[1:]:
-        hits = hits.unionByName(occurrences(s))
-    hits = written(hits, "decontaminate-hits")
+
+    def count(index: DataFrame) -> DataFrame:
+        return _places(texts.select("w"), widths).select("h").join(index, "h").groupBy("h").agg(F.count("*").alias("c"))
+
+    counts = _in_blocks(wanted.select("h").distinct(), "decontaminate-counts", count)
     # The rarest shingle of each window over all documents; a window with one that no document has cannot occur.
-    counts = hits.groupBy("s", "h").agg(F.count("*").alias("c"))
-    prefix = (
-        wanted.join(counts, ["s", "h"], "left")
-        .groupBy("win", "s")
-        .agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "h", "offset")).alias("p"))
-        .where("p.c > 0")
-        .select("win", "s", "p.h", "p.offset")
-        .join(windows, "win")
-    )
-    found = (
-        hits.join(near_windows(prefix), ["s", "h"])
-        .where("pos >= offset")  # the window would begin before the text
-        .groupBy("__key")
-        .agg(F.collect_set(F.struct((F.col("pos") - F.col("offset")).alias("at"), "win", "items")).alias("c"))
-    )
-    held = docs.select("__key", "__t").join(found, "__key").dropDuplicates(["__key"])
-    verified = X.let(X.plain_words("__t"), "w", "filter(c, x -> x.at + size(x.win) <= size(w) AND slice(w, x.at + 1, size(x.win)) = x.win)")
-    spans = "sort_array(transform(v, x -> struct(x.at as a, x.at + size(x.win) as b)))"
-    union = f"aggregate({spans}, struct(0L as n, 0 as e), (s, x) -> struct(s.n + greatest(0, x.b - greatest(s.e, x.a)) as n, greatest(s.e, x.b) as e), s -> s.n)"
-    held = (
-        held.select("__key", F.expr(verified).alias("v"))
-        .where("size(v) > 0")
-        .select("__key", F.expr(union).alias("n_hit"), F.expr("sort_array(array_distinct(flatten(transform(v, x -> x.items))))").alias("items"))
-    )
+    rarest = wanted.join(counts, "h", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "h", "offset")).alias("p")).where("p.c > 0")
+    # Windows that have a prefix token in common at one place, and one size, are one row.
+    prefix = written(rarest.select("p.h", "p.offset", F.size("win").alias("m")).distinct(), "decontaminate-prefix")
+
+    def probe(index: DataFrame) -> DataFrame:
+        """Places of documents where a window would begin, with the words that stand there; a place past an end of the
+        text is none.  The words are cut from the text behind the join, in the same stage, so that texts don't travel."""
+        places = _places(texts, widths).join(index, "h").select("__key", "m", F.expr("pos - offset").alias("at"), "w").where("at >= 0 AND at + m <= size(w)")
+        return places.select("__key", "at", "m", F.expr("slice(w, at + 1, m)").alias("win"))
+
+    found = _in_blocks(prefix, "decontaminate-places", probe).distinct()
+    found = written(found.join(windows.select("win").distinct(), "win", "left_semi"), "decontaminate-found")
+    spans = "sort_array(collect_set(struct(at as a, at + m as b)))"
+    union = "aggregate(v, struct(0L as n, 0 as e), (s, x) -> struct(s.n + greatest(0, x.b - greatest(s.e, x.a)) as n, greatest(s.e, x.b) as e), s -> s.n)"
+    hit = found.groupBy("__key").agg(F.expr(spans).alias("v")).select("__key", F.expr(union).alias("n_hit"))
+    # An item's name joins each document that it is in once.
+    named = found.select("__key", "win").distinct().join(windows, "win").select("__key", "item").distinct()
+    held = hit.join(named.groupBy("__key").agg(F.sort_array(F.collect_list("item")).alias("items")), "__key", "left")
     out = docs.select("__id", "__key", F.expr(f"cast(size({X.plain_words('__t')}) as bigint)").alias("n_words")).join(held, "__key", "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("bigint")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return out.select(
