@@ -65,13 +65,22 @@ def _bits(rows: pd.DataFrame, n_of: dict[int, tuple[int, int]], n: int) -> np.nd
     return out
 
 
+def _runs_of(*sorted_: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins, in arrays that are sorted together."""
+    new = np.ones(len(sorted_[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_])
+    return new
+
+
 def substring_dedup(docs: DataFrame, block: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``n_words, n_removed`` and ``text`` (the kept words, joined by one space).
 
     Words are runs of characters other than ASCII white space.  A word goes if a window of ``2 * block - 1`` words over
     it also begins in a document with a smaller id; windows are judged on the input.  Ids are whole numbers; null ids
     count as one document below all others, and rows with one id as one document.  Null and empty texts have no words
-    and come back as ''.  Repeats within one document stay.  Extra columns are ignored; empty tables give no rows.
+    and come back as ''.  Texts of any length are whole (a chunk has one at least).  Repeats within one document stay;
+    of repeated rows under different ids the smallest id keeps its words.  Windows are told apart by 96 bits and the bits
+    of their shard.  Extra columns are ignored; empty tables give no rows.
     """
     window = 2 * block - 1
     folder, listed, shards, parts = C.stage(docs, id_col, text_col, "substring-chunks")
@@ -124,32 +133,39 @@ def substring_dedup(docs: DataFrame, block: int = 7, id_col: str = "doc_id", tex
         whole = inside_texts(c.counts, window)
         starts = np.flatnonzero(whole & (total[block : block + len(whole)] - total[: len(whole)] > 0))
         h, g = window_hashes(c.words, window, 1)[starts], window_hashes(c.words, window, 2)[starts]
-        shard = C.shard_of(g, shards)
+        shard, g = C.shard_of(g, shards), g.astype(np.uint32)  # the shard and 96 bits tell windows apart
         order = np.lexsort((h, shard))  # stable: equal windows stay in the documents' order
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (shard[order][1:] != shard[order][:-1])
+        other, differ = _runs_of(shard[order], h[order]), g[order]
+        if (~other[1:] & (differ[1:] != differ[:-1])).any():
+            order = np.lexsort((g, h, shard))
+            other = _runs_of(shard[order], h[order], g[order])
         of = np.zeros(len(order), dtype=np.int64)
-        of[order] = np.cumsum(new) - 1
-        least = order[new]
-        return starts, shard[least], h[least], c.doc[starts[least]], of
+        of[order] = np.cumsum(other) - 1
+        least = order[other]
+        return starts, shard[least], h[least], g[least], c.doc[starts[least]], of
 
     def send_windows(rows: pd.DataFrame) -> pd.DataFrame:
         name, out = rows["chunk"].iloc[0], []
         c = Chunk(get(f"{folder}/{name}"))
-        _, shard, h, doc, _ = windows(c, rows)
+        _, shard, h, g, doc, _ = windows(c, rows)
         for s, a, b in C.runs(shard):
-            out.append((s, name, b - a, C.squeeze(C.planes(np.diff(h[a:b], prepend=np.uint64(0))) + C.planes(c.number[doc[a:b]]))))
+            out.append((s, name, b - a, C.squeeze(C.planes(np.diff(h[a:b], prepend=np.uint64(0))) + C.planes(g[a:b]) + C.planes(c.number[doc[a:b]]))))
         return pd.DataFrame(out, columns=["shard", "chunk", "n", "data"])
 
     def answer_windows(rows: pd.DataFrame) -> pd.DataFrame:
-        hs, ids = [], []
+        hs, gs, ids = [], [], []
         for n, data in zip(rows["n"], rows["data"], strict=True):
             raw = C.unsqueeze(data)
             hs.append(np.cumsum(C.unplanes(raw[: 8 * n], "<u8", n), dtype=np.uint64))
-            ids.append(C.unplanes(raw[8 * n :], "<i8", n))
-        h, ids = np.concatenate(hs), np.concatenate(ids)
+            gs.append(C.unplanes(raw[8 * n : 12 * n], "<u4", n))
+            ids.append(C.unplanes(raw[12 * n :], "<i8", n))
+        h, g, ids = np.concatenate(hs), np.concatenate(gs), np.concatenate(ids)
         order = np.argsort(h, kind="stable")
-        starts = C.starts_of(h[order])
+        other, differ = _runs_of(h[order]), g[order]
+        if (~other[1:] & (differ[1:] != differ[:-1])).any():  # windows whose first 64 bits are alike
+            order = np.lexsort((g, h))
+            other = _runs_of(h[order], g[order])
+        starts = np.flatnonzero(other)
         least = np.repeat(np.minimum.reduceat(ids[order], starts), np.diff(np.concatenate([starts, [len(h)]])))
         out = np.zeros(len(h), dtype=bool)
         out[order] = least < ids[order]
@@ -162,7 +178,7 @@ def substring_dedup(docs: DataFrame, block: int = 7, id_col: str = "doc_id", tex
 
     def remove(rows: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(get(f"{folder}/{rows['chunk'].iloc[0]}"))
-        starts, shard, h, doc, of = windows(c, rows[rows["step"] == 1])
+        starts, shard, h, _, doc, of = windows(c, rows[rows["step"] == 1])
         smaller = _bits(rows[rows["step"] == 2], {s: (a, b) for s, a, b in C.runs(shard)}, len(h))
         gone = smaller[of] | (c.rank[c.doc[starts]] > c.rank[doc[of]] if len(of) else np.zeros(0, dtype=bool))
         edge = np.zeros(len(c.words) + window + 1, dtype=np.int32)
