@@ -157,7 +157,7 @@ class Engine:
 
     def condensed(self, question: str, history: list[tuple[str, str]]) -> str:
         """A question that follows up on earlier ones, rewritten by the model to stand for itself."""
-        if not history or self.call is None or not self._value(is_followup(F.lit(question), len(history))):
+        if not history or self.call is None or not self._value(is_followup(F.lit(question), earlier=len(history))):
             return question
         turns = self.spark.createDataFrame([(0, n, q, a, []) for n, (q, a) in enumerate(history)], TURNS)
         told = memory.summary(turns.select("conv_id", "turn", F.lit("user").alias("role"), F.concat_ws("\n", "question", "answer").alias("text"))).first()["summary"]

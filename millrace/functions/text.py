@@ -54,7 +54,7 @@ def is_conversational(question: Column | str) -> Column:
     return F.coalesce(F.array_contains(known, clean) | ((F.size(words) > 0) & (F.size(words) <= 3) & F.arrays_overlap(words, known)), F.lit(False))
 
 
-def is_followup(question: Column | str, earlier: Column | int = 1, whole_words: bool = False) -> Column:
+def is_followup(question: Column | str, whole_words: bool = False, earlier: Column | int = 1) -> Column:
     """A question that needs the turns before it: up to four words without a tag, or with a phrase that points back.
 
     ``earlier``: how many turns there are before it; without any there is nothing to follow up on.  Phrases are looked

@@ -196,7 +196,7 @@ def conversational_flag(spark, d):
 @query("followup_flag", rf"""WITH c AS (SELECT conv_id, turn, {_SHORT_SQL} AS t FROM conversations), l AS (SELECT *, regexp_replace(lower(regexp_replace(t, '^\s+|\s+$', '', 'g')), '[^\w\s]', ' ', 'g') AS c, list_filter(string_split_regex(lower(t), '\s+'), lambda x: x <> '') AS ws FROM c)
     SELECT conv_id, turn, turn > 1 AND ((len(ws) <= 4 AND NOT regexp_matches(t, '(?i)\b(?:[A-Z]{{2,6}}-[A-Z0-9]{{2,6}}|PT|FT|LT|XV|FV|ESD)\b')) OR regexp_matches(c, 'it|that|they|this|those|its|what about|how about|and for|same for|what is it|what does it|and what|also')) AS followup FROM l""")
 def followup_flag(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", text.is_followup(F.expr(_SHORT_SPARK), F.col("turn") - 1).alias("followup"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.is_followup(F.expr(_SHORT_SPARK), earlier=F.col("turn") - 1).alias("followup"))
 
 
 @query("cache_keys", f"WITH c AS (SELECT conv_id, turn, {_SHORT_SQL} AS t FROM conversations) SELECT conv_id, turn, sha256(regexp_replace(regexp_replace(lower(t), '[^\\w\\s]', '', 'g'), '^\\s+|\\s+$', '', 'g')) AS key FROM c")

@@ -118,7 +118,8 @@ def test_providers(spark):
             raise RuntimeError
 
     df = spark.createDataFrame([("a",)], "text string")
-    assert providers.embed(df, Fails()).first()["embedding"] == [0.0, 0.0, 0.0]
+    failed = providers.embed(df, Fails()).first()
+    assert failed["embedding"] is None and failed["embed_error"].startswith("RuntimeError")
     assert len(providers.embed(df, providers.MockEmbedder(8)).first()["embedding"]) == 8
     assert providers.choose_model(["llama3:8b", "qwen:4b"], ["mistral", "qwen:7b"]) == "qwen:4b"
 
@@ -130,26 +131,31 @@ def test_whole_texts_are_judged_for_sufficiency(spark, tmp_path):
     whole = "A sentence that goes on for quite some more than fifty letters and signs."
     rows = [(90, whole), (5, whole), (95, whole * 9), (1, "short"), (2, "." * 200), (3, None), (4, "  " + "a" * 49 + " "), (6, "a" * 50)]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["insufficient"] for r in catalog.queries()["text_sufficiency_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["insufficient"] for r in catalog.queries()["text_sufficiency"](spark, str(tmp_path)).collect()}
     assert got == {90: False, 5: False, 95: False, 1: True, 2: True, 3: True, 4: True, 6: False}
 
 
 def test_repairs_read_whole_texts(spark, tmp_path):
-    from millrace.plans import catalog
+    from millrace.functions import ocr
+    from millrace.plans import textual
 
     body = "Prose that stays.\n# Body\nSee TT 2O5 at 3O bar, 7 mpa, on 0l/1O/2023. " + "word " * 3000
     spark.createDataFrame([(13, body), (8, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    run = lambda name: {r[0]: r[1] for r in catalog.queries()[f"{name}_whole"](spark, str(tmp_path)).collect()}
-    end = "Valve PT l4O at 1O3 kpa on 1l/O5/2024 near xv"
+    noisy = textual.noisy(spark, str(tmp_path))
+    run = lambda f: {r[0]: r[1] for r in noisy.select("doc_id", f("t")).collect()}
+    end = "Valve PT l4O and xv23a at 1O3 kpa, 13.5 bar (g) and 4 - 20 ma on 1l/O5/2024 near xv, 9 deg c"
     parts = {
-        "ocr_fix_tags": ("TT 2O5", "TT-205", "PT l4O", "PT-140"), "ocr_fix_numbers": ("3O bar", "30 bar", "1O3 kpa", "103 kpa"), "ocr_fix_units": ("7 mpa", "7 MPa", "kpa", "kPa"),
-        "ocr_fix_dates": ("0l/1O/2023", "01/10/2023", "1l/O5/2024", "11/05/2024"), "unverified_mark": ("3O bar, 7 mpa", "3O bar [UNVERIFIED], 7 mpa [UNVERIFIED]", "1O3 kpa", "1O3 kpa [UNVERIFIED]"),
+        ocr.fix_tags: [("TT 2O5", "TT-205"), ("PT l4O", "PT-140")], ocr.normalize_units: [("7 mpa", "7 MPa"), ("kpa", "kPa"), ("bar (g)", "bar(g)"), ("4 - 20 ma", "4-20 mA"), ("9 deg c", "9 °C")],
+        ocr.fix_dates: [("0l/1O/2023", "01/10/2023"), ("1l/O5/2024", "11/05/2024")],
     }
-    for name, (a, b, c, d) in parts.items():
-        got = run(name)
-        assert got[13] == body.replace(a, b) + " " + end.replace(c, d), name
-        assert got[8].startswith(" Valve PT")
-    got = run("ocr_repair")[13]
-    assert "TT-205 at 30 bar [UNVERIFIED], 7 MPa [UNVERIFIED], on 01/10/2023." in got and "PT-140 at 103 kPa [UNVERIFIED] on 11/05/2024" in got and len(got) > len(body)
-    sections = run("sections")
-    assert sections[13].startswith("Body=See TT 2O5") and sections[13].endswith(";First=13;LIMITS:=a b;1.2 TRIP SETTINGS=") and sections[8] == "First=8;LIMITS:=a b;1.2 TRIP SETTINGS="
+    for f, changes in parts.items():
+        want = f"{body} {end}"
+        for a, b in changes:
+            want = want.replace(a, b)
+        assert run(f)[13] == want, f.__name__
+        assert run(f)[8].startswith(" Valve PT")
+    assert "3O bar [UNVERIFIED], 7 mpa [UNVERIFIED]" in run(lambda t: ocr.mark_doubtful(t, F.lit(0.3)))[13] and "30 bar" in run(ocr.fix_numbers)[13]
+    got = run(lambda t: ocr.repair(t, F.lit(0.3)))[13]
+    assert "TT-205 at 30 bar [UNVERIFIED], 7 MPa [UNVERIFIED], on 01/10/2023." in got and "PT-140" in got and "on 11/05/2024" in got and len(got) > len(body)
+    sections = noisy.select(ocr.sections(F.lit("intro\n# Body\nSee\n\nLIMITS:\na\nb\n1.2 TRIP SETTINGS")).alias("s")).first()["s"]
+    assert [(x["heading"], x["content"]) for x in sections] == [("Body", "See"), ("LIMITS:", "a\nb"), ("1.2 TRIP SETTINGS", "")]
