@@ -49,12 +49,12 @@ def dossier_box(dossier: DataFrame) -> Column:
 
 
 def references(hits: DataFrame, k: int | None = None) -> DataFrame:
-    """Of hits (tag, place, filename, page_number, document_type, score, text, tags) those that name their tag: document,
-    page, category, score and an excerpt of 300 characters, marked where it is cut."""
+    """Of hits (tag, place, filename, page_number, document_type, score, text, tags; by choice qid) those that name their
+    tag: document, page, category, score and an excerpt of 300 characters, marked where it is cut."""
     cut = F.when(F.length("text") > 300, F.concat(F.substring("text", 1, 300), F.lit("..."))).otherwise(F.col("text"))
     rows = hits.where(names(F.col("tag"), F.col("tags"), F.col("text")))
     rows = rows.where(F.col("place") <= k) if k else rows
-    return rows.select("tag", "place", F.col("filename").alias("document"), F.col("page_number").alias("page"), F.col("document_type").alias("category"), "score", cut.alias("excerpt"))
+    return rows.select(*(c for c in ("qid", "doc") if c in hits.columns), "tag", "place", F.col("filename").alias("document"), F.col("page_number").alias("page"), F.col("document_type").alias("category"), "score", cut.alias("excerpt"))
 
 
 def grounding(hits: DataFrame, questions: DataFrame) -> DataFrame:

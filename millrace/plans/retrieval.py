@@ -59,6 +59,13 @@ def dense_topk(spark, d):
     return dense(spark, d, K).select("qid", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("dense_clustered_topk", f"WITH {DENSE_SQL} SELECT qid, doc, round(score, 6) AS score, rank FROM dr WHERE rank < {K}")
+def dense_clustered_topk(spark, d):
+    """The nearest vectors of each question by the index, which finds them all."""
+    index = D.build_clusters(table(spark, d, "embeddings"))
+    return D.search_clusters(index, vector_questions(spark, d), K).select("qid", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     "dense_filtered_topk",
     f"""WITH {DENSE_SQL}, f AS (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) - 1 AS rank

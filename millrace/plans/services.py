@@ -99,9 +99,9 @@ def evidence_answers(spark, d):
 
 
 @query("evidence_blocks", f"""WITH {_RANKS.format(dense='')}, {_HITS.format(sparse='WHERE')} SELECT qid, place, md5('[E' || CAST(place AS VARCHAR) || ']' || chr(10) || 'Document: ' || filename || chr(10) || 'Page: ' || CAST(page_number AS VARCHAR) || chr(10)
-    || 'Location: Unknown' || chr(10) || 'Relevance: ' || CAST(round(score, 2)::DECIMAL(9, 2) AS VARCHAR) || chr(10) || regexp_replace(text, '^ +| +$', '', 'g') || chr(10)) AS block FROM h JOIN d ON d.doc_id = h.doc""")
+    || 'Location: Unknown' || chr(10) || 'Relevance: ' || CAST(score::DECIMAL(9, 4) AS VARCHAR) || chr(10) || regexp_replace(text, '^ +| +$', '', 'g') || chr(10)) AS block FROM h JOIN d ON d.doc_id = h.doc""")
 def evidence_blocks(spark, d):
-    hits = E.sources(retrieved(spark, d).withColumn("parent_id", F.lit("")).withColumn("parent_text", F.lit(""))).withColumn("score", F.round("score", 2).cast("decimal(9,2)"))
+    hits = E.sources(retrieved(spark, d).withColumn("parent_id", F.lit("")).withColumn("parent_text", F.lit(""))).withColumn("score", F.col("score").cast("decimal(9,4)"))
     return hits.select("qid", F.col("place").cast("long").alias("place"), F.md5(E.evidence_block(hits)).alias("block"))
 
 
@@ -114,13 +114,12 @@ def tag_hits(spark, d):
     """Hits for each tag that is asked for; of every other document the tags are known, of the others the text tells."""
     hits = L.search(index(spark, d), asked(spark, d).where("qid % 100 = 0"), K).join(documents(spark, d), "doc")
     own = F.expr("if(doc % 2 = 0, array(concat('pt-', 100 + doc % 400)), null)")
-    return hits.select(F.expr("concat('PT-', 100 + qid % 400)").alias("tag"), "doc", (F.col("rank") + 1).alias("place"), "text", "filename", "page_number", F.lit("general").alias("document_type"), "score", own.alias("tags"))
+    return hits.select("qid", F.expr("concat('PT-', 100 + qid % 400)").alias("tag"), "doc", (F.col("rank") + 1).alias("place"), "text", "filename", "page_number", F.lit("general").alias("document_type"), "score", own.alias("tags"))
 
 
-@query("tag_references", f"{_TAGGED} SELECT tag, doc, place, filename AS document, md5(CASE WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END) AS excerpt FROM n WHERE named")
+@query("tag_references", f"{_TAGGED} SELECT qid, tag, doc, place, filename AS document, md5(CASE WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END) AS excerpt FROM n WHERE named")
 def tag_references(spark, d):
-    hits = tag_hits(spark, d)
-    return E.references(hits).join(hits.select("tag", "place", "doc"), ["tag", "place"]).select("tag", "doc", F.col("place").cast("long").alias("place"), "document", F.md5("excerpt").alias("excerpt"))
+    return E.references(tag_hits(spark, d)).select("qid", "tag", "doc", F.col("place").cast("long").alias("place"), "document", F.md5("excerpt").alias("excerpt"))
 
 
 _DOSSIER_SQL = f"""{_TAGGED}, k AS (SELECT DISTINCT tag, CAST(substr(tag, 4) AS BIGINT) % 200 = 100 AS known FROM t),

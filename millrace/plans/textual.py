@@ -152,7 +152,7 @@ def semantic_chunks(spark, d):
 
 @query(
     "block_chunks",
-    """SELECT doc_id, CAST(k - 1 AS BIGINT) AS chunk_index, CASE WHEN k = 1 THEN 'T' || CAST(doc_id AS VARCHAR) || '|heading' ELSE 'T' || CAST(doc_id AS VARCHAR) || '|paragraph' END AS section,
+    """SELECT doc_id, 'doc_d' || CAST(doc_id AS VARCHAR) || '_r0_p1_b' || CAST(k - 1 AS VARCHAR) AS chunk_id, CAST(k - 1 AS BIGINT) AS chunk_index, CASE WHEN k = 1 THEN 'T' || CAST(doc_id AS VARCHAR) || '|heading' ELSE 'T' || CAST(doc_id AS VARCHAR) || '|paragraph' END AS section,
     md5('Source: [d' || CAST(doc_id AS VARCHAR) || '.pdf | Page 1]' || chr(10) || CASE WHEN k = 2 THEN 'Section: T' || CAST(doc_id AS VARCHAR) || chr(10) ELSE '' END || 'Content:' || chr(10) || CASE WHEN k = 1 THEN 'T' || CAST(doc_id AS VARCHAR) ELSE text END) AS text
     FROM documents, (VALUES (1), (2)) v(k)""",
 )
@@ -168,7 +168,7 @@ def block_chunks(spark, d):
     )
     c = chunking.block_chunks(records)
     kind = F.when(F.col("chunk_index") == 0, "heading").otherwise("paragraph")
-    return c.select(F.regexp_extract("filename", r"d(\d+)", 1).cast("long").alias("doc_id"), "chunk_index", F.concat_ws("|", "section", kind).alias("section"), F.md5("text").alias("text"))
+    return c.select(F.regexp_extract("filename", r"d(\d+)", 1).cast("long").alias("doc_id"), "chunk_id", "chunk_index", F.concat_ws("|", "section", kind).alias("section"), F.md5("text").alias("text"))
 
 
 _ASKED = ["What feeds the CDU and BS6 pool", "relief valve near PT-101", "Is ESD armed", "hello", "ok"]

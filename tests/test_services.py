@@ -259,6 +259,23 @@ def test_rerankers_by_name(spark):
         rerank.reranker("none")
 
 
+def test_clusters_find_what_the_exact_search_finds(spark):
+    from support import DATA
+
+    from millrace.operators import dense
+
+    vectors = spark.read.parquet(f"{DATA}/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    exact = {(r["qid"], r["doc"]) for r in dense.search(vectors, asked, 10).collect()}
+    index = dense.build_clusters(vectors)
+    assert index.vectors.count() == vectors.count()
+    assert {(r["qid"], r["doc"]) for r in dense.search_clusters(index, asked, 10, 4).collect()} == exact
+    found = {(r["qid"], r["doc"]) for r in dense.search_clusters(index, asked, 10, len(index.centres) // 2, exact=False).collect()}
+    assert len(found & exact) >= 0.9 * len(exact), len(found & exact) / len(exact)
+    odd = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert dense.build_clusters(odd, clusters=2).vectors.count() == 2 and dense.build_clusters(odd.where("false")).vectors.count() == 0
+
+
 def test_caches():
     lru, fifo = Cache(2), Cache(2, touch=False)
     for c in (lru, fifo):
