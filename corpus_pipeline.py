@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.decontaminate import decontaminate
-from millrace.llm.exprs import with_row_key
+from millrace.llm.exprs import free_prefix, with_row_key
 from millrace.llm.jaccard import jaccard_components
 from millrace.llm.linededup import line_dedup
 from millrace.llm.packing import pack
 from millrace.llm.quality import quality_rules
-from millrace.llm.storage import written
+from millrace.llm.storage import scope, shared_folder
 from millrace.shipping import ship
 
 
@@ -25,7 +25,7 @@ def _as(docs: DataFrame, like: DataFrame) -> DataFrame:
     """``docs`` with the columns of ``like`` and the length of its text."""
     if "n_chars" in like.columns:
         docs = docs.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType))
-    return docs.select(*like.columns)
+    return docs.select(*(f"`{c}`" for c in like.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,23 +38,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of five documents and more stay in the last of them only."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    row = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("row"))
+    row = docs.select("doc_id", "text", (F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None)).alias("row"))
     return _as(line_dedup(row).select("doc_id", "text", *(F.col("row")[c].alias(c) for c in rest)), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
-    key = {"__id": "doc_id", "__h": "text_hash", "__n": "text_bytes"}
-    leads = jaccard_components(docs.select("doc_id", "text")).where("leads").select(F.struct(*(F.col(c).alias(k) for k, c in key.items())).alias("__row")).distinct()
-    row = F.struct(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("__n"))
-    return docs.withColumn("__row", row).join(leads, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    own = f"{free_prefix(docs)}row"
+    key = {"id": "doc_id", "h": "text_hash", "n": "text_bytes"}
+    leads = jaccard_components(docs.select("doc_id", "text")).where("leads").select(F.struct(*(F.col(c).alias(k) for k, c in key.items())).alias(own)).distinct()
+    row = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    return docs.withColumn(own, row).join(leads, own, "left_semi").dropDuplicates([own]).select(*(f"`{c}`" for c in docs.columns))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are contaminated by the benchmark go."""
     found = decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"), with_key=True)
-    gone = found.where("contaminated").select("__key").distinct()
-    return with_row_key(docs, "doc_id", "text").join(gone, "__key", "left_anti").select(*docs.columns)
+    own = f"{free_prefix(docs)}key"
+    gone = found.where("contaminated").select(F.col("__key").alias(own)).distinct()
+    return with_row_key(docs, "doc_id", "text", own).join(gone, own, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,5 +82,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-').lower()}")
+        folder = shared_folder(spark, f"pipeline-{name.replace(' ', '-').lower()}")
+        with scope(spark):  # what a stage wrote on its way goes when its rows are written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(folder)
+        docs = spark.read.schema(out.schema).parquet(folder)
     return STAGES[-1][1](spark, docs, sf_dir)

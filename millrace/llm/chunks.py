@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.memory import tidy
+from millrace.llm.memory import small_batches, tidy
 from millrace.llm.storage import put, shared_folder, written
 from millrace.llm.wordhash import split_texts
 
@@ -56,7 +56,7 @@ def stage(docs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[str,
             held = []
         tidy()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "chunk long, file string, size long")
+    rows = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`")).mapInArrow(run, "chunk long, file string, size long")
     listed = written(rows, f"{name}-list")
     n, size = listed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     return folder, listed.select("chunk", "file"), int(min(SHARDS, max(1, size // 6 // SHARD))), int(min(max(1, n), TASKS))

@@ -22,7 +22,7 @@ CHUNK = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Characters that end a word of letters as one pre-token of their own, however many follow each other.
 MARKS = ".,;:!?#*$%&|<>()[]{}\"+-=_/~^@"
 #: Bytes of text whose words are looked up together; words that the table holds and its slots; cores that are kept.
-GROUP, LIMIT, SLOTS, CORES = 1 << 20, 2_000_000, 1 << 22, 400_000
+GROUP, LIMIT, SLOTS, CORES = 1 << 20, 2_000_000, 1 << 22, 150_000
 
 
 class Encoder:

@@ -42,6 +42,14 @@ def covered(starts: str, width: str) -> str:
     return let(starts, "st", total(f"transform(st, (v, k) -> cast(least({width}, coalesce(get(st, k + 1) - v, {width})) as bigint))"))
 
 
-def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds ``__key``: rows with one id and one text share it, so that repeated rows and null ids join back exactly."""
-    return docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.length(text_col).alias("n")))
+def with_row_key(docs: DataFrame, id_col: str, text_col: str, name: str = "__key") -> DataFrame:
+    """Adds a key: rows with one id and one text share it, so that repeated rows and null ids join back exactly."""
+    return docs.withColumn(name, F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("h"), F.length(f"`{text_col}`").alias("n")))
+
+
+def free_prefix(docs: DataFrame) -> str:
+    """A prefix that no column of ``docs`` has, for columns that come and go."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import chunks as C
 from millrace.llm.eliasfano import Sequence, build
-from millrace.llm.memory import tidy
+from millrace.llm.memory import small_batches, tidy
 from millrace.llm.storage import drop, get, is_mapped, mapped, put, shared_folder, written
 from millrace.llm.wordhash import split_texts, word_hashes
 
@@ -321,7 +321,7 @@ def _stage(docs: DataFrame, id_col: str, text_col: str, folder: str) -> DataFram
         ids, texts = [], []
         tidy()
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`")).mapInArrow(run, "file string, size long")
+    rows = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`")).mapInArrow(run, "file string, size long")
     return written(rows, "lm-chunks")
 
 

@@ -1,4 +1,5 @@
-"""Gives back what a Python worker no longer needs: workers live on from task to task and from operator to operator."""
+"""Keeps the memory of executors small: of the batches that pass between Spark and Python workers, and of the workers, which
+live on from task to task and from operator to operator."""
 
 from __future__ import annotations
 
@@ -6,6 +7,20 @@ import ctypes
 import sys
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Rows of a batch: documents, or pairs of their sets, of some kilobytes each.
+BATCH_ROWS = 512
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Arrow batches were bounded to ``BATCH_ROWS`` rows, if they weren't smaller.  The
+    setting stays: plans are made when they run."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(df.sparkSession.conf.get(name, "0"))
+    if not 0 < rows <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def tidy(forget_encoders: bool = False) -> None:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.memory import small_batches
 from millrace.llm.storage import written
 
 #: Elements without content, and elements whose content isn't markup.
@@ -333,7 +334,7 @@ def site_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", n
     of its presentation and content, as shares of the most that so many pages could have; 1 on a single page), ``inside``
     (whether one is in an article), ``importance`` and ``repeats`` (on how many pages the same stands, on average)."""
     host = F.lower(F.coalesce(F.try_parse_url(F.col(f"`{url_col}`"), F.lit("HOST")), F.lit("")))
-    rows = pages.select(host.alias("host"), F.col(f"`{html_col}`").alias("html"))
+    rows = small_batches(pages).select(host.alias("host"), F.col(f"`{html_col}`").alias("html"))
     _page = "host string, page long, size long, paths array<struct<path:long,look:long,read:long,inside:boolean>>"
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,3 +139,48 @@ def test_pipeline(spark, edge):
             check_pieces({r["doc_id"]: r["text"] for r in before}, out.collect())
         docs = out if k == 4 else spark.createDataFrame(out.collect(), out.schema)
     assert {r[0] for r in P.run(spark, edge).select("doc_id").distinct().collect()} == {r["doc_id"] for r in before}
+
+
+def test_pipeline_of_hard_rows(spark, edge, tmp_path):
+    """Null and repeated ids are documents of their own, repeated rows count once, clashing columns come through."""
+    import random
+
+    import corpus_pipeline as P
+
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n)) + "."
+    passage = spark.read.parquet(f"{edge}/benchmark.parquet").where("item_id = 5").first()["text"]
+    a, b, c = prose(60), prose(60), prose(300_000)
+    rows = [(None, a), (None, b), (None, f"{passage} {prose(5)}"), (7, a + " more"), (7, prose(40)), (7, prose(40)), (8, c), (8, c), (9, None), (None, None), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2, 3, 4, 5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __h int, __lead int, _ int, __row int, __key int")
+    spark.read.parquet(f"{edge}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, (_, stage) in enumerate(P.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    left = sorted((r["doc_id"] or 0, r["text"][:20], r["__h"], r["_"], r["__key"]) for r in docs.collect())
+    # The passage's document goes, and one of those that are near duplicates; the long one stays once.
+    assert len(left) == 5 and [i for i, *_ in left].count(7) in (2, 3) and [i for i, *_ in left].count(8) == 1 and all(x[2:] == (1, 3, 5) for x in left)
+    assert not any(t.startswith(passage[:20]) for _, t, *_ in left)
+    assert sum(r["length"] for r in P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()) > 300_000
+
+
+def test_pipeline_of_empty_tables(spark, empty):
+    import corpus_pipeline as P
+
+    assert P.run(spark, empty).count() == 0
+
+
+def test_stages_leave_only_their_rows(spark, edge):
+    """A run deletes what its stages wrote on their way; the last stage's plan is still to run."""
+    import os
+
+    import corpus_pipeline as P
+
+    from millrace.shared import shared_folder
+
+    root = os.path.dirname(shared_folder(spark, "probe").removeprefix("file:"))
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    P.run(spark, edge).count()
+    left = {d.rsplit("-", 1)[0] for d in set(os.listdir(root)) - before}
+    assert left == {f"pipeline-{n.replace(' ', '-').lower()}" for n, _ in P.STAGES[:-1]}
