@@ -1,8 +1,9 @@
 """Order-preserving packing of documents into token sequences by dynamic programming with a monotone queue.
 
 The token stream of a partition, in its order, is cut into windows of at most ``size`` tokens.  Cuts may fall at ends
-of documents (free), ends of sentences and, inside long stretches without one, every few tokens (both at a penalty in
-tokens).  The plan minimises padding plus penalties: a window is padded to ``size`` unless its length is a power of two.
+of documents (free), at the end of every sentence and, inside long ones, every few tokens (both at a penalty in tokens,
+for what a truncated document costs).  The plan minimises padding plus penalties over all of these places: a window is
+padded to ``size`` unless its length is a power of two.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.encoding import encoder
-from millrace.llm.memory import tidy
+from millrace.llm.memory import small_batches, tidy
 
-#: Penalties in tokens for a cut at the end of a sentence and inside one.
-SENTENCE_CUT, INNER_CUT = 1, 8
-#: Tokens between possible cuts: at least those apart unless a document ends, at most those inside a sentence.
-CLOSEST, FARTHEST = 12, 96
+#: Penalties in tokens for a cut at the end of a sentence and inside one: higher ones truncate fewer documents and pad more.
+SENTENCE_CUT, INNER_CUT = 64, 256
+#: Tokens between possible cuts inside a sentence.
+FARTHEST = 32
 #: Tokens that are planned together; the last window of a plan is planned again with what follows.
 SEGMENT = 1 << 20
 
@@ -59,11 +60,8 @@ def plan_cuts(pos: list[int], penalty: list[int], size: int) -> list[int]:
 
 def candidates(ids: np.ndarray, ends: np.ndarray, ender: np.ndarray, size: int) -> tuple[list[int], list[int]]:
     """Where the stream ``ids`` may be cut and what each cut costs; ``ends``: after each document's last id."""
-    sentence = np.flatnonzero(ender[ids]) + 1
-    group = sentence // CLOSEST
-    sentence = sentence[np.diff(group, prepend=-1) > 0]
-    cost = np.full(len(ids) + 1, -1, dtype=np.int8)
-    cost[sentence] = SENTENCE_CUT
+    cost = np.full(len(ids) + 1, -1, dtype=np.int32)
+    cost[1:][ender[ids]] = SENTENCE_CUT
     cost[ends] = cost[0] = 0
     pos = np.flatnonzero(cost >= 0)
     step = min(FARTHEST, size)
@@ -136,7 +134,7 @@ def pack(
     each partition is kept.  A null or empty text is its end id alone; empty tables give no rows; repeated rows and
     null ids are documents of their own; extra columns are ignored.  Texts of any length are cut, never dropped.
     """
-    fields = docs.select(id_col).schema.fields[0].dataType.simpleString()
+    fields = docs.select(F.col(f"`{id_col}`")).schema.fields[0].dataType.simpleString()
     schema = f"`{id_col}` {fields}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +169,7 @@ def pack(
             yield out()
         tidy()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
