@@ -14,12 +14,18 @@ FURNITURE = [
     "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript",
     "follow us on", "forgot password", "home page", "log in", "lorem ipsum", "newsletter", "privacy policy",
     "read more", "share this", "sign in", "sign up", "skip to content", "terms of service", "terms of use",
+    "aceptar cookies", "accepter les cookies", "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "impressum", "leer más", "lire la suite",
+    "mehr lesen", "mentions légales", "nach oben", "politique de confidentialité", "política de privacidad", "retour en haut", "todos los derechos reservados", "tous droits réservés", "volver arriba",
 ]
 MAX_FURNITURE_WORDS = 12
+#: Marks between the entries of a menu, and marks of punctuation, of one of which a line of so many words has one at least.
+SEPARATORS, PUNCTUATION, UNPUNCTUATED = "[|»›•·>]", "[.,;:!?…。、！？،؟।]", 25
 
 
 def _line_fails(line: str) -> str:
-    """True when a line that has words breaks a rule: symbols, shouting, navigation, repetition, furniture."""
+    """True when a line that has words breaks a rule: symbols, shouting, repetition, no letter or digit, furniture,
+    navigation (three marks between entries, and entries of three words at most), a run of words without punctuation."""
+    n_sep = f"(length({line}) - length(regexp_replace({line}, r'{SEPARATORS}', '')))"
     n_sym = f"(length({line}) - length(regexp_replace({line}, r'{SYMBOLS}', '')))"
     loud = "size(filter(w, x -> x rlike '!!|[?][?]|[.]{4}'))"
     rules = " OR ".join(
@@ -29,6 +35,8 @@ def _line_fails(line: str) -> str:
             "(size(w) >= 12 AND 4 * size(array_distinct(w)) <= size(w))",
             f"(not {line} rlike r'[\\p{{L}}\\p{{N}}]')",
             f"(size(w) <= {MAX_FURNITURE_WORDS} AND lower({line}) rlike '{'|'.join(FURNITURE)}')",
+            f"(size(w) >= {UNPUNCTUATED} AND NOT {line} rlike r'{PUNCTUATION}')",
+            f"({n_sep} >= 3 AND 3 * {n_sep} >= size(w))",
         ]
     )
     return f"(size(w) > 0 AND ({rules}))"
@@ -47,9 +55,11 @@ def quality_rules(
     A null text counts as empty: no words, ``base_failed``, ``clean_text`` ''.  Empty tables give empty results;
     repeated rows are judged alike; a text of any length is one row and is never cut.
     """
-    d = docs.withColumn("__w", F.expr(X.space_words(text_col))).withColumn("__l", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+    own = X.free_prefix(docs)
+    text_col = f"`{text_col}`"
+    d = docs.withColumn(f"{own}w", F.expr(X.space_words(text_col))).withColumn(f"{own}l", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
     windows = X.let(
-        "transform(__w, w -> xxhash64(w))",
+        f"transform({own}w, w -> xxhash64(w))",
         "h",
         "if(size(h) < 5, cast(array() as array<bigint>), transform(sequence(0, size(h) - 5), i -> xxhash64(get(h, i), get(h, i + 1), get(h, i + 2), get(h, i + 3), get(h, i + 4))))",
     )
@@ -59,29 +69,29 @@ def quality_rules(
         "sort_array(filter(transform(s, (e, k) -> if(coalesce(e.h = get(s, k - 1).h, false) OR coalesce(e.h = get(s, k + 1).h, false), e.i, -1)), v -> v >= 0))",
     )
     repeats = X.let(windows, "wh", f"if(size(array_distinct(wh)) = size(wh), 0L, {X.covered(runs, '5')})")
-    worded = r"filter(__l, l -> l rlike r'[^\x20\x09-\x0D]')"
-    judged = f"transform(__l, l -> {X.let(X.space_words('l'), 'w', f'struct(l as line, size(w) > 0 as worded, {_line_fails("l")} as fails)')})"
+    worded = rf"filter({own}l, l -> l rlike r'[^\x20\x09-\x0D]')"
+    judged = f"transform({own}l, l -> {X.let(X.space_words('l'), 'w', f'struct(l as line, size(w) > 0 as worded, {_line_fails("l")} as fails)')})"
     d = d.withColumns(
         {
-            "__j": F.expr(judged),
-            "n_words": F.expr("cast(size(__w) as bigint)"),
+            f"{own}j": F.expr(judged),
+            "n_words": F.expr(f"cast(size({own}w) as bigint)"),
             "word_chars": F.expr(f"cast(length(regexp_replace(coalesce({text_col}, ''), r'{X.SPACE}', '')) as bigint)"),
             "n_symbols": F.expr(f"cast(length(coalesce({text_col}, '')) - length(regexp_replace(coalesce({text_col}, ''), r'{SYMBOLS}', '')) as bigint)"),
             "n_dup_lines": F.expr(X.let(worded, "ls", "cast(size(ls) - size(array_distinct(ls)) as bigint)")),
             "n_repeat_words": F.expr(repeats),
         }
     )
-    lost = X.total("transform(filter(__j, j -> j.fails), j -> cast(length(j.line) as bigint))")
-    whole = X.total("transform(filter(__j, j -> j.worded), j -> cast(length(j.line) as bigint))")
+    lost = X.total(f"transform(filter({own}j, j -> j.fails), j -> cast(length(j.line) as bigint))")
+    whole = X.total(f"transform(filter({own}j, j -> j.worded), j -> cast(length(j.line) as bigint))")
     d = d.withColumns(
         {
             "lost_chars": F.expr(lost),
-            "__whole": F.expr(whole),
-            "clean_text": F.expr("array_join(transform(filter(__j, j -> not j.fails), j -> j.line), '\n')"),
+            f"{own}whole": F.expr(whole),
+            "clean_text": F.expr(f"array_join(transform(filter({own}j, j -> not j.fails), j -> j.line), '\n')"),
             "base_failed": F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words"),
         }
     )
-    return d.withColumn("kept", F.expr(f"NOT base_failed AND 100 * lost_chars <= {max_lost_percent} * __whole")).drop("__w", "__l", "__j", "__whole")
+    return d.withColumn("kept", F.expr(f"NOT base_failed AND 100 * lost_chars <= {max_lost_percent} * {own}whole")).drop(f"{own}w", f"{own}l", f"{own}j", f"{own}whole")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -97,13 +107,16 @@ k AS (SELECT r, i, md5(array_to_string(list_slice(w, i + 1, i + 5), chr(10))) AS
 dup AS (SELECT r, i FROM k QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
 rep AS (SELECT r, count(DISTINCT i + o) AS n FROM dup, (SELECT unnest(range(0, 5)) AS o) GROUP BY r),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-lw AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, length(line) - length(regexp_replace(line, '{SYMBOLS}', '', 'g')) AS s FROM l),
+lw AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, length(line) - length(regexp_replace(line, '{SYMBOLS}', '', 'g')) AS s,
+    length(line) - length(regexp_replace(line, '{SEPARATORS}', '', 'g')) AS p FROM l),
 lf AS (SELECT r, line, len(w) > 0 AS worded, len(w) > 0 AND (
     (s >= 2 AND 10 * s >= 3 * len(w))
     OR (len(w) >= 3 AND 2 * len(list_filter(w, lambda x: regexp_matches(x, '!!|[?][?]|[.]{{4}}'))) >= len(w))
     OR (len(w) >= 12 AND 4 * len(list_distinct(w)) <= len(w))
     OR NOT regexp_matches(line, '[\pL\pN]')
-    OR (len(w) <= {MAX_FURNITURE_WORDS} AND regexp_matches(lower(line), '{"|".join(FURNITURE)}'))) AS fails FROM lw),
+    OR (len(w) <= {MAX_FURNITURE_WORDS} AND regexp_matches(lower(line), '{"|".join(FURNITURE)}'))
+    OR (len(w) >= {UNPUNCTUATED} AND NOT regexp_matches(line, '{PUNCTUATION}'))
+    OR (p >= 3 AND 3 * p >= len(w))) AS fails FROM lw),
 a AS (SELECT r, count(*) FILTER (WHERE worded) - count(DISTINCT line) FILTER (WHERE worded) AS dups,
     coalesce(sum(length(line)) FILTER (WHERE fails), 0) AS lost, coalesce(sum(length(line)) FILTER (WHERE worded), 0) AS whole FROM lf GROUP BY r),
 o AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
