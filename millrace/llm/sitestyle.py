@@ -45,9 +45,9 @@ PERHAPS = frozenset(
 OUTSIDE = frozenset("header masthead topbar topnav logo branding alert blogroll".split())
 #: Those of the first list below which an article is no article of the page.
 OTHERS = frozenset("comment comments commentlist disqus replies reply related recommended recommendations sponsored promo".split())
-#: A branch is noise if the same stands on so many pages on average (on hosts of few pages: on all), GAMMA weighing what
-#: presentation adds; names of the second list make it noise at fewer.
-REPEATS, NAMED_REPEATS, GAMMA = 8, 1.5, 0.9
+#: A branch is noise if the same stands on so many pages on average (on hosts of less than twice as many pages: on all),
+#: GAMMA weighing what presentation adds; names of the second list make it noise at fewer.
+REPEATS, NAMED_REPEATS, GAMMA = 4, 1.5, 0.9
 #: Beside an article, what has at least this importance on at least so many pages is text like the article.
 LIVE, LIVE_PAGES = 0.9, 3
 #: Words of classes that name articles which stand for another page.
@@ -375,7 +375,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     it or are important outside its articles, 8 bytes each; each of its rows carries them.
     """
     tree = site_paths(pages, url_col, html_col, names)
-    many = f"repeats >= {REPEATS}"
+    many = f"m >= {2 * REPEATS} AND repeats >= {REPEATS}"
     alike = f"m >= 2 AND m < {2 * REPEATS} AND ln(repeats) >= 0.9 * ln(m)"
     rules = tree.withColumn("rule", F.expr(f"CASE WHEN {many} THEN 'noise' WHEN {alike} THEN 'few' WHEN m >= 2 AND repeats >= {NAMED_REPEATS} THEN 'named' WHEN NOT inside AND m >= {LIVE_PAGES} AND importance >= {LIVE} THEN 'live' END"))
     lists = {"noise": "rule = 'noise'", "few": "rule = 'few'", "named": "rule IN ('noise', 'few', 'named')", "live": "rule = 'live'"}
