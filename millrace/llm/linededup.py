@@ -1,7 +1,8 @@
 """Line dedup: documents probe a sharded minimal perfect hash of frequent lines instead of joining lines.
 
-Lines are counted by 128-bit hash in a shuffle of hashes alone.  Those in enough documents go into shards, one file
-each in the shared folder, which tasks map into memory and probe for all lines of a batch at once.
+Lines are counted by 128-bit hash in a shuffle of hashes alone.  Those of several documents go into shards, one file each
+in the shared folder, with their counts, which tasks map into memory and probe for all lines of a batch at once; a line's
+fingerprint and count decide.  Lines of one document never go, and their hashes would only make the index large.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import mph
-from millrace.llm.memory import tidy
+from millrace.llm.exprs import free_prefix
+from millrace.llm.memory import small_batches, tidy
 from millrace.llm.storage import mapped, put, shared_folder, written
 from millrace.llm.wordhash import split_texts
 
@@ -49,11 +51,12 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased.  Keys of at least ``min_chars``
     code points that at least ``min_docs`` distinct ids hold lose all their lines except in the largest id holding
     them.  Ids are whole numbers; documents whose id is null count as one document with the smallest id, and rows with
-    one id as one document.  A null or empty text is one empty line, and comes back as ''.  Other columns stay, save
+    one id as one document; texts of any length are whole.  A null or empty text is one empty line, and comes back as ''.  Other columns stay, save
     that ``n_lines`` and ``n_dropped`` are replaced.  Empty tables give empty results.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = small_batches(docs).drop("n_lines", "n_dropped")
+    own_id = f"{free_prefix(docs)}id"
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy(forget_encoders=True)
@@ -66,10 +69,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
             rows = np.repeat(np.arange(len(parts)), [len(p) // 16 for p in parts])
             yield pa.RecordBatch.from_arrays([pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), ids.take(pa.array(rows))], ["hi", "lo", "id"])
 
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(hashes, "hi long, lo long, id long")
-    frequent = lines.distinct().groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
-    frequent = written(frequent, "lines")
-    shards, folder = -(-frequent.count() // SHARD), shared_folder(spark, "line-shards")
+    lines = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`")).mapInArrow(hashes, "hi long, lo long, id long")
+    repeated = lines.distinct().groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(f"n > 1 OR {min_docs} < 2")
+    repeated = written(repeated, "lines")
+    shards, folder = -(-repeated.count() // SHARD), shared_folder(spark, "line-shards")
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
         hi, lo = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("hi", "lo"))
@@ -80,13 +83,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     built = set()
     if shards:
         by = F.pmod(F.shiftrightunsigned("hi", 8), F.lit(shards)).cast("int").alias("shard")
-        built = {r[0] for r in frequent.withColumn("shard", by).groupBy("shard").applyInPandas(shard, "shard int").collect()}  # a number a shard
+        built = {r[0] for r in repeated.withColumn("shard", by).groupBy("shard").applyInPandas(shard, "shard int").collect()}  # a number a shard
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, mph.Table] = {}
         for b in batches:
             names = b.schema.names
-            ids, texts = b.column(names.index("__id")), split_texts(b.column(names.index(text_col)))
+            ids, texts = b.column(names.index(own_id)), split_texts(b.column(names.index(text_col)))
             found = [line_keys(t, min_chars) for t in texts]
             hi, lo = _halves(b"".join(f[2] for f in found))
             own = np.repeat(np.array(ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), dtype=np.int64), [len(f[1]) for f in found])
@@ -99,7 +102,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
                             tables[k] = mph.Table(mapped(f"{folder}/{k}.mph"))
                         at = np.flatnonzero(of == k)
                         place = tables[k].find(hi[at], lo[at])
-                        known = place >= 0
+                        known = np.flatnonzero(place >= 0)
+                        known = known[tables[k].counts[place[known]] >= min_docs]
                         gone[at[known]] = tables[k].numbers[place[known]] != own[at[known]]
             out, n_dropped, first = [], [], 0
             for lines, at, _ in found:
@@ -112,14 +116,14 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
                     lines_left = lines
                 out.append(b"\n".join(lines_left))
                 n_dropped.append(len(lines) - len(lines_left))
-            columns = {n: c for n, c in zip(names, b.columns, strict=True) if n != "__id"}
+            columns = {n: c for n, c in zip(names, b.columns, strict=True) if n != own_id}
             columns[text_col] = pa.array(out, pa.binary()).cast(pa.string())
             columns |= {"n_lines": pa.array([len(f[0]) for f in found], pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
         tidy()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_dropped long"
-    return docs.withColumn("__id", F.col(id_col).cast("long")).mapInArrow(drop, schema)
+    return docs.withColumn(own_id, F.col(f"`{id_col}`").cast("long")).mapInArrow(drop, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
