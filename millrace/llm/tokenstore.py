@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.encoding import encoder
-from millrace.llm.memory import tidy
+from millrace.llm.memory import small_batches, tidy
 from millrace.llm.storage import shared_folder
 from millrace.llm.wordhash import mix
 
@@ -202,7 +202,7 @@ def write_store(
             yield b.filter(pa.array(keep))
         tidy()
 
-    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(cut, schema).repartition("key").mapInArrow(once, schema)
+    rows = small_batches(docs).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(cut, schema).repartition("key").mapInArrow(once, schema)
     rows.write.partitionBy("kind").option("compression", "lz4").parquet(f"{folder}/draft")
     spark = docs.sparkSession
     draft = spark.read.schema(schema.replace("kind string, ", "") + ", kind string").parquet(f"{folder}/draft")
