@@ -21,7 +21,7 @@ from millrace.llm.storage import put, shared_folder, written
 from millrace.llm.wordhash import split_texts
 
 #: Bytes of text and documents of a chunk; the hashes of a shard on average; shards and tasks of a pass at most.
-CHUNK_BYTES, CHUNK_DOCS, SHARD, SHARDS, TASKS = 6 << 20, 1 << 12, 3_000_000, 1 << 20, 1 << 16
+CHUNK_BYTES, CHUNK_DOCS, SHARD, SHARDS, TASKS = 6 << 20, 1 << 12, 3_000_000, 1 << 23, 1 << 17
 
 
 def stage(docs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[str, DataFrame, int, int]:

@@ -169,7 +169,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         return pd.DataFrame({"chunk": rows["chunk"], "shard": rows["shard"], "n": rows["n"], "data": data})
 
     counted = held.repartition(parts, "chunk").mapInPandas(count, "shard int, chunk long, n int, data binary")
-    answers = counted.repartition(shards, "shard").groupBy("shard").applyInPandas(add_up, "chunk long, shard int, n int, data binary")
+    answers = counted.repartition(min(shards, C.TASKS), "shard").groupBy("shard").applyInPandas(add_up, "chunk long, shard int, n int, data binary")
 
     def index(key: tuple, chunk_rows: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         """Prefix entries of the chunk's classes, and the sets of those that have any."""

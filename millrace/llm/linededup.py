@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from millrace.llm import mph
 from millrace.llm.exprs import free_prefix
 from millrace.llm.memory import small_batches, tidy
-from millrace.llm.storage import mapped, put, shared_folder, written
+from millrace.llm.storage import is_mapped, mapped, put, shared_folder, written
 from millrace.llm.wordhash import split_texts
 
 #: Keys of a shard on average; some 24 bytes a key.
@@ -87,6 +87,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, mph.Table] = {}
+        local = is_mapped(folder)
         for b in batches:
             names = b.schema.names
             ids, texts = b.column(names.index(own_id)), split_texts(b.column(names.index(text_col)))
@@ -99,6 +100,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
                 for k in np.unique(of).tolist():
                     if k in built:
                         if k not in tables:
+                            if not local:  # where files can't be mapped, one is held at a time
+                                tables.clear()
                             tables[k] = mph.Table(mapped(f"{folder}/{k}.mph"))
                         at = np.flatnonzero(of == k)
                         place = tables[k].find(hi[at], lo[at])

@@ -40,6 +40,8 @@ DISCOUNT, P_STEP, W_STEP = 0.75, 20, 64
 PROBABILITIES, WEIGHTS = (10.0 ** (-np.arange(256) / step) for step in (P_STEP, W_STEP))
 #: Bytes of levels that a process holds at most where files can't be mapped; node and word numbers are below LIMIT.
 HELD, LIMIT = 256 << 20, 1 << 32
+#: Shards at most: a chunk looks into all of them, and each knows where the others' nodes stand.
+SHARDS = 1 << 15
 #: The token after each text's words, as a hash; no word has it but by chance.
 END = np.uint64(0x2545F4914F6CDD1D)
 
@@ -338,7 +340,7 @@ def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col:
     trie = shared_folder(spark, "lm-trie")
     listed = _stage(docs, id_col, text_col, trie)
     chunks, size = listed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    shards, parts = int(min(C.SHARDS, max(1, size // 6 // C.SHARD))), int(min(max(1, chunks), C.TASKS))
+    shards, parts = int(min(SHARDS, max(1, size // 6 // C.SHARD))), int(min(max(1, chunks), C.TASKS))
     spread = listed.select("file").repartition(parts, "file")
     sent = "shard int, n int, data binary"
 
@@ -375,7 +377,7 @@ def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col:
         put(f"{trie}/1-{shard}", build(key, top) + build(sums, int(sums[-1]) + 1))
         return pd.DataFrame({"shard": [shard], "n": [len(key)], "tokens": [int(count.sum())]})
 
-    words = spread.mapInPandas(count_words, sent).repartition(shards, "shard").groupBy("shard").applyInPandas(write_words, "shard int, n long, tokens long")
+    words = spread.mapInPandas(count_words, sent).repartition(min(shards, C.TASKS), "shard").groupBy("shard").applyInPandas(write_words, "shard int, n long, tokens long")
     made = {r["shard"]: r for r in words.collect()}  # a row a shard
     for k in range(shards):
         if k not in made:
@@ -425,7 +427,7 @@ def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col:
             put(f"{trie}/{level}-{shard}", _level(parents, (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), count))
             return pd.DataFrame({"shard": [shard], "n": [len(key)]})
 
-        found = numbered.mapInPandas(count_ngrams, sent).repartition(shards, "shard").groupBy("shard").applyInPandas(write_ngrams, "shard int, n long")
+        found = numbered.mapInPandas(count_ngrams, sent).repartition(min(shards, C.TASKS), "shard").groupBy("shard").applyInPandas(write_ngrams, "shard int, n long")
         there = {r["shard"]: r["n"] for r in found.collect()}  # two numbers a shard
         t, none = Trie(trie, shards, n_words, entries), np.zeros(0, np.int64)
         for k in set(range(shards)) - set(there):  # shards without an n-gram

@@ -120,7 +120,7 @@ def substring_dedup(docs: DataFrame, block: int = 7, id_col: str = "doc_id", tex
 
     answer = "chunk string, shard int, bits binary"
     sent = chunks.repartition(parts, "chunk").mapInPandas(send_blocks, "shard int, chunk string, n int, data binary")
-    first = written(sent.repartition(shards, "shard").groupBy("shard").applyInPandas(answer_blocks, answer), "substring-hits")
+    first = written(sent.repartition(min(shards, C.TASKS), "shard").groupBy("shard").applyInPandas(answer_blocks, answer), "substring-hits")
 
     def windows(c: Chunk, rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
         """Starts of the windows around hits and, of the distinct ones in order, shard, hash, smallest rank, and which is whose."""
@@ -174,7 +174,7 @@ def substring_dedup(docs: DataFrame, block: int = 7, id_col: str = "doc_id", tex
         return pd.DataFrame({"chunk": rows["chunk"], "shard": rows["shard"], "bits": bits})
 
     asked = first.repartition(parts, "chunk").groupBy("chunk").applyInPandas(send_windows, "shard int, chunk string, n int, data binary")
-    second = asked.repartition(shards, "shard").groupBy("shard").applyInPandas(answer_windows, answer)
+    second = asked.repartition(min(shards, C.TASKS), "shard").groupBy("shard").applyInPandas(answer_windows, answer)
 
     def remove(rows: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(get(f"{folder}/{rows['chunk'].iloc[0]}"))
