@@ -22,7 +22,7 @@ CHUNK = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Characters that end a word of letters as one pre-token of their own, however many follow each other.
 MARKS = ".,;:!?#*$%&|<>()[]{}\"+-=_/~^@"
 #: Bytes of text whose words are looked up together; words that the table holds and its slots; cores that are kept.
-GROUP, LIMIT, SLOTS, CORES = 1 << 20, 2_000_000, 1 << 22, 150_000
+GROUP, LIMIT, SLOTS, CORES = 1 << 18, 2_000_000, 1 << 22, 150_000
 
 
 class Encoder:
@@ -73,17 +73,17 @@ class Encoder:
 
     def _learn(self, words: list[tuple[str, str]]) -> list[bytes]:
         """The ids of distinct words, given with what stands before each: nothing, a space or a line feed."""
-        made, new = [], {" ": {}, "\n": {}}
+        made, new, byte, cores = [], {" ": {}, "\n": {}}, self.byte, self.cores
         for before, w in words:
             core = w.rstrip(MARKS)
-            low = core if self.byte else core.lower()
-            if not low.isalpha() or not self.byte and "Σ" in core:  # the letter whose lower case depends on its place
+            low = core if byte else core.lower()
+            if not low.isalpha() or not byte and "Σ" in core:  # the letter whose lower case depends on its place
                 made.append(self.ids(before + w))
                 continue
-            space = before if self.byte and before == " " else "\n" if self.byte else " "
+            space = " " if not byte or before == " " else "\n"
             key = space + low
             made.append((key, before, w[len(core) :]))
-            if key not in self.cores:
+            if key not in cores:
                 new[space][low] = None
         if len(self.cores) > CORES:
             keep = {m[0] for m in made if isinstance(m, tuple)}
@@ -91,16 +91,15 @@ class Encoder:
         for space, found in new.items():
             if found:
                 self.cores.update(zip([space + w for w in found], self._together(list(found), space), strict=True))
-        feed, out = np.dtype(self.width).itemsize, []
-        for m in made:
-            if isinstance(m, tuple):
+        feed, cores, known = np.dtype(self.width).itemsize, self.cores, self.marks
+        for k, m in enumerate(made):
+            if m.__class__ is tuple:
                 key, before, marks = m
-                ids = self.cores[key]
-                if self.byte and not before:
+                ids = cores[key]
+                if byte and not before:
                     ids = ids[feed:]  # without the line feed
-                m = ids + self._marks(marks) if marks else ids
-            out.append(m)
-        return out
+                made[k] = ids + (known.get(marks) or self._marks(marks)) if marks else ids
+        return made
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The slot of each hash, -1 if it isn't there."""

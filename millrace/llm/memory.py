@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Rows of a batch: documents, or pairs of their sets, of some kilobytes each.
-BATCH_ROWS = 512
+BATCH_ROWS = 2048
 
 
 def small_batches(df: DataFrame) -> DataFrame:

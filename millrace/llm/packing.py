@@ -150,15 +150,22 @@ def pack(
                 [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
-        def pieces() -> Iterator[tuple]:
+        docs_of, of = deque(), None
+
+        def texts() -> Iterator[str | None]:
+            """The texts of all batches; those that are encoded together may come from several."""
             nonlocal of
             for b in batches:
                 of = b.schema.field(0).type
-                for doc, ids in zip(b.column(0).to_pylist(), code.encode_all(t.as_py() for t in b.column(1)), strict=True):
-                    yield from packer.add(doc, ids + end)
+                docs_of.extend(b.column(0).to_pylist())
+                for t in b.column(1):
+                    yield t.as_py()
+
+        def pieces() -> Iterator[tuple]:
+            for ids in code.encode_all(texts()):
+                yield from packer.add(docs_of.popleft(), ids + end)
             yield from packer.flush()
 
-        of = None
         for piece in pieces():
             rows.append(piece)
             held += len(piece[2])

@@ -16,6 +16,7 @@ A rolling hash over the last ids decides where chunks end, so a passage yields t
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import count
@@ -139,7 +140,7 @@ def write_store(
     schema = f"kind string, key binary, id {kind_of}, n_tokens long, row long, hashes array<binary>, sizes array<int>, n int, width int, payload binary"
     names = ["kind", "key", "id", "n_tokens", "row", "hashes", "sizes", "n", "width", "payload"]
 
-    def take(docs_of: Iterator, row: Iterator[int], group: list[bytes], rows: list[tuple], sent: set[bytes], kind: np.dtype) -> None:
+    def take(docs_of: deque, row: Iterator[int], group: list[bytes], rows: list[tuple], sent: set[bytes], kind: np.dtype) -> None:
         """Cuts the documents of ``group`` into chunks; adds the chunks that weren't sent, and the recipes."""
         ids = np.frombuffer(b"".join(group), dtype="<u4")
         data, at = memoryview(ids.astype(kind).tobytes()), marks(ids)
@@ -147,7 +148,7 @@ def write_store(
         first = np.searchsorted(at, edges, side="right").tolist()
         at, edges, width = at.tolist(), edges.tolist(), kind.itemsize
         for a, b, i, j in zip(edges, edges[1:], first, first[1:], strict=False):
-            doc, hashes, sizes, last = next(docs_of), [], [], 0
+            doc, hashes, sizes, last = docs_of.popleft(), [], [], 0
             for e in chunk_ends(b - a, [m - a for m in at[i:j]]):
                 payload = data[width * (a + last) : width * (a + e)]
                 h = blake2b(payload, digest_size=16).digest()
@@ -166,27 +167,31 @@ def write_store(
         code, sent = encoder(tokenizer, kind), set()
         end = np.array([end_id], dtype="<u4").tobytes()
         row = count(TaskContext.get().partitionId() << 33)
-        for batch in batches:
-            of, rows = batch.schema.field(0).type, []
-
-            def out() -> pa.RecordBatch:
-                types = [pa.string(), pa.binary(), of, pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-            docs_of, group, size = iter(batch.column(0).to_pylist()), [], 0
-            for raw in code.encode_all(t.as_py() for t in batch.column(1)):
-                group.append(raw + end)
-                size += len(raw) // 4 + 1
-                if size >= GROUP:
-                    take(docs_of, row, group, rows, sent, np.dtype(code.width))
-                    group, size = [], 0
-                    yield out()
-                    rows = []
-            if group:
+        docs_of, rows, group, size, of = deque(), [], [], 0, None
+
+        def texts() -> Iterator[str | None]:
+            """The texts of all batches; those that are encoded together may come from several."""
+            nonlocal of
+            for batch in batches:
+                of = batch.schema.field(0).type
+                docs_of.extend(batch.column(0).to_pylist())
+                for t in batch.column(1):
+                    yield t.as_py()
+
+        def out() -> pa.RecordBatch:
+            types = [pa.string(), pa.binary(), of, pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        for raw in code.encode_all(texts()):
+            group.append(raw + end)
+            size += len(raw) // 4 + 1
+            if size >= GROUP:
                 take(docs_of, row, group, rows, sent, np.dtype(code.width))
-            if rows:
                 yield out()
-
+                rows, group, size = [], [], 0
+        if group:
+            take(docs_of, row, group, rows, sent, np.dtype(code.width))
+            yield out()
         tidy()
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
