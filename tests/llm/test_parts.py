@@ -455,3 +455,57 @@ def test_hard_rows_of_pages(spark):
     docs = spark.createDataFrame(rows, "page_id long, url string, html string, host string, noise int")
     got = extract_main_text(docs).collect()
     assert sorted((str(r["page_id"]), r["url"], len(r["text"])) for r in got) == sorted((str(i), u, n) for (i, u, *_), n in zip(rows, [0, 1, 1, 0, 5, sum(len(f"Line {i} of it.") + 2 for i in range(60_000)) - 2, 4], strict=True))
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    """Nodes and keys that count as hot join by the other way, with the same result."""
+    from millrace.llm import components as K
+
+    monkeypatch.setattr(K, "HOT", 3)
+    r = random.Random(8)
+    edges = [(0, k) for k in range(1, 40)] + [(100, 60), (60, 61), (61, 100)] + [(r.randint(200, 300), r.randint(200, 300)) for _ in range(70)] + [(5, 5), (None, 3)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = {x["node"]: x["root"] for x in K.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    large = spark.createDataFrame([(1, k) for k in range(10)] + [(2, 1), (3, 2)], "k int, v int")
+    small = spark.createDataFrame([(1, "hot", 10), (2, "cold", 1)], "k int, s string, c long")
+    for how, n in (("left", 12), ("inner", 11)):
+        rows = K.join_hot(large, small, ["k"], how).collect()
+        assert len(rows) == n and {(x["k"], x["s"]) for x in rows} == {(1, "hot"), (2, "cold")} | ({(3, None)} if how == "left" else set())
+        monkeypatch.setattr(K, "HOT_ROWS", 0)  # too many hot keys for a broadcast
+        assert len(K.join_hot(large, small, ["k"], how).collect()) == n
+        monkeypatch.setattr(K, "HOT_ROWS", 500_000)
+
+
+def test_leaders_of_many_pairs_are_dealt_out(spark, monkeypatch):
+    from millrace.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "PAIRS", 2)
+    base = [f"word{k}" for k in range(60)]
+    texts = [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in range(0, 60, 59)] + [" ".join([*base, f"tail{k}"]) for k in range(20)] + ["something else that is on its own and shares no word"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert len({got[k] for k in range(2, 22)}) == 1 and got[22] == 22
+    exact = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_components(docs, links=True).collect()}
+    assert all(exact[k] >= 19 for k in range(2, 22)) and exact[22] == 0
+
+
+def test_shingles_in_several_passes(spark, edge, monkeypatch):
+    """A benchmark whose shingles don't fit one broadcast gives the same rows."""
+    from millrace.llm import decontaminate as D
+
+    docs, bench = (spark.read.parquet(f"{edge}/{n}.parquet") for n in ("documents", "benchmark"))
+    rows = lambda: sorted(tuple(map(str, r)) for r in D.decontaminate(docs, bench).collect())
+    whole = rows()
+    monkeypatch.setattr(D, "BROADCAST_SHINGLES", 15)
+    assert rows() == whole
