@@ -10,16 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Rows of a batch: documents, or pairs of their sets, of some kilobytes each.
-BATCH_ROWS = 2048
+BATCH_ROWS = 512
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after its session's Arrow batches were bounded to ``BATCH_ROWS`` rows, if they weren't smaller.  The
-    setting stays: plans are made when they run."""
+def small_batches(df: DataFrame, most: int = BATCH_ROWS) -> DataFrame:
+    """``df``, after its session's Arrow batches were bounded to ``most`` rows, if they weren't smaller.  The setting
+    stays: plans are made when they run."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     rows = int(df.sparkSession.conf.get(name, "0"))
-    if not 0 < rows <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    if not 0 < rows <= most:
+        df.sparkSession.conf.set(name, str(most))
     return df
 
 

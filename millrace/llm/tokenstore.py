@@ -38,8 +38,8 @@ ROLL, MASK, LEAST, MOST = 12, (1 << 9) - 1, 128, 2048
 REMEMBER = 100_000
 MANIFEST = "id {}, n_tokens long, hashes array<binary>, sizes array<int>, part int, local long, docs long, root binary, kind string"
 PARTS = "part int, n_tokens long, docs long, root binary, first long"
-#: Ids that are cut together.
-GROUP = 1 << 20
+#: Ids that are cut together; rows of an Arrow batch, most of which are hashes.
+GROUP, BATCH_ROWS = 1 << 20, 2048
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
@@ -207,7 +207,7 @@ def write_store(
             yield b.filter(pa.array(keep))
         tidy()
 
-    rows = small_batches(docs).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(cut, schema).repartition("key").mapInArrow(once, schema)
+    rows = small_batches(docs, BATCH_ROWS).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(cut, schema).repartition("key").mapInArrow(once, schema)
     rows.write.partitionBy("kind").option("compression", "lz4").parquet(f"{folder}/draft")
     spark = docs.sparkSession
     draft = spark.read.schema(schema.replace("kind string, ", "") + ", kind string").parquet(f"{folder}/draft")
