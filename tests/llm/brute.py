@@ -62,3 +62,58 @@ def lm(texts: dict, order: int = 3, discount: float = 0.75):
             score += math.log10(q)
         out[d] = len(t), sum(c[1][w,] > 0 for w in t), n, base, score
     return out
+
+
+def alignment(texts: list, a_path: str = "byte_bpe_50k.json", b_path: str = "piece_bpe_32k.model"):
+    """For each text: tokens of both sides, groups written out, links; and the counts of linked pairs."""
+    import sentencepiece
+
+    a, b = Tokenizer.from_file(public_tokenizers.path(a_path)), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(b_path))
+    a.encode_special_tokens = True
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    chars = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in shown)}
+    out, counts = [], Counter()
+    for text in texts:
+        e = a.encode(" " + (text or ""), add_special_tokens=False)
+        x = [(i, bytes(chars[c] for c in t)) for i, t in zip(e.ids, e.tokens, strict=True)]
+        y = [(i, bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()) for i in b.encode(text or "") for p in [b.id_to_piece(i)]]
+        whole = (" " + (text or "")).encode()
+        if not text or b"".join(t for _, t in x) != whole or b"".join(t for _, t in y) != whole:
+            out.append((0, 0, "", []))
+            continue
+        spans = []
+        for side in (x, y):
+            at = 0
+            spans.append([])
+            for i, t in side:
+                spans[-1].append((i, at, at + len(t)))
+                at += len(t)
+        links = [(i, j) for i, s, e in spans[0] for j, u, v in spans[1] if s < v and u < e] if len(whole) < 2000 else _links(*spans)
+        counts.update(links)
+        ends = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
+        parts, m, n = [], 0, 0
+        for cut in ends:
+            got = [], []
+            while m < len(x) and spans[0][m][2] <= cut:
+                got[0].append(str(spans[0][m][0]))
+                m += 1
+            while n < len(y) and spans[1][n][2] <= cut:
+                got[1].append(str(spans[1][n][0]))
+                n += 1
+            parts.append(",".join(got[0]) + "|" + ",".join(got[1]))
+        out.append((len(x), len(y), ";".join(parts), links))
+    return out, counts
+
+
+def _links(x, y):
+    out, k = [], 0
+    for i, s, e in x:
+        while k and y[k - 1][2] > s:
+            k -= 1
+        while y[k][2] <= s:
+            k += 1
+        m = k
+        while m < len(y) and y[m][1] < e:
+            out.append((i, y[m][0]))
+            m += 1
+    return out

@@ -3,7 +3,7 @@
 import hashlib
 
 import pytest
-from brute import crc, ids_of, lm
+from brute import alignment, crc, ids_of, lm
 from support import DATA, compare
 
 from millrace.llm import catalog
@@ -84,6 +84,23 @@ def test_lm_scores(spark, edge, where):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
 
+@pytest.mark.parametrize("where", ["edge", "sf"])
+def test_tokenizer_alignment(spark, edge, where):
+    folder = edge if where == "edge" else SF
+    texts = documents(spark, folder)
+    want, counts = alignment(list(texts.values()))
+    best = {}
+    for (_, b), n in counts.items():
+        best[b] = max(n, best.get(b, 0))
+    rows = {r["doc_id"]: r for r in catalog.queries()["op12_tokenizer_alignment"](spark, folder).collect()}
+    assert set(rows) == set(texts)
+    for d, (n_a, n_b, groups, links) in zip(texts, want, strict=True):
+        r = rows[d]
+        assert (r["n_a"], r["n_b"], r["n_groups"], r["n_links"]) == (n_a, n_b, len(groups.split(";")) if groups else 0, len(links)), (d, texts[d])
+        assert r["groups_sha256"] == (hashlib.sha256(groups.encode()).hexdigest() if groups else "")
+        assert (r["n_best"], r["count_sum"]) == (sum(counts[x] == best[x[1]] for x in links), sum(counts[x] for x in links))
+
+
 def test_model_beats_its_base_on_held_out_texts(spark):
     held = [r for r in catalog.queries()["op9_lm_scoring"](spark, f"{DATA}/sf0.01").collect() if r["held_out"]]
     assert len(held) > 50 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
