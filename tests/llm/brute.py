@@ -117,3 +117,18 @@ def _links(x, y):
             out.append((i, y[m][0]))
             m += 1
     return out
+
+
+def personal(text) -> list[tuple[str, int, int]]:
+    """Spans of the base kinds by plain patterns."""
+    text, out = text or "", []
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    for k, (kind, pattern) in enumerate({
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }.items()):
+        for m in re.finditer(pattern, text):
+            digits = "".join(c for c in m[0] if c in "0123456789")
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")) or kind == "card" and not (14 <= len(digits) <= 19 and luhn(digits)) or kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), k, kind, m.end()))
+    return [(kind, s, e) for s, _, kind, e in sorted(out)]

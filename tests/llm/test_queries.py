@@ -3,7 +3,7 @@
 import hashlib
 
 import pytest
-from brute import alignment, crc, ids_of, lm
+from brute import alignment, crc, ids_of, lm, personal
 from support import DATA, compare
 
 from millrace.llm import catalog
@@ -101,6 +101,20 @@ def test_tokenizer_alignment(spark, edge, where):
         assert (r["n_best"], r["count_sum"]) == (sum(counts[x] == best[x[1]] for x in links), sum(counts[x] for x in links))
 
 
+@pytest.mark.parametrize("where", ["edge", "sf"])
+def test_personal_data(spark, edge, where):
+    folder = edge if where == "edge" else f"{DATA}/sf0.01"
+    texts = documents(spark, folder)
+    rows = {r["doc_id"]: r for r in catalog.queries()["op13_personal_data"](spark, folder).collect()}
+    assert set(rows) == set(texts)
+    for d, text in texts.items():
+        want = [f"{k}:{s}:{e}" for k, s, e in personal(text)]
+        assert rows[d]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [rows[d][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(x.startswith(k) for x in want) for k in ("email", "ip", "card", "phone")]
+        assert [x for x in rows[d]["spans"].split(",") if x.split(":")[0] in ("email", "ip", "card", "phone")] == want
+    assert where == "edge" or sum(r["n_email"] for r in rows.values()) > 5
+
+
 def test_model_beats_its_base_on_held_out_texts(spark):
     held = [r for r in catalog.queries()["op9_lm_scoring"](spark, f"{DATA}/sf0.01").collect() if r["held_out"]]
     assert len(held) > 50 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
