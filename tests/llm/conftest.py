@@ -28,6 +28,12 @@ def edge(tmp_path_factory):
     passages = [x for x in t if x and len(x.split()) > 70]
     items = [" ".join(passages[0].split()[5:40]), passages[1].split()[3], "  ", None, " ".join(passages[2].split()[:13]).upper(), " ".join(passages[2].split()[:13])]
     pd.DataFrame({"item_id": [5, 6, 7, 8, 30, 4], "text": items, "win": 0}).to_parquet(folder / "benchmark.parquet")
+    vectors = [[r.gauss(0, 0.2) for _ in range(4)] for r in [random.Random(3)] for _ in range(150)]
+    vectors += [None, [], [0.5, None, 0.1, 0.1], [float("nan")] * 4, [float("inf"), 0, 0, 0], [0.0] * 4] + [vectors[0]] * 20
+    labels = [None if k == 9 else k % 3 for k in range(len(vectors))]
+    frame = pd.DataFrame({"vec_id": pd.array([None if k == 77 else k for k in range(len(vectors))], dtype="Int64"), "label": pd.array(labels, dtype="Int32"), "id": 1, "cell": 2, "v": "x"})
+    frame["embedding"] = [None if v is None else [None if x is None else float(x) for x in v] for v in vectors]
+    frame.to_parquet(folder / "embeddings.parquet")
     return str(folder)
 
 
@@ -36,5 +42,6 @@ def empty(spark, edge, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{edge}/{name}.parquet").where("false").coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    spark.read.parquet(f"{edge}/embeddings.parquet").where("false").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
     return folder
