@@ -75,7 +75,7 @@ def main(arguments: list[str] | None = None, spark=None) -> int:
         from millrace.operators import evaluate, sync
 
         began = time.time()
-        records = sync.parse(sync.scan(spark, a.folder), engine.readers())[0].where("ocr_used").cache()
+        records = sync.read_files(sync.scan(spark, a.folder).select("path"), engine.readers()).where("error is null AND ocr_used").cache()
         n = records.count()
         seconds = (time.time() - began) / max(1, n)
         pages = records.select(F.coalesce("ocr_confidence", F.lit(0.0)).alias("confidence"), F.coalesce("is_table", F.lit(False)).alias("is_table"), F.lit(seconds).alias("seconds"))

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions.tags import extract_tags
 from millrace.functions.text import cache_key, is_conversational, is_followup
-from millrace.operators import agent, evaluate, evidence, fusion, lexical, memory, ontology, providers, recognition, registry, sync
-from millrace.schemas import AUDIT, EVAL_QUESTIONS, REGISTRY, TURNS
+from millrace.operators import agent, evaluate, evidence, fusion, memory, ontology, providers, recognition, registry, sync
+from millrace.operators.audit import AuditLog
+from millrace.operators.segments import View
+from millrace.schemas import EVAL_QUESTIONS, REGISTRY, TURNS
+from millrace.shared import scope
 from millrace.sources import readers, sinks
 
 K = 4
@@ -65,10 +68,11 @@ TOOLS = [
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, embedder=None, rerank=None, ocr: Callable = recognition.engine, render: Callable | None = None, call: Callable[[str], str] | None = None, dossiers: DataFrame | None = None, threshold: float = fusion.THRESHOLD):
-        self.spark, self.path, self.rerank, self.ocr, self.render, self.call = spark, path.rstrip("/"), rerank, ocr, render, call
+    def __init__(self, spark: SparkSession, path: str, embedder=None, rerank=None, ocr: Callable = recognition.engine, render: Callable | None = None, call: Callable[[str], str] | None = None, stream: Callable[[str], Iterator[str]] | None = None, dossiers: DataFrame | None = None, threshold: float = fusion.THRESHOLD):
+        self.spark, self.path, self.rerank, self.ocr, self.render, self.call, self.stream = spark, path.rstrip("/"), rerank, ocr, render, call, stream
         self.embedder, self.known, self.threshold = embedder or providers.MockEmbedder(), dossiers, threshold
-        self.answers, self.vectors, self.events = Cache(ANSWERS), Cache(VECTORS, touch=False), []
+        self.answers, self.vectors = Cache(ANSWERS), Cache(VECTORS, touch=False)
+        self.log = AuditLog(spark, f"{self.path}/audit")
 
     # Index.
 
@@ -85,9 +89,15 @@ class Engine:
     def recreate(self) -> None:
         sync.recreate(self.spark, f"{self.path}/index")
 
-    def tables(self) -> dict[str, DataFrame] | None:
+    def index(self) -> View | None:
+        """The index as of its last version; None before the first."""
         return sync.load(self.spark, f"{self.path}/index")
 
+    def tables(self) -> dict[str, DataFrame] | None:
+        """The registry and the chunks; None before the first version."""
+        view = self.index()
+        return {"registry": sync.registry_of(view), "chunks": view.chunks()} if view else None
+
     def documents(self) -> DataFrame:
         """The registry by file name."""
         found = self.tables()
@@ -103,12 +113,11 @@ class Engine:
 
     def retrieve(self, texts: list[str], k: int = K, threshold: float | None = None, criteria: dict | None = None) -> DataFrame:
         """The hits of several questions: qid, place, score and the chunk's columns."""
-        t = self.tables()
-        if t is None:
+        view = self.index()
+        chunks = view.chunks() if view else None
+        if chunks is None:
             raise LookupError("there is no index yet; synchronise a folder first")
-        chunks = t["chunks"].withColumn("doc", F.col("point_id"))
-        index = lexical.Index(t["postings"], t["lengths"], t["stats"])
-        return fusion.retrieve(index, chunks, chunks.drop("embedding"), self.questions(texts), k, self.threshold if threshold is None else threshold, criteria, score=self.rerank)
+        return fusion.retrieve(view, chunks, chunks.drop("embedding"), self.questions(texts), k, self.threshold if threshold is None else threshold, criteria, score=self.rerank)
 
     def search(self, question: str, k: int = K, criteria: dict | None = None) -> dict:
         """The search contract of one question."""
@@ -123,37 +132,62 @@ class Engine:
 
     def answer(self, question: str, k: int = K, history: list[tuple[str, str]] | None = None) -> dict:
         """Text, sources and confidence: by the model, else from the evidence itself."""
+        for event in self._answer(question, k, history, self.call and (lambda prompt: iter([self.call(prompt)]))):
+            if event["type"] == "done":
+                return event["answered"]
+        raise AssertionError
+
+    def answer_stream(self, question: str, k: int = K, history: list[tuple[str, str]] | None = None) -> Iterator[dict]:
+        """The answer piece by piece as the model (``stream``, else ``call``) gives it, then its sources and confidence.  If
+        the model fails before its first piece, the evidence answers; after it, an ``error`` event ends what there is."""
+        for event in self._answer(question, k, history, self.stream or (self.call and (lambda prompt: agent.pieces(self.call(prompt))))):
+            yield {"type": "done", **event["answered"]} if event["type"] == "done" else event
+
+    def _answer(self, question: str, k: int, history: list[tuple[str, str]] | None, model: Callable[[str], Iterator[str]] | None) -> Iterator[dict]:
+        def whole(answered: dict) -> Iterator[dict]:
+            for piece in agent.pieces(answered["answer"]):
+                yield {"type": "token", "text": piece}
+            yield {"type": "done", "answered": answered}
+
         key = self._value(cache_key(F.lit(question)))
         if not history and (held := self.answers.get(key)):
-            return held
+            yield from whole(held)
+            return
         if not question.strip() or self._value(is_conversational(F.lit(question))):
-            return {"answer": GREETING, "sources": [], "confidence": "HIGH"}
+            yield from whole({"answer": GREETING, "sources": [], "confidence": "HIGH"})
+            return
         asked = self.condensed(question, history or [])
-        hits = self.retrieve([asked], k).withColumn("cited", F.col("text"))
-        found = evidence.contract(self.spark.createDataFrame([(0,)], "qid long"), hits, k).first().asDict(recursive=True)
+        with scope(self.spark):  # what the search writes on its way goes
+            hits = self.retrieve([asked], k).withColumn("cited", F.col("text"))
+            found = evidence.contract(self.spark.createDataFrame([(0,)], "qid long"), hits, k).first().asDict(recursive=True)
+            plain = evidence.evidence_answer(hits).first() if found["found"] and model is None else None
         if not found["found"]:
-            return {"answer": NOTHING, "sources": [], "confidence": "LOW"}
-        text = None
-        if self.call is not None:
+            yield from whole({"answer": NOTHING, "sources": [], "confidence": "LOW"})
+            return
+        pieces, failed = [], None
+        if model is not None:
             try:
-                text = self.call(f"Answer from this evidence only and cite it as [E1], [E2] ...\n\n{found['context']}\n\nQuestion: {asked}")
-            except Exception:  # the model's own failure
-                text = None
-        if text is None:
-            text = evidence.evidence_answer(hits).first()["answer"]
+                for piece in model(f"Answer from this evidence only and cite it as [E1], [E2] ...\n\n{found['context']}\n\nQuestion: {asked}"):
+                    pieces.append(piece)
+                    yield {"type": "token", "text": piece}
+            except Exception as e:  # the model's own failure
+                failed = e
+        if failed is not None and pieces:
+            yield {"type": "error", "text": f"{type(failed).__name__}: {failed}"[:200]}
+        if not pieces:
+            if plain is None:
+                with scope(self.spark):
+                    plain = evidence.evidence_answer(self.retrieve([asked], k).withColumn("cited", F.col("text"))).first()
+            pieces = [plain["answer"]]
+            for piece in agent.pieces(plain["answer"]):
+                yield {"type": "token", "text": piece}
         elif found["confidence"] == "LOW":
-            text += "\n\nThe evidence for this is weak; check it against the documents."
-        out = {"answer": text, "sources": found["sources"], "confidence": found["confidence"]}
-        if not history:
-            self.answers.put(key, out)
-        return out
-
-    def answer_stream(self, question: str, k: int = K, history: list[tuple[str, str]] | None = None) -> Iterator[dict]:
-        """The answer piece by piece, then its sources and confidence."""
-        found = self.answer(question, k, history)
-        for piece in agent.pieces(found["answer"]):
-            yield {"type": "token", "text": piece}
-        yield {"type": "done", **found}
+            pieces.append("\n\nThe evidence for this is weak; check it against the documents.")
+            yield {"type": "token", "text": pieces[-1]}
+        answered = {"answer": "".join(pieces), "sources": found["sources"], "confidence": found["confidence"]}
+        if not history and failed is None:
+            self.answers.put(key, answered)
+        yield {"type": "done", "answered": answered}
 
     def condensed(self, question: str, history: list[tuple[str, str]]) -> str:
         """A question that follows up on earlier ones, rewritten by the model to stand for itself."""
@@ -228,12 +262,12 @@ class Engine:
     # Audit, evaluation, data for training.
 
     def audit(self, component: str, operation: str, target: str, local: bool = True) -> None:
-        self.events.append((time.time(), component, operation, target[:200], "ok", local, None))
+        """Writes an event to the log of the index; it stays when this object goes."""
+        self.log.record(component, operation, target, local)
 
     def audit_table(self) -> DataFrame:
-        """What this object did, as ``schemas.AUDIT``."""
-        rows = [(t, *rest) for t, *rest in self.events]
-        return self.spark.createDataFrame(rows, AUDIT.replace("timestamp timestamp", "timestamp double")).withColumn("timestamp", F.timestamp_seconds("timestamp"))
+        """What was done with this index, as ``schemas.AUDIT`` with ids."""
+        return self.log.table()
 
     def evaluate(self, questions: DataFrame | None = None, k: int = 5, save: str | None = None) -> dict:
         """Totals of retrieval for questions with expected keywords (the engine's own, if none are given)."""

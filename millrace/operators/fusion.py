@@ -68,24 +68,26 @@ def prepare(questions: DataFrame, units: DataFrame) -> DataFrame:
 
 def retrieve(index, vectors: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = 4, threshold: float = THRESHOLD, criteria: dict | None = None, prefilter: bool = False, score=None) -> DataFrame:
     """The whole retrieval for a table of questions (qid, text, vector; by choice ``lexical_query`` and ``tagged``, see
-    ``prepare``): one lazy plan.
+    ``prepare``).  The plan is lazy but for what bounds it: the questions are counted, and an index that isn't
+    one of segments writes the postings of their terms, which a ``scope`` around the use of the hits deletes.
 
-    ``criteria`` filter vectors before the ranking.  Lexical hits are filtered after it, which leaves gaps in their
+    ``index``: postings, or a view of segments.  ``criteria`` filter vectors before the ranking.  Lexical hits are filtered after it, which leaves gaps in their
     ranks; ``prefilter`` filters them before as well.  ``chunks`` has doc, filename, page_number, location, revision.
     ``score`` (a function of hits with question, text, tags, score and rank; see ``rerank.reranker``) ranks again.
     """
     from millrace.operators import dense as D
     from millrace.operators import lexical as L
+    from millrace.operators.segments import View
 
     questions = questions.where(F.length(F.trim("text")) > 0)
     if "tagged" not in questions.columns:
         questions = questions.withColumn("tagged", asks_exactly("text"))
     near = D.search(vectors, questions, 2 * k, "doc", "embedding", criteria)
-    if criteria and prefilter:
-        kept = chunks.where(D.matches(chunks, criteria)).select("doc")
+    kept = chunks.where(D.matches(chunks, criteria)).select("doc") if criteria and prefilter else None
+    if kept is not None and not isinstance(index, View):
         index = L.Index(index.postings.join(kept, "doc", "left_semi"), index.lengths, index.stats)
     asked = questions.select("qid", (F.col("lexical_query") if "lexical_query" in questions.columns else F.col("text")).alias("text"))
-    words = L.search(index, asked, 2 * k)
+    words = index.search(asked, 2 * k, only=kept) if isinstance(index, View) else L.search(index, asked, 2 * k)
     if criteria and not prefilter:
         words = words.join(chunks.where(D.matches(chunks, criteria)).select("doc"), "doc", "left_semi")
     named = chunks.withColumnRenamed("text", "body") if "text" in chunks.columns else chunks

@@ -36,9 +36,10 @@ def table(spark: SparkSession, rows=UNITS) -> DataFrame:
     return spark.createDataFrame(rows, "code string, full_name string, synonyms array<string>, context string")
 
 
-def expand(questions: DataFrame, units: DataFrame, text: str = "text") -> DataFrame:
+def expand(questions: DataFrame, units: DataFrame, text: str = "text", codes: list[str] | None = None) -> DataFrame:
     """Questions with ``dense_text`` (the first two definitions behind the question) and ``boosts`` (names, synonyms
-    and tags, sorted).  Words meet the units by an equi-join on their code."""
+    and tags, sorted).  Words meet the units by an equi-join on their code; ``codes`` are those that are no tags (the
+    starter table's, if none are given)."""
     alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
     words = questions.select("qid", F.posexplode(F.regexp_extract_all(F.upper(F.col(text)), F.lit(r"\b([A-Z0-9_\-./]+)\b"), F.lit(1))).alias("at", "word"))
     words = words.withColumn("code", F.coalesce(F.try_element_at(alias, F.col("word")), F.col("word")))
@@ -48,19 +49,20 @@ def expand(questions: DataFrame, units: DataFrame, text: str = "text") -> DataFr
         F.flatten(F.collect_list(F.concat(F.array("full_name"), "synonyms"))).alias("names"),
     )
     out = questions.join(found, "qid", "left")
-    boosts = F.array_sort(F.array_distinct(F.concat(F.coalesce("names", F.array().cast("array<string>")), query_tags(F.col(text), [u[0] for u in UNITS]))))
+    boosts = F.array_sort(F.array_distinct(F.concat(F.coalesce("names", F.array().cast("array<string>")), query_tags(F.col(text), [u[0] for u in UNITS] if codes is None else codes))))
     defs = F.array_join(F.transform(F.slice("defs", 1, 2), lambda x: x["d"]), " ")
     dense = F.when(F.col("defs").isNotNull(), F.concat(F.trim(F.col(text)), F.lit(" | Context: "), defs)).otherwise(F.trim(F.col(text)))
     return out.select(*questions.columns, dense.alias("dense_text"), boosts.alias("boosts"))
 
 
-def expand_acronyms(text: Column) -> Column:
-    """The question with codes of spoken phrases and names of codes behind it, sorted."""
+def expand_acronyms(text: Column, units: list[tuple] = UNITS, phrases: list[tuple[str, str]] = PHRASES) -> Column:
+    """The question with codes of spoken phrases and names of codes behind it, sorted.  ``units`` (code, name, ...) and
+    ``phrases`` (in lower case, code) are the caller's; they stand in the expression, so they are lists of some hundred."""
     low, up = F.lower(text), F.upper(text)
-    spoken = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(c).alias("c")) for p, c in PHRASES])
+    spoken = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(c).alias("c")) for p, c in phrases]) if phrases else F.array().cast("array<struct<p:string,c:string>>")
     codes = F.transform(F.filter(spoken, lambda x: F.contains(low, x["p"]) & ~F.contains(up, x["c"])), lambda x: x["c"])
     words = F.regexp_extract_all(up, F.lit(r"\b([A-Z0-9_-]+)\b"), F.lit(1))
-    units = F.array(*[F.struct(F.lit(u[0]).alias("k"), F.lit(u[1]).alias("n")) for u in UNITS])
+    units = F.array(*[F.struct(F.lit(u[0]).alias("k"), F.lit(u[1]).alias("n")) for u in units]) if units else F.array().cast("array<struct<k:string,n:string>>")
     names = F.transform(F.filter(units, lambda u: F.array_contains(words, u["k"]) & ~F.contains(low, F.lower(u["n"]))), lambda u: u["n"])
     more = F.array_sort(F.array_distinct(F.concat(codes, names)))
     return F.when(F.size(more) > 0, F.concat(F.trim(text), F.lit(" ("), F.array_join(more, " "), F.lit(")"))).otherwise(F.trim(text))

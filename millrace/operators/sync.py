@@ -1,52 +1,85 @@
-"""Synchronisation of a folder with the index: what changed is read, cut into chunks, embedded and put in as one snapshot.
+"""Synchronisation of a folder with the index: what changed is read, cut into chunks, embedded and put in as one segment.
 
-A snapshot holds the tables ``registry``, ``chunks`` (with embeddings) and the inverted index; readers see the one before
-until all of the new one is written.  A document that can't be read or has no text leaves what is known of it as it is
-and is tried again; one bad file stops nothing.
+A version of the index is a list of segments, of chunks (with embeddings), postings and rows of the registry; readers see
+the one before until all of the new one is written.  A document that can't be read or has no text leaves what is known of
+it as it is and is tried again; one bad file stops nothing.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.commits import Conflict
 from millrace.functions.tags import is_supported
 from millrace.functions.vectors import document_id, point_id
-from millrace.operators import lexical, providers, registry
+from millrace.operators import lexical, providers, registry, segments
 from millrace.operators.chunking import block_chunks
 from millrace.schemas import RECORDS, REGISTRY
+from millrace.shared import drop
 from millrace.sources import readers as R
 
+#: Tasks that read files at most.
+FILE_TASKS = 10_000
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Files below a folder that a reader takes: path, content, document_id and file_hash."""
+
+def scan(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """Files below a folder (or of a list of them) that a reader takes: path, document_id and file_hash."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(is_supported("path"))
-    return files.select("path", "content", document_id("path").alias("document_id"), F.sha2("content", 256).alias("file_hash"))
+    return files.select("path", document_id("path").alias("document_id"), F.sha2("content", 256).alias("file_hash"))
 
 
-def parse(files: DataFrame, readers: dict = R.READERS) -> tuple[DataFrame, DataFrame]:
-    """The records of files (path, content), and (path, error) of those that can't be read or that no reader takes."""
+def _records(readers: dict, content):
+    """A function of batches of files that gives their records, with the reason (``error``) where there are none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for path, data in zip(b["path"], b["content"], strict=True):
+            for k, path in enumerate(b["path"]):  # a file's records at a time
                 ext = path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
                 try:
                     if ext not in readers:
                         raise ValueError(f"no reader for .{ext} files")
-                    rows += [r | {"error": None} for r in readers[ext](path, bytes(data or b""))]
+                    rows = [r | {"error": None} for r in readers[ext](path, content(b, k))]
                 except Exception as e:  # whatever a broken file makes a parser raise
-                    rows.append(R.record(path, 0, "") | {"error": f"{type(e).__name__}: {e}"[:500]})
-            if rows:
-                yield pd.DataFrame(rows, columns=[*R._NAMES, "error"])
+                    rows = [R.record(path, 0, "") | {"error": f"{type(e).__name__}: {e}"[:500]}]
+                if rows:
+                    yield pd.DataFrame(rows, columns=[*R._NAMES, "error"])
+
+    return run
+
+
+def read_files(paths: DataFrame, readers: dict = R.READERS) -> DataFrame:
+    """The records of files (path), which workers read, so that no content passes through a shuffle; ``error`` has the
+    reason where a file can't be read or no reader takes it."""
+
+    def content(b: pd.DataFrame, k: int) -> bytes:
+        from pyarrow import fs
 
-    read = files.select("path", "content").mapInPandas(run, f"{RECORDS}, error string")
-    return read.where("error is null").drop("error"), read.where("error is not null").groupBy(F.col("source").alias("path")).agg(F.min("error").alias("error"))
+        path = b["path"][k]
+        if path.startswith("file:"):
+            store, name = fs.LocalFileSystem(), f"/{path[5:].lstrip('/')}"
+        else:  # paths come without escapes
+            store, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+        with store.open_input_file(name) as f:
+            return f.read()
+
+    return paths.select("path").mapInPandas(_records(readers, content), f"{RECORDS}, error string")
+
+
+def errors_of(parsed: DataFrame) -> DataFrame:
+    return parsed.where("error is not null").groupBy(F.col("source").alias("path")).agg(F.min("error").alias("error"))
+
+
+def parse(files: DataFrame, readers: dict = R.READERS) -> tuple[DataFrame, DataFrame]:
+    """The records of files (path, content), and (path, error) of those that can't be read or that no reader takes: two
+    reads of one lazy parse.  Who wants both and pays for each file reads them once by ``read_files``, written."""
+    read = files.select("path", "content").mapInPandas(_records(readers, lambda b, k: bytes(b["content"][k] or b"")), f"{RECORDS}, error string")
+    return read.where("error is null").drop("error"), errors_of(read)
 
 
 def chunked(records: DataFrame, embedder) -> DataFrame:
@@ -95,56 +128,100 @@ def registered(known: DataFrame, done: DataFrame, now) -> DataFrame:
     return registry.merge(left, rows)
 
 
-def write(tables: dict[str, DataFrame], path: str) -> None:
-    """A new snapshot of several tables; the name points at it once all are written."""
-    version, spark = uuid.uuid4().hex, next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.write.parquet(f"{path}/v-{version}/{name}")
-    n = _versions(spark, path).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    spark.createDataFrame([(n + 1, version)], "n long, version string").coalesce(1).write.mode("append").json(f"{path}/versions")
+def load(spark: SparkSession, path: str) -> segments.View | None:
+    """The index as of its last version; None before the first."""
+    view = segments.Index(spark, path).view()
+    return view if view.version else None
 
 
-def _versions(spark: SparkSession, path: str) -> DataFrame:
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema("n long, version string").json(f"{path}/versions") if there else spark.createDataFrame([], "n long, version string")
+def registry_of(view: segments.View) -> DataFrame:
+    return view.keyed("registry", "path", REGISTRY)
 
 
-def load(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
-    """The tables of the last snapshot; None before the first."""
-    last = _versions(spark, path).agg(F.max_by("version", "n")).first()[0]
-    if last is None:
+def recreate(spark: SparkSession, path: str) -> None:
+    """Forgets all versions."""
+    drop(spark, path)
+
+
+def sync(spark: SparkSession, folder: str, path: str, embedder=None, readers: dict = R.READERS, force: bool = False, tries: int = 3) -> dict[str, int]:
+    """Brings the index below ``path`` up to date with a folder and returns the counts of what was done.
+
+    Only what changed is written, as a segment.  If another synchronisation changed the same documents meanwhile, this one
+    starts again, at most ``tries`` times; then its ``Conflict`` is raised and nothing of it is kept."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            return _sync(spark, folder, path, embedder or providers.MockEmbedder(), readers, force)
+        except Conflict:
+            if not left:
+                raise
+    raise ValueError("tries must be positive")
+
+
+def follow(spark: SparkSession, folder: str, path: str, checkpoint: str, embedder=None, readers: dict = R.READERS, name: str = "files"):
+    """Follows a folder as a stream up to what is there now: each batch of new files goes into the index once, also if the
+    batch is run again, and documents whose files are gone go out of it.  The index is then that of a synchronisation.
+
+    A file that was written anew under its old name isn't new to a stream: ``sync`` finds it.  ``name``: of the stream, by
+    which the index remembers the last batch that is in it."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema(schema).load(folder)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        take(spark, batch.select("path"), number, folder, path, embedder or providers.MockEmbedder(), readers, name)
+
+    return files.select("path").writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
+
+
+def take(spark: SparkSession, paths: DataFrame, number: int, folder: str, path: str, embedder, readers: dict = R.READERS, name: str = "files") -> dict[str, int] | None:
+    """Puts batch ``number`` of a stream of new files into the index; None if it is in it already."""
+    index = segments.Index(spark, path)
+    if index.mark(name) >= number:
         return None
-    names = ("registry", "chunks", "postings", "lengths", "stats")
-    return {n: spark.read.parquet(f"{path}/v-{last}/{n}") for n in names}
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(is_supported("path")).select("path")
+    known = registry_of(index.view())
+    few = [r[0] for r in paths.limit(segments.NAMED + 1).collect()]  # more are hashed among all that are there
+    new = scan(spark, few) if 0 < len(few) <= segments.NAMED else scan(spark, folder).join(paths, "path", "left_semi")
+    same = known.join(paths, "path", "left_anti").join(there, "path", "left_semi").select("path", "document_id", "file_hash")
+    return _apply(spark, index, known, registry.compare(new.unionByName(same), known), path, embedder, readers, (name, number))
 
 
-def recreate(spark: SparkSession, path: str) -> None:
-    """Forgets all snapshots."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def _sync(spark: SparkSession, folder: str, path: str, embedder, readers: dict, force: bool) -> dict[str, int]:
+    index = segments.Index(spark, path)
+    known = registry_of(index.view())
+    return _apply(spark, index, known, registry.compare(scan(spark, folder), known, force=force), path, embedder, readers)
 
 
-def sync(spark: SparkSession, folder: str, path: str, embedder=None, readers: dict = R.READERS, force: bool = False) -> dict[str, int]:
-    """Brings the index below ``path`` up to date with a folder and returns the counts of what was done."""
-    files, state = scan(spark, folder), load(spark, path)
-    known = state["registry"] if state else spark.createDataFrame([], REGISTRY)
-    changes = registry.compare(files, known, force=force)
-    wanted = files.join(changes.where("change IN ('indexed', 'updated')").select("path"), "path", "left_semi")
+def _apply(spark: SparkSession, index: segments.Index, known: DataFrame, compared: DataFrame, path: str, embedder, readers: dict, mark: tuple[str, int] | None = None) -> dict[str, int]:
     draft = f"{path}/draft-{uuid.uuid4().hex}"
-    records, errors = parse(wanted, readers)
-    # Read and embedded once: everything below reads these tables.
-    errors.write.parquet(f"{draft}/errors")
-    chunked(records, embedder or providers.MockEmbedder()).write.parquet(f"{draft}/chunks")
-    chunks, errors = spark.read.parquet(f"{draft}/chunks"), spark.read.schema("path string, error string").parquet(f"{draft}/errors")
-    outcomes(changes, chunks, errors).write.parquet(f"{draft}/done")
-    done = spark.read.parquet(f"{draft}/done")
-    good = done.where("status IN ('indexed', 'updated')").select("document_id")
-    new, gone = chunks.join(good, "document_id", "left_semi"), done.where("status = 'deleted'")
-    every = registry.replace_documents(state["chunks"], new, gone) if state else new
-    index = lexical.build_index(every.select("point_id", lexical.searchable_text(every).alias("t")), "point_id", "t")
-    write({"registry": registered(known, done, F.current_timestamp()), "chunks": every, "postings": index.postings, "lengths": index.lengths, "stats": index.stats}, path)
-    counts = totals(done).first().asDict()
-    where = spark._jvm.org.apache.hadoop.fs.Path(draft)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    return counts
+    step = lambda df, name: (df.write.parquet(f"{draft}/{name}"), spark.read.schema(df.schema).parquet(f"{draft}/{name}"))[1]
+    try:
+        # Each step is written once, so that no file is listed, read, recognised or embedded twice.
+        changes = step(compared, "changes")
+        wanted = changes.where("change IN ('indexed', 'updated')").select("path")
+        n = wanted.count()
+        parsed = step(read_files(wanted.repartition(max(1, min(n, FILE_TASKS)), "path"), readers), "records")
+        chunks = step(chunked(parsed.where("error is null").drop("error"), embedder), "chunks")
+        done = step(outcomes(changes, chunks, errors_of(parsed)), "done")
+        good = done.where("status IN ('indexed', 'updated')")
+        gone = done.where("status = 'deleted'").select("path", "document_id")
+        counts = totals(done).first().asDict()
+        if counts["indexed"] or counts["updated"] or counts["deleted"]:
+            new = chunks.join(good.select("document_id"), "document_id", "left_semi").withColumn("doc", F.col("point_id"))
+            touched = known.join(good.select("path"), "path", "left_semi")
+            rows = registered(touched, done, F.current_timestamp()).withColumn("deleted", F.lit(False))
+            rows = rows.unionByName(gone.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
+            index.change(new, gone.select("document_id"), lexical.searchable_text(new), {"registry": rows}, mark)
+            tidy(index)
+        return counts
+    finally:
+        drop(spark, draft)
+
+
+def tidy(index: segments.Index) -> None:
+    """Merges segments while there are runs to merge; a conflict leaves them to the writer that caused it."""
+    chunks = index.view().chunks()
+    try:
+        while chunks is not None and index.merge(lexical.searchable_text(chunks), {"registry": "path"}):
+            pass
+    except Conflict:
+        pass

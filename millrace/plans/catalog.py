@@ -6,7 +6,7 @@ from importlib import import_module
 
 from millrace.plans.register import ORACLES, QUERIES
 
-for _module in ("retrieval", "textual", "documents", "extras", "services", "files"):
+for _module in ("retrieval", "textual", "documents", "extras", "services", "files", "indexes"):
     import_module(f"millrace.plans.{_module}")
 
 

@@ -203,14 +203,21 @@ def stream_windows(spark, d):
     return spark.read.parquet(f"{folder}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query("stream_turns", "SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS turns FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) GROUP BY conv_id")
+#: A time for each turn: conversations begin 7 minutes after each other, turns follow by the minute.
+_SAID = "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(7 * conv_id + turn as int), 0)"
+
+
+@query("stream_turns", """WITH t AS (SELECT conv_id, turn, 7 * conv_id + turn AS at FROM conversations), c AS (SELECT conv_id, max(at) + 30 <= (SELECT max(at) FROM t) - 10 AS closed FROM t GROUP BY conv_id)
+    SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS turns, closed FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) JOIN c USING (conv_id) GROUP BY ALL""")
 def stream_turns(spark, d):
-    """The last six turns of each conversation, kept as the state of a stream."""
-    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
+    """The last six turns of each conversation, kept as the state of a stream, and whether it was idle so long that it went."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text"), F.expr(_SAID).alias("at"))
     turns, folder = _streamed(spark, rows, "stream-turns")
-    streams.recent_turns(turns).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda b, n: b.write.mode("append").parquet(f"{folder}/out")).start().awaitTermination()
-    found = spark.read.parquet(f"{folder}/out").groupBy("conv_id").agg(F.max_by("turns", F.array_max("turns")).alias("turns"))
-    return found.select("conv_id", F.array_join(F.transform("turns", lambda t: t.cast("string")), ",").alias("turns"))
+    with streams.keeps_state(spark):
+        out = streams.recent_turns(turns).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        out.foreachBatch(lambda b, n: b.write.mode("append").parquet(f"{folder}/out")).start().awaitTermination()
+    found = spark.read.parquet(f"{folder}/out").groupBy("conv_id").agg(F.max_by("turns", F.array_max("turns")).alias("turns"), F.bool_or("closed").alias("closed"))
+    return found.select("conv_id", F.array_join(F.transform("turns", lambda t: t.cast("string")), ",").alias("turns"), "closed")
 
 
 @query("stream_files", "SELECT '/d' || CAST(item_id AS VARCHAR) AS name, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS bytes FROM benchmark")

@@ -3,6 +3,8 @@
 import io
 import zipfile
 
+import os
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -99,15 +101,22 @@ def test_readers_and_broken_files(spark, tmp_path):
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    pd.DataFrame({"conv_id": [1] * 9 + [2], "turn": [*range(9), 0], "text": list("abcdefghij")}).to_parquet(src / "a.parquet")
-    turns = spark.readStream.schema("conv_id long, turn long, text string").parquet(str(src))
-    q = streams.recent_turns(turns, 6).writeStream.outputMode("update").format("memory").queryName("recent").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {r["conv_id"]: r["turns"] for r in spark.table("recent").collect()} == {1: [3, 4, 5, 6, 7, 8], 2: [0]}
+    day = pd.Timestamp("2024-01-01")
+    turns = spark.readStream.schema("conv_id long, turn long, text string, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(src))
+    with streams.keeps_state(spark):
+        for k, rows in enumerate([[(1, t, t) for t in range(9)] + [(2, 0, 100)], [(2, 1, 102)], [(1, 20, 300), (3, 0, 301)], [(3, 1, 302)]]):  # minutes
+            pd.DataFrame([(c, t, f"{c}-{t}", day + pd.Timedelta(minutes=m)) for c, t, m in rows], columns=["conv_id", "turn", "text", "at"]).to_parquet(src / f"{k}.parquet", coerce_timestamps="us")
+            streams.recent_turns(turns, 6).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(
+                lambda b, n: b.write.mode("overwrite").parquet(f"{tmp_path}/out/{n:03d}")
+            ).start().awaitTermination(120)
+    rows = [(r["conv_id"], r["turns"], r["closed"]) for n in sorted(os.listdir(tmp_path / "out")) for r in spark.read.parquet(f"{tmp_path}/out/{n}").orderBy("conv_id").collect()]
+    # The first conversation is closed 30 minutes after its last turn, and begins anew later; the second waits longer.
+    assert rows.index((1, [3, 4, 5, 6, 7, 8], False)) < rows.index((1, [3, 4, 5, 6, 7, 8], True)) < rows.index((1, [20], False))
+    assert (2, [0, 1], False) in rows and (2, [0, 1], True) in rows and (3, [0, 1], False) in rows and (3, [0, 1], True) not in rows
     seen = []
     office(tmp_path / "in")
     streams.ingest(spark, str(src), lambda batch, k: seen.extend(r["path"] for r in batch.select("path").collect()), str(tmp_path / "cp2")).awaitTermination(120)
-    assert len(seen) == 7
+    assert len(seen) == 10
 
 
 def test_providers(spark):
