@@ -2,32 +2,34 @@
 
 Both tokenizers cut a text in places that their rules and pieces fix whatever stands around, such as a word's space.
 What lies between two such places, a stretch, has the same tokens wherever it stands, so the relations are made of the
-distinct stretches with the number of times that they occur, before anything is shuffled by token: tokens are exploded
-with their places, windowed sums of lengths give their ends, equal ends of both sides meet, running counts of the ends
+distinct stretches with the number of times that they occur, counted in chunk files before anything is shuffled: tokens
+are exploded with their places, windowed sums of lengths give their ends, equal ends of both sides meet, running counts of the ends
 that both have number the groups.  Each end of either side closes one link: the range between it and the end before it
-lies in one token of each.  Documents then meet the sums of their stretches.
+lies in one token of each.  A chunk's documents then meet the sums of the chunk's stretches.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import chunks as C
 from millrace.llm.encoding import WIDE_SPACE
-from millrace.llm.exprs import let
-from millrace.llm.storage import written
+from millrace.llm.memory import tidy
+from millrace.llm.storage import frees_shuffles, get, scope, shared_folder, written
 
 #: Marks that may begin a stretch after one of these letters, if no piece has them there.
 MARKS, LETTERS = ".,;:!?", "A-Za-zÀ-ÖØ-öø-ɏ"
-#: A stretch that makes up this part of all occurrences is common: there are so many at most, of at most so many bytes
-#: each, and they may be broadcast.
-COMMON, COMMON_BYTES = 1 << 19, 48
+#: White space that isn't a space or a line feed; stretches that are encoded together.
+_RARE, TOGETHER = re.compile(f"[\t\v\f\r{WIDE_SPACE}]"), 512
 #: Pairs of ids that may be broadcast, of 33 bytes each.
 PAIRS = 1 << 20
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -73,12 +75,19 @@ class Pieces:
 
 
 def cuts(pieces: list[str]) -> str:
-    """The pattern of places where every byte-level tokenizer of words and this model always cut: before a space or line
-    feed, or one of the marks, after what no piece has before it."""
-    if any(re.search("[^▁]▁|.\n", p, re.S) for p in pieces):
-        raise ValueError("the model has pieces with a space or line feed inside")
+    """The pattern of a stretch: white space and what follows it.  A tokenizer of words cuts before white space that follows
+    anything else, and between letters and marks; this model does unless a piece has them inside, as some have a carriage
+    return at their ends: what follows one of those stays with it."""
+    pieces = [p.replace("▁", " ") for p in pieces]
+    every = f"\t\n\v\f\r {WIDE_SPACE}"
+    inside = "".join(c for c in every if any(re.search(f"[^{every}]{c}", p) for p in pieces))
+    space = "".join(c for c in every if c not in inside)
+    if " " in inside or "\n" in inside or inside and any(re.search(f"[{inside}][{space}]", p) for p in pieces):
+        raise ValueError("the model has pieces that reach over white space")
     marks = "".join(m for m in MARKS if not any(re.search(f"[{LETTERS}]{re.escape(m)}", p) for p in pieces))
-    return rf"(?<=[^\x09-\x0D\x20{WIDE_SPACE}])(?=[ \n])" + (f"|(?<=[{LETTERS}])(?=[{marks}])" if marks else "")
+    word = f"[{space}]*+[{LETTERS}]++(?=[{marks}])|" if marks else ""
+    on = f"(?:(?<=[{inside}])[{space}]++[^{space}]*+)*+" if inside else ""
+    return f"{word}[{space}]*+[^{space}]++{on}|[{space}]++"
 
 
 _models: dict[tuple[str, str], tuple[ByteLevel, Pieces]] = {}
@@ -90,6 +99,145 @@ def _both(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces]:
     return _models[a_path, b_path]
 
 
+class _Stretches:
+    """The words of a chunk's texts and their stretches, numbered as they come; a word is what stands between two spaces, of
+    a text where each of those begins a stretch, else a stretch."""
+
+    def __init__(self, pattern: str):
+        self.cut, self.at, self.words, self.odd = re.compile(pattern), {}, {}, {}
+        self.parts: list[list[int]] = []
+
+    def of(self, text: bytes | None) -> list[int]:
+        """The words of a text, by number."""
+        if not text:
+            return []
+        t = text.decode()
+        if "  " in t or "\n " in t or t[0].isspace() or _RARE.search(t):
+            found, known = self.cut.findall(f" {t}"), self.odd
+        else:
+            found, known = t.split(" "), self.words
+        for w in dict.fromkeys(found):
+            if w not in known:
+                known[w] = len(self.parts)
+                own = [w] if known is self.odd else self.cut.findall(f" {w}")
+                self.parts.append([self.at.setdefault(u, len(self.at)) for u in own])
+        return [known[w] for w in found]
+
+
+def _found(folder: str, pattern: str):
+    """The different stretches of each chunk file in the order in which they come, with how often they stand there; the
+    first one with the file's name, a chunk without any as one row without a stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = _Stretches(pattern)
+                counts = _counts(own, [own.of(t) for t in C.read(get(f"{folder}/{file}"))[1]])
+                n = max(1, len(own.at))
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": pa.array([chunk] * n, pa.int64()), "file": pa.array([file, *[None] * (n - 1)], pa.string()), "k": pa.array(np.arange(n, dtype=np.int32)),
+                    "u": pa.array(own.at or [None], pa.string()), "n": pa.array(counts if len(counts) else [0], pa.int64()),
+                })
+        tidy()
+
+    return run
+
+
+def _counts(own: _Stretches, texts: list[list[int]]) -> np.ndarray:
+    """How often each stretch stands in texts given by their words."""
+    counts = np.zeros(len(own.at), dtype=np.int64)
+    for times, parts in zip(np.bincount([w for t in texts for w in t], minlength=len(own.parts)).tolist(), own.parts, strict=True):
+        for u in parts:
+            counts[u] += times
+    return counts
+
+
+def _spoilt(folder: str, pattern: str):
+    """From chunk files and their bad stretches, how often each stretch stands in documents that have one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, bad in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = _Stretches(pattern)
+                texts = [own.of(t) for t in C.read(get(f"{folder}/{file}"))[1]]
+                bad = {own.at[u] for u in bad}
+                spoilt = {w for w, parts in enumerate(own.parts) if not bad.isdisjoint(parts)}
+                counts = _counts(own, [t for t in texts if not spoilt.isdisjoint(t)])
+                yield pa.RecordBatch.from_pydict({"u": pa.array(own.at, pa.string()), "lost": pa.array(counts, pa.int64())})
+
+    return run
+
+
+def _documents(folder: str, pattern: str, digest: bool):
+    """The rows of a chunk's documents from what is known of its stretches, in the order in which they come."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("k")
+        groups, file = rows.column("groups").to_pylist(), rows.column("file")[0].as_py()
+        own, (ids, texts) = _Stretches(pattern), C.read(get(f"{folder}/{file}"))
+        texts = [own.of(t) for t in texts]
+        of_word = np.repeat(np.arange(len(own.parts)), [len(p) for p in own.parts])
+        flat = np.array([u for p in own.parts for u in p], dtype=np.int64)
+        sums = np.zeros((len(own.parts), len(_SUMS)), dtype=np.int64)
+        for k, c in enumerate(("n_best", "count_sum")):
+            np.add.at(sums[:, 4 + k], of_word, rows.column(c).fill_null(0).to_numpy()[flat])
+        written_out: list[str | None] = []
+        for k, parts in enumerate(own.parts):
+            one = [groups[u] for u in parts]
+            written_out.append(None if None in one else ";".join(one))
+            if written_out[-1] is not None:
+                n = written_out[-1].count("|")
+                a = n + sum(x[: x.index("|")].count(",") for x in written_out[-1].split(";"))
+                b = written_out[-1].count(",") + 2 * n - a
+                sums[k, :4] = a, b, n, a + b - n  # each end closes a link, and those of both sides close one together
+        out, told = np.zeros((len(ids), len(_SUMS)), dtype=np.int64), []
+        for k, found in enumerate(texts):
+            parts = [written_out[w] for w in found]
+            if not found or None in parts:
+                told.append("")
+                continue
+            out[k] = sums[found].sum(axis=0)
+            joined = ";".join(parts)
+            told.append(hashlib.sha256(joined.encode()).hexdigest() if digest else joined)
+        return pa.table({"id": pa.array(ids, pa.int64()), **{c: pa.array(out[:, k]) for k, c in enumerate(_SUMS)}, "groups": pa.array(told, pa.string())})
+
+    return run
+
+
+def _together(side: ByteLevel | Pieces, sizes: np.ndarray, texts: list[str], fill: list[bool]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The tokens of stretches, encoded as one text, and how many each has; None if a side doesn't give them back."""
+    parts = [p for t, f in zip(texts, fill, strict=True) for p in ((" a", t) if f else (t,))]
+    whole = "".join(parts)
+    ids = np.array(side.encode([whole])[0], dtype=np.int32)
+    if b"".join(map(side.bytes.__getitem__, ids.tolist())) != whole.encode():
+        return None
+    ends, bounds = np.cumsum(sizes[ids]), np.cumsum([len(p.encode()) for p in parts])
+    at = np.searchsorted(ends, bounds)
+    if not np.array_equal(ends[at], bounds):
+        raise ValueError("a token reaches over the start of a stretch")
+    counts = np.diff(at + 1, prepend=0)
+    own = np.array([x for f in fill for x in ((False, True) if f else (True,))])
+    return ids[np.repeat(own, counts)], counts[own]
+
+
+def _tokens(side: ByteLevel | Pieces, sizes: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+    """The tokens of stretches one after the other, how many each has, and whether they give its bytes back."""
+    ids, counts, good = [np.zeros(0, np.int32)], [], []
+    for k in range(0, len(texts), TOGETHER):
+        part = texts[k : k + TOGETHER]
+        found = None if any(t[-1].isspace() for t in part) else _together(side, sizes, part, [not t[0].isspace() for t in part])
+        if found is not None:
+            ids.append(found[0])
+            counts += found[1].tolist()
+            good += [True] * len(part)
+            continue
+        for t, x in zip(part, side.encode(part), strict=True):
+            ids.append(np.array(x, dtype=np.int32))
+            counts.append(len(x))
+            good.append(b"".join(map(side.bytes.__getitem__, x)) == t.encode())
+    return np.concatenate(ids), np.array(counts, dtype=np.int64), good
+
+
 def _encode(a_path: str, b_path: str):
     """Stretches with a number, whether both sides' bytes are the stretch's, and the tokens of both sides, A's first."""
 
@@ -99,120 +247,96 @@ def _encode(a_path: str, b_path: str):
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            ids = a.encode(texts), b.encode(texts)
-            good = [t.encode() == b"".join(map(a.bytes.__getitem__, x)) == b"".join(map(b.bytes.__getitem__, y)) for t, x, y in zip(texts, *ids, strict=True)]
-            flat, side, size, offsets = [], [], [], np.zeros(len(texts) + 1, dtype=np.int32)
-            for k, (x, y, ok) in enumerate(zip(*ids, good, strict=True)):
-                if ok:
-                    flat += x
-                    flat += y
-                    side += [len(x), len(y)]
-                    offsets[k + 1] = len(x) + len(y)
-                else:
-                    side += [0, 0]
-            ids = np.array(flat, dtype=np.int32)
-            of_b = np.repeat(np.tile([False, True], len(texts)), side) if texts else np.zeros(0, dtype=bool)
-            size = np.where(of_b, sizes[1][np.where(of_b, ids, 0)], sizes[0][np.where(of_b, 0, ids)]).astype(np.int32)
+            (a_ids, a_n, a_good), (b_ids, b_n, b_good) = (_tokens(side, n, texts) for side, n in zip((a, b), sizes, strict=True))
+            good = [x and y for x, y in zip(a_good, b_good, strict=True)]
+            a_ids, b_ids = a_ids[np.repeat(good, a_n)], b_ids[np.repeat(good, b_n)]
+            a_n, b_n = np.where(good, a_n, 0), np.where(good, b_n, 0)
+            of_b = np.repeat(np.tile([False, True], len(texts)), np.stack([a_n, b_n], axis=1).reshape(-1))
+            ids, size = np.zeros(len(of_b), dtype=np.int32), np.zeros(len(of_b), dtype=np.int32)
+            ids[~of_b], ids[of_b], size[~of_b], size[of_b] = a_ids, b_ids, sizes[0][a_ids], sizes[1][b_ids]
+            offsets = np.concatenate([[0], np.cumsum(a_n + b_n)])
             tokens = pa.StructArray.from_arrays([pa.array(of_b), pa.array(ids), pa.array(size)], ["b", "id", "size"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.arange(number, number + len(texts))), pa.array(good, pa.bool_()), pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), tokens)],
-                ["u", "times", "unit", "good", "tokens"],
-            )
+            numbers = pa.array(np.arange(number, number + len(texts)))
             number += len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), numbers, pa.array(good, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens)], ["u", "times", "unit", "good", "tokens"])
+        tidy()
 
     return run
 
 
 def _links(units: DataFrame) -> DataFrame:
-    """Each unit with ``n_a, n_b, n_groups, n_links``, its ``groups`` written out, and its links (a, b) as an array.  All
-    steps keep the rows of a unit where one exchange has put them."""
-    tokens = units.where("good").select("unit", F.posexplode("tokens").alias("pos", "t")).select("unit", "pos", "t.*").repartition("unit")
+    """Each unit with its ``groups`` written out and its links (a, b) as an array.  All steps keep the rows of a unit where
+    one exchange has put them."""
+    tokens = units.where("good").select("unit", "times", F.posexplode("tokens").alias("pos", "t")).select("unit", "times", "pos", "t.*").repartition("unit")
     upto = Window.partitionBy("unit", "b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ends = tokens.withColumn("end", F.sum("size").over(upto))
     # The equi-join of both sides on unit and end: ends are distinct on each side, so a grouping does it in place.
-    met = ends.groupBy("unit", "end").agg(F.max(F.expr("if(b, null, id)")).alias("a"), F.max(F.expr("if(b, id, null)")).alias("b"))
+    met = ends.groupBy("unit", "end").agg(F.max("times").alias("times"), F.max(F.expr("if(b, null, id)")).alias("a"), F.max(F.expr("if(b, id, null)")).alias("b"))
     # Backwards, the last token seen is the one that the range before an end lies in, and common ends number the groups.
     back = Window.partitionBy("unit").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     rows = met.select(
-        "unit", "end", "a", "b", F.last("a", ignorenulls=True).over(back).alias("of_a"), F.last("b", ignorenulls=True).over(back).alias("of_b"),
+        "unit", "times", "end", "a", "b", F.last("a", ignorenulls=True).over(back).alias("of_a"), F.last("b", ignorenulls=True).over(back).alias("of_b"),
         F.sum(F.expr("if(a is not null AND b is not null, 1, 0)")).over(back).alias("g"),
     )
     ids = lambda c: F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", F.col(c).alias("id"))))), lambda x: x["id"].cast("string")))
     groups = rows.groupBy("unit", "g").agg(
-        F.max("end").alias("end"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"), F.count("a").alias("n_a"), F.count("b").alias("n_b"),
+        F.max("times").alias("times"), F.max("end").alias("end"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"),
         F.collect_list(F.struct(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).alias("links"),
     )
     return groups.groupBy("unit").agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.size("links")).cast("long").alias("n_links"),
+        F.max("times").alias("times"),
         F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("end", "text"))), lambda x: x["text"])).alias("groups"), F.flatten(F.collect_list("links")).alias("links"),
     )
 
 
-def _stretches(text: Column, pattern: str) -> Column:
-    """A text's stretches, the space before it included; none of a null or empty text."""
-    return F.when(F.length(text) > 0, F.split(F.concat(F.lit(" "), text), pattern))
-
-
-def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> tuple[DataFrame, DataFrame]:
     """Two tables: one row per row of ``docs``, and the pairs of ids that are linked.
 
     Documents: id, ``n_a, n_b`` (tokens), ``n_groups``, ``n_links``, ``n_best`` (links whose pair has the highest count
-    of its B id, ties included), ``count_sum`` (of the links' pair counts) and ``groups``, written ``a1,a2|b1;a3|b2``.
-    Pairs: ``a, b, n_times, best``; n_times is how many links of the corpus hold the pair.
+    of its B id, ties included), ``count_sum`` (of the links' pair counts) and ``groups``, written ``a1,a2|b1;a3|b2``, or
+    the SHA-256 of that (``digest``).  Pairs: ``a, b, n_times, best``; n_times is how many links of the corpus hold the pair.
 
     ``a_path``: a byte-level tokenizers file; ``b_path``: a sentencepiece model with byte fallback.  Both read the text
     with a space before it (the model adds its own).  A null or empty text, and one that either side doesn't give back
-    byte by byte, has no tokens: zeros, and groups ''.  Rows that repeat an id and a text each count and each have a row;
-    texts of one id are told apart by a 64-bit hash.  Null ids stay null.  Empty tables give empty results; columns
-    other than the two named are ignored.  Ties of pair counts are all best.  A text of any length is taken whole; one
-    without spaces is one stretch, whose tokens one task sorts.  A model whose pieces reach over spaces raises.
+    byte by byte, has no tokens: zeros, and groups ''.  Ids are whole numbers; null ids stay null; repeated rows each
+    count and each have a row.  Empty tables give empty results; columns other than the two named are ignored.  Ties of
+    pair counts are all best.  A text of any length is taken whole; one without spaces is one stretch, whose tokens one
+    task sorts.  A model whose pieces reach over spaces raises.
     """
-    pattern = cuts(_both(a_path, b_path)[1].pieces)
-    text = F.col(f"`{text_col}`")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), F.posexplode_outer(_stretches(text, pattern)).alias("pos", "u"))
-    counted = rows.where("u is not null").groupBy("u").agg(F.count("*").alias("times"))
-    units = written(counted.mapInArrow(_encode(a_path, b_path), "u string, times long, unit long, good boolean, tokens array<struct<b:boolean,id:int,size:int>>"), "alignment-stretches")
-    bad = units.where("not good").select("u")
-    if not bad.isEmpty():  # stretches count in the documents that are given back whole only
-        spoilt = rows.join(bad, "u", "left_semi").select("id", "h").distinct()
-        lost = rows.alias("r").join(spoilt.alias("s"), F.expr("r.id <=> s.id AND r.h = s.h"), "left_semi").where("u is not null").groupBy("u").agg(F.count("*").alias("lost"))
-        units = units.join(lost, "u", "left").select("u", (F.col("times") - F.coalesce("lost", F.lit(0))).alias("times"), "unit", "good", "tokens")
-    aligned = written(_links(units).join(units.select("unit", "u", "times", "good"), "unit", "right"), "alignment-links")
-    linked = aligned.where("times > 0").select("times", F.explode("links").alias("l")).groupBy("l.a", "l.b").agg(F.sum("times").alias("n_times"))
-    pairs = written(linked.withColumn("best", F.col("n_times") == F.max("n_times").over(Window.partitionBy("b"))), "alignment-pairs")
-    small = pairs.count() <= PAIRS
-    of_links = aligned.select("unit", F.explode("links").alias("l")).select("unit", "l.*").join(F.broadcast(pairs) if small else pairs, ["a", "b"])
-    sums = of_links.groupBy("unit").agg(F.count_if("best").alias("n_best"), F.sum("n_times").alias("count_sum"))
-    units = written(aligned.join(sums, "unit", "left").select("u", "times", "good", *_SUMS, "groups"), "alignment-sums")
-    return _documents(rows, units), pairs
-
-
-def _documents(rows: DataFrame, units: DataFrame) -> DataFrame:
-    """The sums of documents' stretches.  Common stretches are joined where the texts are; the rest by a shuffle."""
-    total = units.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    found = F.struct("good", *_SUMS, "groups").alias("r")
-    common = (F.col("times") > total // COMMON) & (F.octet_length("u") <= COMMON_BYTES)
-    hot = units.where(common).select(F.col("u").alias("__u"), found)
-    tried = rows.join(F.broadcast(hot), F.col("u") == F.col("__u"), "left")
-    warm = tried.where("r is not null OR u is null").select("id", "h", "pos", "r")
-    cold = tried.where("r is null AND u is not null").select("id", "h", "pos", "u").join(units.where(~common | F.col("times").isNull()).select("u", found), "u").select("id", "h", "pos", "r")
-    part = F.when(F.col("pos").isNotNull(), F.struct("pos", "r.groups"))
-    by = warm.unionByName(cold).groupBy("id", "h").agg(
-        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("rows"), F.bool_and("r.good").alias("good"), *(F.sum(f"r.{c}").alias(c) for c in _SUMS), F.collect_list(part).alias("parts")
-    )
-    good = F.coalesce("good", F.lit(False))
-    # Rows that repeat a document have each stretch several times: one of each is written out.
-    text = F.expr(let("array_sort(parts)", "p", "array_join(transform(filter(p, (x, i) -> i % rows = 0), x -> x.groups), ';')"))
-    return by.select(
-        "id", *(F.when(good, F.expr(f"{c} div rows")).otherwise(0).alias(c) for c in _SUMS), F.when(good, text).otherwise("").alias("groups"),
-        F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("__row"),
-    ).drop("__row")
+    spark, pattern = docs.sparkSession, cuts(_both(a_path, b_path)[1].pieces)
+    told_at, pairs_at = (shared_folder(spark, f"alignment-{n}") for n in ("told", "pairs"))
+    with frees_shuffles(spark):
+        folder, listed, _, tasks = C.stage(docs, id_col, text_col, "alignment-chunks")
+        found = listed.repartition(tasks, "chunk").mapInArrow(_found(folder, pattern), "chunk long, file string, k int, u string, n long")
+        found = written(found, "alignment-stretches")
+        with scope(spark):  # tokens and links go when the sums of stretches are written
+            counted = found.where("u is not null").groupBy("u").agg(F.sum("n").alias("times"))
+            units = counted.mapInArrow(_encode(a_path, b_path), "u string, times long, unit long, good boolean, tokens array<struct<b:boolean,id:int,size:int>>")
+            units = written(units, "alignment-tokens")
+            bad = units.where("not good").select("u")
+            if not bad.isEmpty():  # stretches count in the documents that are given back whole only
+                held = found.join(bad, "u", "left_semi").groupBy("chunk").agg(F.collect_list("u").alias("bad"))  # of one chunk each
+                lost = held.join(listed, "chunk").select("file", "bad").mapInArrow(_spoilt(folder, pattern), "u string, lost long").groupBy("u").agg(F.sum("lost").alias("lost"))
+                units = units.join(lost, "u", "left").withColumn("times", F.col("times") - F.coalesce("lost", F.lit(0))).drop("lost")
+            aligned = written(_links(units), "alignment-links")
+            linked = aligned.where("times > 0").select("times", F.explode("links").alias("l")).groupBy("l.a", "l.b").agg(F.sum("times").alias("n_times"))
+            pairs = linked.withColumn("best", F.col("n_times") == F.max("n_times").over(Window.partitionBy("b")))
+            pairs.write.parquet(pairs_at)
+            pairs = spark.read.schema(pairs.schema).parquet(pairs_at)
+            small = pairs.count() <= PAIRS
+            of_links = aligned.select("unit", F.explode("links").alias("l")).select("unit", "l.*").join(F.broadcast(pairs) if small else pairs, ["a", "b"])
+            sums = of_links.groupBy("unit").agg(F.count_if("best").alias("n_best"), F.sum("n_times").alias("count_sum"))
+            told = units.where("good").select("unit", "u").join(aligned.select("unit", "groups"), "unit").join(sums, "unit", "left").drop("unit")
+            told.write.parquet(told_at)
+            told = spark.read.schema(told.schema).parquet(told_at)
+    each = found.select("chunk", "file", "k", "u").join(told, "u", "left").drop("u")
+    rows = each.groupBy("chunk").applyInArrow(_documents(folder, pattern, digest), f"id long, {', '.join(f'{c} long' for c in _SUMS)}, groups string")
+    return rows, pairs
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found, _ = align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return found.select(F.col("id").alias("doc_id"), *_SUMS, digest.alias("groups_sha256"))
+    found, _ = align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return found.select(F.col("id").alias("doc_id"), *_SUMS, F.col("groups").alias("groups_sha256"))

@@ -3,10 +3,26 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
 
 from millrace.shared import drop, scope, shared_folder, written
 
-__all__ = ["drop", "get", "is_mapped", "mapped", "put", "scope", "shared_folder", "written"]
+__all__ = ["drop", "frees_shuffles", "get", "is_mapped", "mapped", "put", "scope", "shared_folder", "written"]
+
+
+@contextmanager
+def frees_shuffles(spark: SparkSession) -> Iterator[None]:
+    """A block whose actions leave no shuffle files behind; the session's setting is what it was when it ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def put(path: str, data: bytes) -> None:

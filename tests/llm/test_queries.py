@@ -115,6 +115,27 @@ def test_personal_data(spark, edge, where):
     assert where == "edge" or sum(r["n_email"] for r in rows.values()) > 5
 
 
+def test_tokenizer_alignment_of_hard_texts(spark):
+    """Texts that a side doesn't give back, odd white space, null and repeated ids, repeated rows, clashing columns."""
+    from public_tokenizers import path
+
+    from millrace.llm.alignment import align_tokenizers
+
+    texts = [None, "", " ", "  ", "a\r\n\r\nb", "x \r y\r", "tab\t \ttab  two", "odd\x85 \xa0 \u3000space\u2028", "a ▁ b", "the same", "the same", "don't, won't; can't.\n\n  ok:\n", "e\u0301\u200d👩‍👩‍👧 漢字かな", "y" * 3000, "\x00\x1c <s> </s> <|endoftext|> <0x0A>", "the▁", ");\r\n};\r\n", "1,234.5 +49"]
+    ids = [None if k % 5 == 0 else k // 2 for k in range(len(texts))]
+    ids[9] = ids[10] = 77
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, u int, h int, pos int")
+    found, pairs = align_tokenizers(docs, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    want, counts = alignment(texts)
+    best = {}
+    for (_, b), n in counts.items():
+        best[b] = max(n, best.get(b, 0))
+    key = lambda x: str(x)
+    got = sorted(((r["id"], r["n_a"], r["n_b"], r["n_links"], r["n_best"], r["count_sum"], r["groups"]) for r in found.collect()), key=key)
+    assert got == sorted(((i, a, b, len(x), sum(counts[y] == best[y[1]] for y in x), sum(counts[y] for y in x), g) for i, (a, b, g, x) in zip(ids, want, strict=True)), key=key)
+    assert {(r["a"], r["b"]): r["n_times"] for r in pairs.collect()} == dict(counts)
+
+
 def test_model_beats_its_base_on_held_out_texts(spark):
     held = [r for r in catalog.queries()["op9_lm_scoring"](spark, f"{DATA}/sf0.01").collect() if r["held_out"]]
     assert len(held) > 50 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
