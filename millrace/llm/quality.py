@@ -9,7 +9,8 @@ from millrace.llm import exprs as X
 
 #: Characters that the base rule counts as symbols.
 SYMBOLS = "[#*$%&|<>]"
-#: Fixed phrases of page furniture; a line of at most ``MAX_FURNITURE_WORDS`` words that holds one is boilerplate.
+#: Phrases of page furniture; a line of at most ``MAX_FURNITURE_WORDS`` words that is made of them for the most part of its
+#: letters and digits is boilerplate.  They are matched as whole words, whatever stands between.
 FURNITURE = [
     "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript",
     "follow us on", "forgot password", "home page", "log in", "lorem ipsum", "newsletter", "privacy policy",
@@ -19,6 +20,8 @@ FURNITURE = [
 ]
 MAX_FURNITURE_WORDS = 12
 #: Marks between the entries of a menu, and marks of punctuation, of one of which a line of so many words has one at least.
+#: A row of a Markdown table is neither a menu nor a line of symbols.
+TABLE_ROW = r"^[\x20\x09]*[|].*[|][\x20\x09\x0D]*$"
 SEPARATORS, PUNCTUATION, UNPUNCTUATED = "[|»›•·>]", "[.,;:!?…。、！？،؟।]", 25
 
 
@@ -27,16 +30,21 @@ def _line_fails(line: str) -> str:
     navigation (three marks between entries, and entries of three words at most), a run of words without punctuation."""
     n_sep = f"(length({line}) - length(regexp_replace({line}, r'{SEPARATORS}', '')))"
     n_sym = f"(length({line}) - length(regexp_replace({line}, r'{SYMBOLS}', '')))"
+    # Words with a space of their own on either side, so that neighbouring phrases don't share one.
+    words = rf"concat(' ', regexp_replace(trim(regexp_replace(lower({line}), r'[^\p{{L}}\p{{N}}]+', ' ')), ' ', '  '), ' ')"
+    phrases = "|".join(f" {p.replace(' ', '  ')} " for p in FURNITURE)
+    rest = f"length(replace(regexp_replace({words}, '{phrases}', ''), ' ', ''))"
     loud = "size(filter(w, x -> x rlike '!!|[?][?]|[.]{4}'))"
+    first = dict.fromkeys(p.split()[0] for p in FURNITURE)  # most lines have no phrase's first word
     rules = " OR ".join(
         [
-            f"({n_sym} >= 2 AND 10 * {n_sym} >= 3 * size(w))",
+            f"({n_sym} >= 2 AND 10 * {n_sym} >= 3 * size(w) AND NOT {line} rlike r'{TABLE_ROW}')",
             f"(size(w) >= 3 AND 2 * {loud} >= size(w))",
             "(size(w) >= 12 AND 4 * size(array_distinct(w)) <= size(w))",
             f"(not {line} rlike r'[\\p{{L}}\\p{{N}}]')",
-            f"(size(w) <= {MAX_FURNITURE_WORDS} AND lower({line}) rlike '{'|'.join(FURNITURE)}')",
+            f"(size(w) <= {MAX_FURNITURE_WORDS} AND lower({line}) rlike '{'|'.join(first)}' AND 2 * {rest} < length(replace({words}, ' ', '')))",
             f"(size(w) >= {UNPUNCTUATED} AND NOT {line} rlike r'{PUNCTUATION}')",
-            f"({n_sep} >= 3 AND 3 * {n_sep} >= size(w))",
+            f"({n_sep} >= 3 AND 3 * {n_sep} >= size(w) AND NOT {line} rlike r'{TABLE_ROW}')",
         ]
     )
     return f"(size(w) > 0 AND ({rules}))"
@@ -108,15 +116,17 @@ dup AS (SELECT r, i FROM k QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
 rep AS (SELECT r, count(DISTINCT i + o) AS n FROM dup, (SELECT unnest(range(0, 5)) AS o) GROUP BY r),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 lw AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, length(line) - length(regexp_replace(line, '{SYMBOLS}', '', 'g')) AS s,
-    length(line) - length(regexp_replace(line, '{SEPARATORS}', '', 'g')) AS p FROM l),
+    length(line) - length(regexp_replace(line, '{SEPARATORS}', '', 'g')) AS p,
+    ' ' || replace(trim(regexp_replace(lower(line), '[^\pL\pN]+', ' ', 'g')), ' ', '  ') || ' ' AS plain FROM l),
 lf AS (SELECT r, line, len(w) > 0 AS worded, len(w) > 0 AND (
-    (s >= 2 AND 10 * s >= 3 * len(w))
+    (s >= 2 AND 10 * s >= 3 * len(w) AND NOT regexp_matches(line, '^[ \x09]*[|].*[|][ \x09\x0D]*$'))
     OR (len(w) >= 3 AND 2 * len(list_filter(w, lambda x: regexp_matches(x, '!!|[?][?]|[.]{{4}}'))) >= len(w))
     OR (len(w) >= 12 AND 4 * len(list_distinct(w)) <= len(w))
     OR NOT regexp_matches(line, '[\pL\pN]')
-    OR (len(w) <= {MAX_FURNITURE_WORDS} AND regexp_matches(lower(line), '{"|".join(FURNITURE)}'))
+    OR (len(w) <= 12 AND 2 * length(regexp_replace(plain, ' accept  cookies | all  rights  reserved | back  to  top | click  here | cookie  policy | enable  javascript | follow  us  on | forgot  password | home  page | log  in | lorem  ipsum | newsletter | privacy  policy | read  more | share  this | sign  in | sign  up | skip  to  content | terms  of  service | terms  of  use | aceptar  cookies | accepter  les  cookies | alle  rechte  vorbehalten | cookies  akzeptieren | datenschutzerklärung | impressum | leer  más | lire  la  suite | mehr  lesen | mentions  légales | nach  oben | politique  de  confidentialité | política  de  privacidad | retour  en  haut | todos  los  derechos  reservados | tous  droits  réservés | volver  arriba |[ ]', '', 'g'))
+        < length(replace(plain, ' ', '')))
     OR (len(w) >= {UNPUNCTUATED} AND NOT regexp_matches(line, '{PUNCTUATION}'))
-    OR (p >= 3 AND 3 * p >= len(w))) AS fails FROM lw),
+    OR (p >= 3 AND 3 * p >= len(w) AND NOT regexp_matches(line, '^[ \x09]*[|].*[|][ \x09\x0D]*$'))) AS fails FROM lw),
 a AS (SELECT r, count(*) FILTER (WHERE worded) - count(DISTINCT line) FILTER (WHERE worded) AS dups,
     coalesce(sum(length(line)) FILTER (WHERE fails), 0) AS lost, coalesce(sum(length(line)) FILTER (WHERE worded), 0) AS whole FROM lf GROUP BY r),
 o AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,

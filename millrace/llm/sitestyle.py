@@ -31,8 +31,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that are never part of an article's text.
 NEVER = frozenset("nav footer aside form button select textarea script style noscript template iframe object svg canvas dialog menu head title audio video map datalist annotation annotation-xml".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: Words of classes and ids that name page furniture; those of the second list name other things as well, and those of
-#: the third are furniture outside an article only.
+#: Names of classes that mean page furniture; those of the second list name other things as well, and those of the third
+#: are furniture outside an article only.  A class counts if it is made of such names and of words for boxes alone, so
+#: "related-posts" does and "related-work" doesn't.
 FURNITURE = frozenset(
     """ad ads advert adverts advertisement advertising adsense sponsored nav navbar navigation menu submenu breadcrumb breadcrumbs footer sidebar aside
     cookie cookies consent gdpr modal lightbox newsletter subscribe signup signin social sharing related comment comments commentlist disqus replies
@@ -45,6 +46,12 @@ PERHAPS = frozenset(
 OUTSIDE = frozenset("header masthead topbar topnav logo branding alert blogroll".split())
 #: Those of the first list below which an article is no article of the page.
 OTHERS = frozenset("comment comments commentlist disqus replies reply related recommended recommendations sponsored promo".split())
+#: Words for boxes and their places, which don't tell what is in them.
+BOXES = frozenset("area article articles bar block box btn button buttons col column container content form group inner item items left link links list main more outer page panel post posts right row section site slot stories story top bottom unit user wrap wrapper".split())
+#: Elements whose ids count, outside articles and as a whole: those of headings and sections are made of their titles.
+NAMED_BY_ID = frozenset("div ul ol dl table".split())
+#: Elements of an article that go for their names only if the tree says so too.
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th section figure figcaption".split())
 #: A branch is noise if the same stands on so many pages on average (on hosts of less than twice as many pages: on all),
 #: GAMMA weighing what presentation adds; names of the second list make it noise at fewer.
 REPEATS, NAMED_REPEATS, GAMMA = 4, 1.5, 0.9
@@ -52,6 +59,7 @@ REPEATS, NAMED_REPEATS, GAMMA = 4, 1.5, 0.9
 LIVE, LIVE_PAGES = 0.9, 3
 #: Words of classes that name articles which stand for another page.
 TEASERS = frozenset("card cards teaser teasers preview excerpt summary tile".split())
+_NAMES = FURNITURE | PERHAPS | OUTSIDE | OTHERS | TEASERS
 #: Bytes of the paths of hosts that are broadcast at most; beyond that pages are joined with their host's by shuffle, a
 #: host's pages dealt out over so many tasks.
 BROADCAST_BYTES, SALTS = 16 << 20, 32
@@ -67,6 +75,19 @@ def _name(style: str) -> int:
     return _digest(style)
 
 
+@lru_cache(100_000)
+def _furniture(value: str, whole: bool = False) -> frozenset[str]:
+    """The names of furniture in a class attribute: of each class that is made of them and of words for boxes; of an id
+    (``whole``) that is one such name."""
+    found: set[str] = set()
+    for token in value.split():
+        words = {w.lower() for w in _WORDS.findall(token)}
+        named = words - BOXES
+        if named and named <= _NAMES and not (whole and len(words) > 1) and token.isascii():
+            found |= named
+    return frozenset(found)
+
+
 def _digest(text: str) -> int:
     """A hash that is the same in every process, unlike that of str; of numbers, hash() of a tuple is."""
     from xxhash import xxh3_64_intdigest
@@ -103,15 +124,16 @@ class Page:
             for name, value in _ATTRIBUTE.findall(rest):
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id"):
-                    words = {w.lower() for w in _WORDS.findall(value)}
-                    if tag not in ("body", "html") and self.names:
+                    words = _furniture(value) if name == "class" else _furniture(value, True) if tag in NAMED_BY_ID and not main else frozenset()
+                    if words and tag not in ("body", "html") and self.names:
                         teaser |= bool(words & TEASERS)
-                        if words & OTHERS and not (main and tag == "p"):
+                        plain = main and tag in PLAIN
+                        if words & OTHERS and not plain:
                             drop = GONE
                         elif not drop and tag not in ("article", "main"):
-                            if words & FURNITURE or not main and words & (OUTSIDE | PERHAPS):
+                            if not plain and (words & FURNITURE or not main and words & (OUTSIDE | PERHAPS)):
                                 drop = WRAPPED
-                            elif words & PERHAPS:
+                            elif words & (PERHAPS | FURNITURE | OTHERS):
                                 doubt = True
                     if name == "class":
                         style += "." + _DIGITS.sub("0", value)
