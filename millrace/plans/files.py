@@ -158,32 +158,41 @@ def cited_sections(spark, d):
     return E.sources(rows).select("doc_id", "source", F.col("whole_section").alias("whole"), F.md5("cited").alias("cited"))
 
 
-_PLAN = """CASE doc_id % 6 WHEN 0 THEN '{"steps": [{"tool": "rag_search", "params": {"query": "q' || CAST(doc_id AS {s}) || '"}}, {"tool": "generate_response"}]}' WHEN 1 THEN 'Sure: ```json {"steps": [{"tool": "generate_response"}]} ```'
-WHEN 2 THEN '{"steps": []}' WHEN 3 THEN 'no plan' WHEN 4 THEN '{"steps": [{"tool": "shell"}]}' ELSE '{"steps": [{"tool": "rag_search", "params": {"query": " "}}, {"tool": "generate_response"}]}' END"""
+#: Replies of a planner to each turn of a conversation: as many searches for the whole turn as its length says, an answer
+#: for turns of users, tools that there aren't for some; fenced, or cut short.
+_STEPS = "concat(array_repeat(named_struct('tool', if(length(text) % 13 = 0, 'shell', 'rag_search'), 'params', named_struct('query', coalesce(text, ''))), cast(length(text) % 7 as int)), if(role = 'user', array(named_struct('tool', 'generate_response', 'params', named_struct('query', ''))), array()))"
+_REPLY = f"to_json(named_struct('goal', coalesce(text, ''), 'steps', {_STEPS}))"
 
 
-@query("plans_checked", "SELECT doc_id, doc_id % 6 IN (0, 1) AS valid, doc_id % 6 <> 3 AS parsed FROM documents")
+@query(
+    "plans_checked",
+    r"""WITH t AS (SELECT conv_id, turn, length(text) AS n, role = 'user' AS answers, regexp_matches(text, '[^\s\x0B\x1C-\x1F\x85]') AS asks FROM conversations WHERE text IS NOT NULL)
+    SELECT conv_id, turn, n % 11 <> 0 AND n % 7 + answers::INT BETWEEN 1 AND 5 AND (n % 7 = 0 OR n % 13 <> 0 AND asks AND answers) AS valid, n % 11 <> 0 AS parsed FROM t""",
+)
 def plans_checked(spark, d):
-    """Replies of a planner, one a document: whether they parse, and whether the plan may run."""
+    """Replies of a planner, one a turn: whether they parse, and whether the plan may run."""
 
     @F.pandas_udf("boolean")
     def valid(replies: pd.Series) -> pd.Series:
-        return replies.map(lambda r: agent.valid_plan(agent.parse_reply(r)))
+        return pd.Series([agent.valid_plan(agent.parse_reply(r)) for r in replies])
 
-    reply = F.expr(_PLAN.replace("{s}", "string"))
-    return table(spark, d, "documents").select("doc_id", reply.alias("r")).select("doc_id", valid("r").alias("valid"), json_reply("r").isNotNull().alias("parsed"))
+    told = F.expr(f"CASE WHEN length(text) % 11 = 0 THEN substring(r, 1, length(r) - 3) WHEN length(text) % 2 = 1 THEN concat('Sure: ```json ', r, ' ```') ELSE r END")
+    rows = table(spark, d, "conversations").where("text IS NOT NULL").withColumn("r", F.expr(_REPLY)).select("conv_id", "turn", told.alias("r"))
+    return rows.select("conv_id", "turn", valid("r").alias("valid"), json_reply("r").isNotNull().alias("parsed"))
 
 
-@query("code_checked", "SELECT doc_id, doc_id % 4 <> 0 AND doc_id % 4 <> 2 AS allowed FROM documents")
+@query("code_checked", "SELECT doc_id, lang NOT IN ('de', 'fr') OR length(text) % 3 <> 0 AS allowed FROM documents WHERE text IS NOT NULL")
 def code_checked(spark, d):
-    """Pieces of code, one a document, against the deny-list."""
+    """Pieces of code over whole texts, one a document, against the deny-list: fenced ones, and some that import or call
+    what isn't allowed."""
 
     @F.pandas_udf("boolean")
     def allowed(code: pd.Series) -> pd.Series:
-        return code.map(lambda c: not agent.violations(c))
+        return pd.Series([not agent.violations(c) for c in code])
 
-    code = F.expr("element_at(array('import socket', 'print(1)', concat('eval(\"', doc_id, '\")'), concat('x = ', doc_id)), cast(doc_id % 4 + 1 as int))")
-    return table(spark, d, "documents").select("doc_id", allowed(without_fence(code)).alias("allowed"))
+    bad = "CASE WHEN length(text) % 3 <> 0 THEN 'print(len(t))' WHEN lang = 'de' THEN 'import socket' WHEN lang = 'fr' THEN 'eval(t)' ELSE 'x = 1' END"
+    code = F.expr(f"concat('```python\\nt = ', regexp_extract(to_json(array(text)), '(?s)^.(.*).$', 1), '\\n', {bad}, '\\n```')")
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", allowed(without_fence(code)).alias("allowed"))
 
 
 def _streamed(spark, rows, name: str):
@@ -207,7 +216,7 @@ def stream_windows(spark, d):
 _SAID = "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(7 * conv_id + turn as int), 0)"
 
 
-@query("stream_turns", """WITH t AS (SELECT conv_id, turn, 7 * conv_id + turn AS at FROM conversations), c AS (SELECT conv_id, max(at) + 30 <= (SELECT max(at) FROM t) - 10 AS closed FROM t GROUP BY conv_id)
+@query("stream_turns", """WITH t AS (SELECT conv_id, turn, 7 * conv_id + turn AS m FROM conversations), c AS (SELECT conv_id, max(m) + 30 <= (SELECT max(m) FROM t) - 10 AS closed FROM t GROUP BY conv_id)
     SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS turns, closed FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) JOIN c USING (conv_id) GROUP BY ALL""")
 def stream_turns(spark, d):
     """The last six turns of each conversation, kept as the state of a stream, and whether it was idle so long that it went."""

@@ -83,7 +83,7 @@ def phrases_in_texts(spark, d):
     return phrases.find_phrases(docs, tags.unionByName(begun)).select(F.col("doc").alias("doc_id"), "phrase", "first")
 
 
-@query("audit_counters", "SELECT CAST(ts AS DATE) AS day, count(*) AS events, count(*) FILTER (WHERE event_id % 3 = 0) AS local_events, count(*) FILTER (WHERE event_id % 3 <> 0) AS external_events FROM events GROUP BY ALL")
+@query("audit_counters", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS events, count(*) FILTER (WHERE event_id % 3 = 0) AS local_events, count(*) FILTER (WHERE event_id % 3 <> 0) AS external_events FROM events GROUP BY ALL")
 def audit_counters(spark, d):
     """Running totals of a log that a stream reads in two goes; events that are written twice count once."""
     folder = shared_folder(spark, "audit-log")
@@ -95,7 +95,7 @@ def audit_counters(spark, d):
     for part in ("event_id % 2 = 0", "event_id % 2 = 1 OR event_id % 5 = 0"):
         log.append(rows.where(part))
         log.count(f"{folder}/totals", f"{folder}/state").awaitTermination()
-    return AuditLog(spark, f"{folder}/log").totals(f"{folder}/totals")
+    return AuditLog(spark, f"{folder}/log").totals(f"{folder}/totals").withColumn("day", F.col("day").cast("string"))
 
 
 @query("stream_sync", r"SELECT CAST(item_id AS VARCHAR) AS name, sha256(text || chr(10)) AS file_hash, 'indexed' AS status FROM benchmark WHERE regexp_matches(text, '\S') AND item_id % 5 <> 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import tags as T
+from millrace.functions.text import is_insufficient
 from millrace.functions.vectors import document_id
 from millrace.operators import evaluate, fusion, graph, ontology, registry, sync
 from millrace.operators import evidence as E
@@ -265,9 +266,10 @@ def payload_defaults(spark, d):
     return registry.payload(rows, nulls=False).select("doc_id", "text", "filename", "page_number", F.coalesce("category", F.lit("general")).alias("category"), "document_type", "ocr_used", "parent_id")
 
 
-@query("any_ocr", "SELECT source, bool_or(doc_id % 5 = 0) AS ocr_used FROM documents GROUP BY source")
+@query("any_ocr", r"SELECT source, bool_or(length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) < 50 OR length(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', '', 'g')) < 25) AS ocr_used FROM documents GROUP BY source")
 def any_ocr(spark, d):
-    return table(spark, d, "documents").withColumn("ocr", F.col("doc_id") % 5 == 0).groupBy("source").agg(F.bool_or("ocr").alias("ocr_used"))
+    """Sources of which a document has too little text, so that it would be recognised."""
+    return table(spark, d, "documents").withColumn("ocr", is_insufficient("text")).groupBy("source").agg(F.bool_or("ocr").alias("ocr_used"))
 
 
 @query("synthetic_sample", "SELECT doc_id FROM documents WHERE length(text) > 200 ORDER BY sha256(CAST(doc_id AS VARCHAR) || ':7'), doc_id LIMIT 40")

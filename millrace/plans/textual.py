@@ -171,14 +171,20 @@ def block_chunks(spark, d):
     return c.select(F.regexp_extract("filename", r"d(\d+)", 1).cast("long").alias("doc_id"), "chunk_id", "chunk_index", F.concat_ws("|", "section", kind).alias("section"), F.md5("text").alias("text"))
 
 
-_ASKED = ["What feeds the CDU and BS6 pool", "relief valve near PT-101", "Is ESD armed", "hello", "ok"]
-_SPOKEN = ["What feeds the CDU and BS6 pool (Crude Distillation Unit)", "relief valve near PT-101 (PSV)", "Is ESD armed (Emergency Shutdown)", "hello", "ok"]
+#: Whole turns with plant words put to their ends; the SQL goes through the phrases and units one by one.
+_PLANT = "trim(coalesce(text, '')) || CASE (conv_id + turn) % 6 WHEN 0 THEN ' feeds the CDU and BS6 pool' WHEN 1 THEN ' relief valve near PT-101' WHEN 2 THEN ' Is ESD armed' WHEN 3 THEN ' flow meter, level gauge and the FCC' WHEN 4 THEN ' the emergency shutdown valve of the SRU' ELSE '' END"
 
 
-@query("acronym_expand", f"SELECT conv_id, turn, {_SPOKEN!r}[(conv_id + turn) % 5 + 1] AS expanded FROM conversations")
+@query(
+    "acronym_expand",
+    f"""WITH t AS (SELECT conv_id, turn, {_PLANT} AS q FROM conversations), p(phrase, code) AS (VALUES {', '.join(f"('{p}', '{c}')" for p, c in ontology.PHRASES)}), u(code, name) AS (VALUES {', '.join(f"('{u[0]}', '{u[1]}')" for u in ontology.UNITS)}),
+    m AS (SELECT conv_id, turn, p.code AS added FROM t JOIN p ON contains(lower(q), phrase) AND NOT contains(upper(q), p.code)
+        UNION SELECT conv_id, turn, u.name FROM t JOIN u ON list_contains(regexp_extract_all(upper(q), '\\b([A-Z0-9_-]+)\\b', 1), u.code) AND NOT contains(lower(q), lower(u.name))),
+    g AS (SELECT conv_id, turn, string_agg(added, ' ' ORDER BY added) AS added FROM m GROUP BY ALL)
+    SELECT conv_id, turn, md5(trim(q, ' ') || coalesce(' (' || added || ')', '')) AS expanded FROM t LEFT JOIN g USING (conv_id, turn)""",
+)
 def acronym_expand(spark, d):
-    asked = F.element_at(F.array(*map(F.lit, _ASKED)), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
-    return table(spark, d, "conversations").select("conv_id", "turn", ontology.expand_acronyms(asked).alias("expanded"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(ontology.expand_acronyms(F.expr(_PLANT))).alias("expanded"))
 
 
 _GREET = "['hello', 'hi', 'hey', 'good morning', 'good afternoon', 'good evening', 'greetings', 'who are you', 'what are you', 'what can you do', 'help', 'thanks', 'thank you', 'bye', 'goodbye', 'namaste']"
@@ -263,41 +269,56 @@ def doc_id_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", vectors.document_id(F.expr("'/Data/' || source || '/' || doc_id")).alias("document_id"), F.sha2("text", 256).alias("file_hash"))
 
 
-@query("quantized_vectors")
-def quantized_vectors(spark, d):
-    e = table(spark, d, "embeddings")
-    bounds = e.select(F.explode("embedding").alias("x")).agg(F.percentile_approx("x", F.lit(0.005)).alias("lo"), F.percentile_approx("x", F.lit(0.995)).alias("hi"))
-    return e.join(F.broadcast(bounds)).select("vec_id", vectors.quantize(F.col("embedding"), F.col("lo"), F.col("hi")).alias("q"))
+#: A page for each order: a row of boxes for each of its lines, moved by their values; every fifth box is read badly, and
+#: a supplier's tag has letters for digits.
+_CELLS = (("0", "'PT-lO' || l_suppkey % 10", "l_partkey"), ("60", "cast(cast(l_quantity as int) as string)", "l_suppkey"), ("120", "l_returnflag || l_linestatus", "l_partkey + l_suppkey"))
+_BOXES = "flatten(collect_list(array(" + ", ".join(
+    f"named_struct('x1', {x}D + l_partkey % 20, 'y1', 100D * l_linenumber + l_suppkey % 3, 'x2', {x}D + 55, 'y2', 100D * l_linenumber + l_suppkey % 3 + 20, 'text', {t}, 'score', if(({k}) % 5 = 0, 0.5D, 0.9D))" for x, t, k in _CELLS
+) + ")))"
+_PAGES_SQL = """c AS (SELECT l_orderkey, l_linenumber AS n, l_partkey % 20 AS x, 'PT-lO' || CAST(l_suppkey % 10 AS VARCHAR) AS raw, 'PT-10' || CAST(l_suppkey % 10 AS VARCHAR) AS clean, l_partkey % 5 <> 0 AS good FROM lineitem
+    UNION ALL SELECT l_orderkey, l_linenumber, 60 + l_partkey % 20, CAST(CAST(l_quantity AS INT) AS VARCHAR), CAST(CAST(l_quantity AS INT) AS VARCHAR), l_suppkey % 5 <> 0 FROM lineitem
+    UNION ALL SELECT l_orderkey, l_linenumber, 120 + l_partkey % 20, l_returnflag || l_linestatus, l_returnflag || l_linestatus, (l_partkey + l_suppkey) % 5 <> 0 FROM lineitem)"""
 
 
-_BOXES = "array(" + ", ".join(f"named_struct('x1', {x}D, 'y1', {y}D + doc_id % 3, 'x2', {x}D + 40, 'y2', {y}D + 20, 'text', {t}, 'score', {s}D)" for x, y, t, s in ((0, 0, "'Tag'", 0.9), (60, 2, "'Value'", 0.9), (0, 40, "'PT l0O'", 0.8), (60, 41, "cast(doc_id as string)", 0.7), (0, 90, "'faint'", 0.3))) + ")"
+def pages_of_orders(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.expr(_BOXES).alias("boxes"))
 
 
-@query("ocr_layout_rows", "SELECT doc_id, 'Tag | Value' || chr(10) || 'PT l0O | ' || CAST(doc_id AS VARCHAR) AS page FROM documents")
+@query(
+    "ocr_layout_rows",
+    f"""WITH {_PAGES_SQL}, r AS (SELECT l_orderkey, n, string_agg(raw, ' | ' ORDER BY x, raw) FILTER (WHERE good) AS line FROM c GROUP BY ALL)
+    SELECT l_orderkey, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE line IS NOT NULL), '') AS page FROM r GROUP BY l_orderkey""",
+)
 def ocr_layout_rows(spark, d):
-    return table(spark, d, "documents").select("doc_id", layout.lines(F.expr(_BOXES)).alias("page"))
+    return pages_of_orders(spark, d).select("l_orderkey", layout.lines(F.col("boxes")).alias("page"))
 
 
-@query("table_detect", "SELECT doc_id, true AS is_table, 'Tag | Value' || chr(10) || 'PT-100 | ' || CAST(doc_id AS VARCHAR) || chr(10) || 'faint' AS csv_text, 3 AS num_rows, 2 AS num_cols FROM documents")
+@query(
+    "table_detect",
+    f"""WITH {_PAGES_SQL}, r AS (SELECT l_orderkey, n, string_agg(clean, ' | ' ORDER BY x, raw) AS line, count(*) AS k FROM c GROUP BY ALL)
+    SELECT l_orderkey, count(*) >= 2 AS is_table, CASE WHEN count(*) >= 2 THEN string_agg(line, chr(10) ORDER BY n) ELSE '' END AS csv_text,
+    CASE WHEN count(*) >= 2 THEN count(*) ELSE 0 END::INTEGER AS num_rows, CASE WHEN count(*) >= 2 THEN max(k) ELSE 0 END::INTEGER AS num_cols FROM r GROUP BY l_orderkey""",
+)
 def table_detect(spark, d):
-    t = layout.table(F.expr(_BOXES))
-    return table(spark, d, "documents").select("doc_id", t["is_table"].alias("is_table"), t["csv_text"].alias("csv_text"), t["num_rows"].alias("num_rows"), t["num_cols"].alias("num_cols"))
+    t = layout.table(F.col("boxes"))
+    return pages_of_orders(spark, d).select("l_orderkey", t["is_table"].alias("is_table"), t["csv_text"].alias("csv_text"), t["num_rows"].alias("num_rows"), t["num_cols"].alias("num_cols"))
 
 
-_STATS = "named_struct('width', 1000D + doc_id % 5 * 300, 'height', 1000D, 'mean', doc_id % 256 * 1D, 'std', doc_id % 70 * 1D, 'dynamic_range', doc_id % 240 * 1D, 'dark_ratio', doc_id % 10 / 100D, 'laplacian_var', doc_id % 500 * 1D)"
+#: Statistics of a picture for each line of an order, from what the line says.
+_STATS = "named_struct('width', 1000D + 30 * l_quantity, 'height', 1000D, 'mean', floor(l_extendedprice) % 256 * 1D, 'std', 1.4D * l_quantity, 'dynamic_range', floor(l_extendedprice) % 240 * 1D, 'dark_ratio', l_discount, 'laplacian_var', floor(l_extendedprice / 100) % 500 * 1D)"
 
 
 @query(
     "image_route",
-    """WITH s AS (SELECT doc_id, 1000.0 + doc_id % 5 * 300 AS w, 1000.0 AS h, doc_id % 256 AS mean, doc_id % 70 AS std, doc_id % 240 AS dyn, doc_id % 10 / 100.0 AS dark, doc_id % 500 AS lap FROM documents),
-    t AS (SELECT doc_id, CASE WHEN w / h > 1.35 AND (w > 1800 OR h > 1800) THEN 'engineering_drawing' WHEN mean > 210 AND dyn > 200 AND lap > 300 THEN 'digital_clean' WHEN dark < 0.06 AND std > 20 AND lap < 150 THEN 'handwritten'
+    """WITH s AS (SELECT l_orderkey, l_linenumber, 1000 + 30 * l_quantity AS w, 1000.0 AS h, CAST(floor(l_extendedprice) AS BIGINT) % 256 AS mean, 1.4::DOUBLE * l_quantity AS std, CAST(floor(l_extendedprice) AS BIGINT) % 240 AS dyn, l_discount AS dark, CAST(floor(l_extendedprice / 100) AS BIGINT) % 500 AS lap FROM lineitem),
+    t AS (SELECT l_orderkey, l_linenumber, CASE WHEN w / h > 1.35 AND (w > 1800 OR h > 1800) THEN 'engineering_drawing' WHEN mean > 210 AND dyn > 200 AND lap > 300 THEN 'digital_clean' WHEN dark < 0.06 AND std > 20 AND lap < 150 THEN 'handwritten'
     WHEN dyn < 120 OR mean < 80 THEN 'scanned_heavy' WHEN dyn < 180 OR std > 55 THEN 'scanned_heavy' ELSE 'scanned_light' END AS page_type FROM s)
-    SELECT doc_id, page_type, CASE page_type WHEN 'digital_clean' THEN 150 WHEN 'scanned_light' THEN 200 WHEN 'engineering_drawing' THEN 350 ELSE 300 END AS dpi,
+    SELECT l_orderkey, l_linenumber, page_type, CASE page_type WHEN 'digital_clean' THEN 150 WHEN 'scanned_light' THEN 200 WHEN 'engineering_drawing' THEN 350 ELSE 300 END AS dpi,
     CASE page_type WHEN 'digital_clean' THEN 'skip' WHEN 'scanned_light' THEN 'light' WHEN 'engineering_drawing' THEN 'light' ELSE 'heavy' END AS tier FROM t""",
 )
 def image_route(spark, d):
     r = ocr.route(F.lit(None).cast("string"), F.lit("page.png"), F.expr(_STATS))
-    return table(spark, d, "documents").select("doc_id", r["page_type"].alias("page_type"), r["dpi"].alias("dpi"), r["tier"].alias("tier"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r["page_type"].alias("page_type"), r["dpi"].alias("dpi"), r["tier"].alias("tier"))
 
 
 @query("quantized_vectors")
