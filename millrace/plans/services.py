@@ -177,10 +177,17 @@ def query_tags(spark, d):
     return turns(spark, d).select("qid.conv_id", "qid.turn", F.array_join(T.query_tags("text"), ",").alias("tags"))
 
 
-@query("query_assembly", f"WITH {_TURNS_SQL} SELECT conv_id, turn, md5(trim(q || ' ' || array_to_string(list_slice(boosts, 1, 4), ' '), ' ')) AS lexical_query, len(list_filter(regexp_extract_all(upper(q), '\\b([A-Z]{{1,5}}-\\d{{1,5}}[A-Z]?|[A-Z]{{2,4}}\\d{{2,4}}[A-Z]?)\\b', 1), lambda x: len(x) >= 4)) > 0 OR regexp_matches(q, '\\b(?:[A-Z0-9]{{2,6}}-[A-Z0-9]{{2,6}}|ERR[_-]?[A-Z0-9]+|0x[0-9A-Fa-f]+|E-\\d{{2,4}})\\b') AS tagged FROM bo")
+#: What spoken phrases and codes add to a question, one by one.
+_ADDED_SQL = f"""ph(phrase, code) AS (VALUES {', '.join(f"('{p}', '{c}')" for p, c in ontology.PHRASES)}), un(code, name) AS (VALUES {', '.join(f"('{u[0]}', '{u[1]}')" for u in ontology.UNITS)}),
+mm AS (SELECT conv_id, turn, ph.code AS added FROM bo JOIN ph ON contains(lower(q), phrase) AND NOT contains(upper(q), ph.code)
+    UNION SELECT conv_id, turn, un.name FROM bo JOIN un ON list_contains(regexp_extract_all(upper(q), '\\b([A-Z0-9_-]+)\\b', 1), un.code) AND NOT contains(lower(q), lower(un.name))),
+gg AS (SELECT conv_id, turn, string_agg(added, ' ' ORDER BY added) AS added FROM mm GROUP BY ALL)"""
+
+
+@query("query_assembly", f"WITH {_TURNS_SQL}, {_ADDED_SQL} SELECT conv_id, turn, md5(CASE WHEN added IS NOT NULL THEN q || ' (' || added || ') | ' || dense ELSE dense END) AS dense_query, md5(trim(q || ' ' || array_to_string(list_slice(boosts, 1, 4), ' '), ' ')) AS lexical_query, len(list_filter(regexp_extract_all(upper(q), '\\b([A-Z]{{1,5}}-\\d{{1,5}}[A-Z]?|[A-Z]{{2,4}}\\d{{2,4}}[A-Z]?)\\b', 1), lambda x: len(x) >= 4)) > 0 OR regexp_matches(q, '\\b(?:[A-Z0-9]{{2,6}}-[A-Z0-9]{{2,6}}|ERR[_-]?[A-Z0-9]+|0x[0-9A-Fa-f]+|E-\\d{{2,4}})\\b') AS tagged FROM bo LEFT JOIN gg USING (conv_id, turn)")
 def query_assembly(spark, d):
     out = fusion.prepare(turns(spark, d), ontology.table(spark, _UNITS))
-    return out.select("qid.conv_id", "qid.turn", F.md5("lexical_query").alias("lexical_query"), "tagged")
+    return out.select("qid.conv_id", "qid.turn", F.md5("dense_query").alias("dense_query"), F.md5("lexical_query").alias("lexical_query"), "tagged")
 
 
 # Synchronisation of documents as files: those of odd ids are known, of them each third with another hash; multiples of 7
