@@ -77,8 +77,9 @@ class Engine:
     # Index.
 
     def readers(self) -> dict:
-        picture = recognition.image_reader(self.ocr)
-        return readers.READERS | {"pdf": recognition.pdf_reader(self.ocr, self.render), **dict.fromkeys(("png", "jpg", "jpeg", "webp"), picture)}
+        """Readers by extension: of pictures other than PNG if the recognition engine decodes them."""
+        kinds = ("png", "jpg", "jpeg", "webp") if hasattr(self.ocr(), "decode") else ("png",)
+        return readers.READERS | {"pdf": recognition.pdf_reader(self.ocr, self.render), **dict.fromkeys(kinds, recognition.image_reader(self.ocr))}
 
     def sync(self, folder: str, force: bool = False) -> dict[str, int]:
         """Brings the index up to date with a folder; answers that are held are forgotten."""

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.commits import Conflict
@@ -28,9 +28,20 @@ from millrace.sources import readers as R
 FILE_TASKS = 10_000
 
 
-def scan(spark: SparkSession, folder: str | list[str]) -> DataFrame:
-    """Files below a folder (or of a list of them) that a reader takes: path, document_id and file_hash."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(is_supported("path"))
+def taken(readers: dict) -> Column:
+    """Whether one of ``readers`` takes the file of a path.  What none takes is neither read nor, if it is known, deleted."""
+    return F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(sorted(readers))
+
+
+def listed(spark: SparkSession, folder: str | list[str], readers: dict | None = None) -> DataFrame:
+    """Files below a folder (or of a list of them) that one of ``readers`` takes; of none, those of a supported kind."""
+    wanted = is_supported("path") if readers is None else taken(readers)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(wanted)
+
+
+def scan(spark: SparkSession, folder: str | list[str], readers: dict | None = None) -> DataFrame:
+    """The listed files with path, document_id and file_hash."""
+    files = listed(spark, folder, readers)
     return files.select("path", document_id("path").alias("document_id"), F.sha2("content", 256).alias("file_hash"))
 
 
@@ -177,18 +188,18 @@ def take(spark: SparkSession, paths: DataFrame, number: int, folder: str, path:
     index = segments.Index(spark, path)
     if index.mark(name) >= number:
         return None
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(is_supported("path")).select("path")
+    there = listed(spark, folder, readers).select("path")
     known = registry_of(index.view())
     few = [r[0] for r in paths.limit(segments.NAMED + 1).collect()]  # more are hashed among all that are there
-    new = scan(spark, few) if 0 < len(few) <= segments.NAMED else scan(spark, folder).join(paths, "path", "left_semi")
+    new = scan(spark, few, readers) if 0 < len(few) <= segments.NAMED else scan(spark, folder, readers).join(paths, "path", "left_semi")
     same = known.join(paths, "path", "left_anti").join(there, "path", "left_semi").select("path", "document_id", "file_hash")
-    return _apply(spark, index, known, registry.compare(new.unionByName(same), known), path, embedder, readers, (name, number))
+    return _apply(spark, index, known, registry.compare(new.unionByName(same), known.where(taken(readers))), path, embedder, readers, (name, number))
 
 
 def _sync(spark: SparkSession, folder: str, path: str, embedder, readers: dict, force: bool) -> dict[str, int]:
     index = segments.Index(spark, path)
     known = registry_of(index.view())
-    return _apply(spark, index, known, registry.compare(scan(spark, folder), known, force=force), path, embedder, readers)
+    return _apply(spark, index, known, registry.compare(scan(spark, folder, readers), known.where(taken(readers)), force=force), path, embedder, readers)
 
 
 def _apply(spark: SparkSession, index: segments.Index, known: DataFrame, compared: DataFrame, path: str, embedder, readers: dict, mark: tuple[str, int] | None = None) -> dict[str, int]:

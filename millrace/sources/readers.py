@@ -5,6 +5,7 @@ Each reader takes (path, bytes) and yields record rows; files are spread over th
 
 from __future__ import annotations
 
+import csv
 import html
 import io
 import re
@@ -139,8 +140,22 @@ def read_text(path: str, data: bytes) -> Iterator[dict]:
         yield record(path, 0, text)
 
 
+def read_csv(path: str, data: bytes) -> Iterator[dict]:
+    """A record of the headers, and one a row that has a value, as of a sheet."""
+    rows = list(csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"))))
+    rows = [(n, [c.strip() for c in r]) for n, r in enumerate(rows, 1) if any(c.strip() for c in r)]
+    if not rows:
+        return
+    name, headers, k = path.rsplit("/", 1)[-1], rows[0][1], 0
+    yield record(path, k, f"[Dataset: {name} | Schema Headers]\n{' | '.join(h for h in headers if h)}", is_table=True)
+    for n, row in rows[1:]:
+        k += 1
+        cells = [f"{(headers[c] if c < len(headers) else '') or f'Column {c + 1}'}: {v}" for c, v in enumerate(row) if v]
+        yield record(path, k, f"[Dataset: {name} | Row {n}]\n{' | '.join(cells)}", location=f"Row {n}", is_table=True)
+
+
 READERS: dict[str, Callable[[str, bytes], Iterator[dict]]] = {
-    "docx": read_docx, "xlsx": read_xlsx, "pptx": read_pptx, "dwg": read_drawing, "dxf": read_drawing, "html": read_html, "htm": read_html, "txt": read_text, "md": read_text,
+    "docx": read_docx, "xlsx": read_xlsx, "pptx": read_pptx, "dwg": read_drawing, "dxf": read_drawing, "html": read_html, "htm": read_html, "txt": read_text, "md": read_text, "csv": read_csv,
 }
 
 

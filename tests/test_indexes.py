@@ -123,3 +123,18 @@ def test_sketches_merge(spark):
     assert kept.count() == 3
     whole = sketches.merged(kept, [], 3).first()
     assert abs(whole["distinct"] - 1501) <= sketches.ERROR * 1501 + 1 and (whole["top"][0]["item"], whole["top"][0]["count"]) == ("common", 1500)
+
+
+def test_files_without_a_reader_are_not_listed(spark, tmp_path):
+    from millrace.sources import readers
+
+    folder = tmp_path / "f"
+    folder.mkdir()
+    (folder / "t.csv").write_text("\ufeffTag,Limit\nPT-1,5 bar\n,\nPT-2,,odd\n", encoding="utf-8")
+    (folder / "n.md").write_text("# Notes")
+    (folder / "p.jpg").write_bytes(b"x")
+    (folder / "x.bin").write_bytes(b"x")
+    index = str(tmp_path / "i")
+    assert sync.sync(spark, str(folder), index, MockEmbedder(8)) | {} == {"indexed": 2, "updated": 0, "skipped": 0, "deleted": 0, "failed": 0, "empty": 0, "ocr_processed": 0, "ocr_failed": 0}
+    texts = [r["text"] for r in readers.read_csv("/a/t.csv", (folder / "t.csv").read_bytes())]
+    assert texts == ["[Dataset: t.csv | Schema Headers]\nTag | Limit", "[Dataset: t.csv | Row 2]\nTag: PT-1 | Limit: 5 bar", "[Dataset: t.csv | Row 4]\nTag: PT-2 | Column 3: odd"]
