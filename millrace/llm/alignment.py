@@ -30,6 +30,8 @@ from millrace.llm.storage import frees_shuffles, get, scope, shared_folder, writ
 MARKS, LETTERS = ".,;:!?", "A-Za-zÀ-ÖØ-öø-ɏ"
 #: White space that isn't a space or a line feed; stretches that are encoded together.
 _RARE, TOGETHER = re.compile(f"[\t\v\f\r{WIDE_SPACE}]"), 512
+#: Bytes of text of a chunk: the larger, the fewer rows for stretches that many chunks have.
+CHUNK_BYTES = 12 << 20
 #: Pairs of ids that may be broadcast, of 33 bytes each.
 PAIRS = 1 << 20
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -306,7 +308,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "d
     spark, pattern = docs.sparkSession, cuts(_both(a_path, b_path)[1].pieces)
     told_at, pairs_at = (shared_folder(spark, f"alignment-{n}") for n in ("told", "pairs"))
     with frees_shuffles(spark):
-        folder, listed, _, tasks = C.stage(docs, id_col, text_col, "alignment-chunks")
+        folder, listed, _, tasks = C.stage(docs, id_col, text_col, "alignment-chunks", CHUNK_BYTES)
         found = listed.repartition(tasks, "chunk").mapInArrow(_found(folder, pattern), "chunk long, file string, k int, u string, n long")
         found = written(found, "alignment-stretches")
         with scope(spark):  # tokens and links go when the sums of stretches are written
@@ -330,7 +332,8 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "d
             told.write.parquet(told_at)
             told = spark.read.schema(told.schema).parquet(told_at)
     each = found.select("chunk", "file", "k", "u").join(told, "u", "left").drop("u")
-    rows = each.groupBy("chunk").applyInArrow(_documents(folder, pattern, digest), f"id long, {', '.join(f'{c} long' for c in _SUMS)}, groups string")
+    # As many tasks as there are chunks, so that what one reads doesn't grow with the corpus.
+    rows = each.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(_documents(folder, pattern, digest), f"id long, {', '.join(f'{c} long' for c in _SUMS)}, groups string")
     return rows, pairs
 
 

@@ -24,7 +24,7 @@ from millrace.llm.wordhash import split_texts
 CHUNK_BYTES, CHUNK_DOCS, SHARD, SHARDS, TASKS = 6 << 20, 1 << 12, 3_000_000, 1 << 23, 1 << 17
 
 
-def stage(docs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[str, DataFrame, int, int]:
+def stage(docs: DataFrame, id_col: str, text_col: str, name: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[str, DataFrame, int, int]:
     """Writes ``docs`` as chunk files and returns their folder, their list (``chunk`` number, ``file``), and how many
     shards and tasks a pass should have.  A chunk has its documents in id order, null ids first."""
     folder = shared_folder(docs.sparkSession, name)
@@ -46,7 +46,7 @@ def stage(docs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[str,
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), split_texts(b.column(1)), strict=True):
-                if held and (size + len(t or b"") > CHUNK_BYTES or len(held) == CHUNK_DOCS):
+                if held and (size + len(t or b"") > chunk_bytes or len(held) == CHUNK_DOCS):
                     yield save()
                     held, size = [], 0
                 held.append((i, t))
