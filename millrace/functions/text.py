@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words with at most one inner hyphen; other letters than ASCII part words.
+#: Fixed pattern of tokens: words with at most one inner hyphen; other letters than ASCII part words.
 TOKEN = r"([a-z0-9]+(?:-[a-z0-9]+)?)"
 #: Fixed greetings.
 GREETINGS = [
