@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.vectors import cosine
 from millrace.operators.lexical import ranked
+from millrace.operators.nearest import PRODUCTS, TASKS
 
 #: Bytes of questions that go to all codes at once; more questions are taken in several passes of that size.
 QUESTION_BYTES = 16 << 20
@@ -93,30 +94,50 @@ def search(index: Codes, queries: DataFrame, k: int, exact: bool = True, over: i
 
 
 def _near(index: Codes, qids: list, questions: np.ndarray, kind: str, k: int, exact: bool, over: int) -> DataFrame:
-    """Bounds (qid, doc, low, high) of what each batch of codes could bring among the first."""
+    """Bounds (qid, doc, low, high) of what each task's codes could bring among the first; few products are held at once."""
     q_codes, q_scale, q_error = _codes(questions)
     dim = index.dim
     whole = np.float32 if dim * 127 * 127 < 1 << 24 else np.float64  # products of codes are whole numbers: exact in either
     q = q_codes.astype(whole).T
 
+    n, m = len(qids), k if exact else over * k
+    step, ids = max(64, PRODUCTS // max(1, n)), pa.array(qids)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), dtype=np.int8).reshape(-1, dim)
-            scale, error = b.column("scale").to_numpy(), b.column("error").to_numpy()
-            score = (codes.astype(whole) @ q).astype(float) * scale[:, None] * q_scale
-            slack = error[:, None] + q_error * (1 + error[:, None]) + SLACK
-            score[scale == 0] = -np.inf
-            low, high = score - slack, score + slack
-            if exact:
-                floor = np.partition(low, -k, axis=0)[-k] if len(low) > k else np.full(low.shape[1], -np.inf)
-                keep = (high >= floor) & np.isfinite(score)
-            else:
-                n = min(over * k, len(score))
-                floor = np.partition(score, -n, axis=0)[-n]
-                keep = (score >= floor) & np.isfinite(score)
-            row, col = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array([qids[c] for c in col.tolist()]), b.column("doc").take(pa.array(row)), pa.array(low[row, col]), pa.array(high[row, col])], ["qid", "doc", "low", "high"])
-
-    return index.codes.select("doc", "codes", "scale", "error").mapInArrow(run, f"qid {kind}, doc {index.codes.schema['doc'].dataType.simpleString()}, low double, high double")
+        # What the m-th best vector of the task has at least, a question, and what may be among them.
+        best, held = np.full((n, m), -np.inf), []
+
+        def cut() -> None:
+            if not held:
+                return
+            col, low, high = (np.concatenate([h[i] for h in held]) for i in range(3))
+            keep = np.flatnonzero((high if exact else low + high) >= best.min(axis=1)[col])
+            held[:] = [(col[keep], low[keep], high[keep], pa.concat_arrays([h[3] for h in held]).take(pa.array(keep)))]
+
+        size = 0
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, step):
+                b = whole_batch.slice(at, step)
+                codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), dtype=np.int8).reshape(-1, dim)
+                scale, error = b.column("scale").to_numpy(), b.column("error").to_numpy()
+                score = (q.T @ codes.astype(whole).T).astype(float) * scale * q_scale[:, None]
+                slack = error + q_error[:, None] * (1 + error) + SLACK
+                score[:, scale == 0] = -np.inf
+                low, high = score - slack, score + slack
+                told = low if exact else low + high
+                keep = ((high if exact else told) >= best.min(axis=1)[:, None]) & np.isfinite(score)
+                if np.count_nonzero(keep) > m * n:  # what is known already leaves much
+                    best = np.partition(np.concatenate([best, told], axis=1), -m, axis=1)[:, -m:]
+                    keep &= (high if exact else told) >= best.min(axis=1)[:, None]
+                col, row = np.nonzero(keep)
+                held.append((col, low[col, row], high[col, row], b.column("doc").take(pa.array(row))))
+                size += len(col)
+                if size > PRODUCTS:
+                    cut()
+                    size = len(held[0][0]) // 2  # what stays doesn't cause a cut by itself
+        cut()
+        for col, low, high, doc in held:
+            for at in range(0, len(col), 100_000):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(col[at : at + 100_000])), doc.slice(at, 100_000), pa.array(low[at : at + 100_000]), pa.array(high[at : at + 100_000])], ["qid", "doc", "low", "high"])
+
+    return index.codes.select("doc", "codes", "scale", "error").coalesce(TASKS).mapInArrow(run, f"qid {kind}, doc {index.codes.schema['doc'].dataType.simpleString()}, low double, high double")
