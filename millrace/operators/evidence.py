@@ -126,8 +126,10 @@ def corroborating(hits: DataFrame) -> DataFrame:
 def evidence_answer(hits: DataFrame) -> DataFrame:
     """The answer without a model: the first document and page, the opening of its text, the documents that agree."""
     first = F.min_by(F.struct("filename", "page_number", F.substring(F.trim("text"), 1, 1200).alias("text")), "place")
-    best = hits.groupBy("qid").agg(first.alias("f"), confidence(F.max(F.when(F.col("place") == 1, F.col("score")))).alias("confidence"))
-    out = best.join(corroborating(hits), "qid", "left")
+    top = confidence(F.max(F.when(F.col("place") == 1, F.col("score")))).alias("confidence")
+    best = hits.groupBy("qid").agg(first.alias("f"), top, F.collect_set("filename").alias("names"))
+    others = F.array_sort(F.array_except("names", F.array("f.filename")))  # as ``corroborating`` has them, from one pass over the hits
+    out = best.withColumn("others", F.when((F.size(others) > 0) & F.col("f.filename").isNotNull(), others))
     more = F.when(F.col("others").isNotNull(), F.concat(F.lit("Also in: "), F.array_join("others", ", ")))
     text = F.concat_ws("\n", F.concat(F.lit("From "), F.col("f.filename"), F.lit(", page "), F.col("f.page_number")), F.col("f.text"), more)
     return out.select("qid", text.alias("answer"), F.coalesce("others", F.array().cast("array<string>")).alias("others"), "confidence")

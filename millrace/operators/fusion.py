@@ -32,7 +32,8 @@ def fuse(dense: DataFrame, sparse: DataFrame, questions: DataFrame, k: int) -> D
     dw, bw = weights(F.col("tagged"))
     d = dense.select("qid", "doc", F.col("score").alias("dense"), F.lit(None).cast("double").alias("bm25"), F.col("rank"))
     s = sparse.select("qid", "doc", F.lit(None).cast("double").alias("dense"), F.col("score").alias("bm25"), F.col("rank"))
-    both = d.unionByName(s).join(questions.select("qid", "tagged"), "qid")
+    # Dealt out here: adaptive execution may give both sides of the union other partitions than it has said.
+    both = d.unionByName(s).repartition("qid").join(questions.select("qid", "tagged"), "qid")
     part = F.when(F.col("dense").isNotNull(), dw).otherwise(bw) / (RRF_K + F.col("rank"))
     found = both.groupBy("qid", "doc", "tagged").agg(
         F.max("dense").alias("dense"), F.max("bm25").alias("bm25"), F.sum(part).alias("rrf"), F.min(F.when(F.col("dense").isNotNull(), F.col("rank"))).alias("d_rank"), F.min("rank").alias("s_rank")
@@ -82,7 +83,8 @@ def retrieve(index, vectors: DataFrame, chunks: DataFrame, questions: DataFrame,
     questions = questions.where(F.length(F.trim("text")) > 0)
     if "tagged" not in questions.columns:
         questions = questions.withColumn("tagged", asks_exactly("text"))
-    near = D.search(vectors, questions, 2 * k, "doc", "embedding", criteria)
+    # A question without a vector has no dense hits: rows without a score would take places of lexical ones.
+    near = D.search(vectors, questions.where("vector IS NOT NULL"), 2 * k, "doc", "embedding", criteria)
     kept = chunks.where(D.matches(chunks, criteria)).select("doc") if criteria and prefilter else None
     if kept is not None and not isinstance(index, View):
         index = L.Index(index.postings.join(kept, "doc", "left_semi"), index.lengths, index.stats)
