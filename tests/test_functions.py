@@ -55,3 +55,37 @@ def test_routes(spark):
     r = one(spark, ocr.route(F.col("t"), F.col("n"), none), t="w" * 60, n="x.png")
     assert (r["page_type"], r["skip_ocr"], r["dpi"]) == ("digital_clean", True, 150)
     assert one(spark, ocr.route(F.col("t"), F.col("n"), none), t="", n="unit_pid.png")["tier"] == "light"
+
+
+def test_repairs_compute_a_text_once(spark):
+    """A step names the text before it several times; each of them was computed again for every name."""
+    from millrace.operators import layout, recognition
+
+    def searches(c) -> int:
+        plan = spark.createDataFrame([("a",)], "t string").select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("regexp_extract_all(")
+
+    assert searches(ocr.repair(F.col("t"), F.lit(0.9))) == 3
+    found = F.from_json("t", recognition.LAYOUT)
+    assert searches(recognition.repaired(found)["blocks"]) == 3
+    boxes = F.from_json("t", "array<struct<x1:double,y1:double,x2:double,y2:double,text:string,score:double>>")
+    assert searches(layout.table(boxes)) == 1
+
+
+def test_guards_leave_no_match_out(spark):
+    """What is looked at before a rule is a part of every match of it, in any case and with any white space."""
+    import re
+
+    units = ["BAR ( g )", "Bar", "KPA", "mPa", "PSIA", "psiG", "° C", "DEG c", "Degree C", "M3/H", "NM3/h", "l/MIN", "VDC", "vAC", "4 - 20 MA", "Rpm", "MM/s", "PPM (v)", "ppm(W)", "PPM", "WT %"]
+    for text, part, (pattern, unit) in zip(units, ocr.UNIT_PARTS, ocr.UNITS, strict=True):
+        assert re.fullmatch(f"(?i){pattern}", text) and part in text.lower(), text
+    for cell, pattern in zip(["24 v0C", "12o vac", "23O VAC", "4 - 2o MA", "BAR (G)"], [p for p, _ in ocr.CELL_RULES], strict=True):
+        assert re.fullmatch(f"(?i){pattern}", cell) and re.search(ocr.CELL_PARTS, cell), cell
+    for prefix in ocr.PREFIXES.split("|"):
+        assert all(re.match(ocr.TAG_AHEAD, prefix + sep + body) for sep in ("", "-", " ") for body in ("lO", "1234I"))
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate([*units, None, "", "xpsiadeg c PT lO 24V0C|FV-|l"])], "k int, t string")
+    plain = F.col("t")
+    for pattern, unit in ocr.UNITS:
+        plain = F.regexp_replace(plain, f"(?i){pattern}", unit)
+    assert all(r["a"] == r["b"] for r in rows.select(ocr.normalize_units("t").alias("a"), plain.alias("b")).collect())
+    assert rows.select(ocr.clean_cell("t").alias("c")).collect()[-1]["c"] == "xpsiadeg c PT-10 24 VDC|FV-11"
