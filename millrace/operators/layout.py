@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions.ocr import clean_cell
+from millrace.functions.text import bound
 
 
 def _middle(values: Column) -> Column:
@@ -34,26 +35,21 @@ def _rows(boxes: Column, tolerance: Column, running_mean: bool) -> Column:
     return F.transform(done, lambda r: F.array_sort(r))
 
 
-def _bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once: inside a lambda an outer expression is computed for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def lines(boxes: Column, least: float = 0.65) -> Column:
     """The text of a page: confident boxes in rows, cells of a row left to right with " | " between."""
 
     def joined(good: Column) -> Column:
         tolerance = F.greatest(_middle(F.transform(good, lambda b: F.abs(b["y2"] - b["y1"]))) * 0.4, F.lit(10.0))
         text = lambda rows: F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: c["text"]), " | ")), "\n")
-        return _bound(tolerance, lambda t: text(_rows(good, t, True)))
+        return bound(tolerance, lambda t: text(_rows(good, t, True)))
 
-    return _bound(F.filter(boxes, lambda b: (b["score"] >= least) & (F.trim(b["text"]) != "")), joined)
+    return bound(F.filter(boxes, lambda b: (b["score"] >= least) & (F.trim(b["text"]) != "")), joined)
 
 
 def table(boxes: Column, min_columns: int = 2, min_rows: int = 2) -> Column:
     """is_table, rows of repaired cells, csv_text, num_rows, num_cols; a table has two rows of two cells at least."""
     tolerance = F.greatest(F.coalesce(_middle(F.transform(boxes, lambda b: b["y2"] - b["y1"])), F.lit(20.0)) * 0.5, F.lit(8.0))
-    rows = _bound(tolerance, lambda t: F.transform(_rows(boxes, t, False), lambda r: F.transform(r, lambda c: clean_cell(c["text"]))))
+    rows = bound(tolerance, lambda t: F.transform(_rows(boxes, t, False), lambda r: F.transform(r, lambda c: clean_cell(c["text"]))))
 
     def described(rows: Column) -> Column:
         is_table = (F.size(rows) >= min_rows) & (F.size(F.filter(rows, lambda r: F.size(r) >= min_columns)) >= min_rows)
@@ -61,4 +57,4 @@ def table(boxes: Column, min_columns: int = 2, min_rows: int = 2) -> Column:
         csv = F.array_join(F.transform(kept, lambda r: F.array_join(F.transform(r, lambda c: F.trim(c)), " | ")), "\n")
         return F.struct(is_table.alias("is_table"), kept.alias("rows"), csv.alias("csv_text"), F.size(kept).alias("num_rows"), F.coalesce(F.array_max(F.transform(kept, lambda r: F.size(r))), F.lit(0)).alias("num_cols"))
 
-    return _bound(rows, described)
+    return bound(rows, described)

@@ -89,3 +89,9 @@ def test_guards_leave_no_match_out(spark):
         plain = F.regexp_replace(plain, f"(?i){pattern}", unit)
     assert all(r["a"] == r["b"] for r in rows.select(ocr.normalize_units("t").alias("a"), plain.alias("b")).collect())
     assert rows.select(ocr.clean_cell("t").alias("c")).collect()[-1]["c"] == "xpsiadeg c PT-10 24 VDC|FV-11"
+
+
+def test_substitute_keeps_marks(spark):
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(["a1b22", "1", "", None, "x\x01y1z", "11\x01", "\x01"])], "k int, t string")
+    got = rows.orderBy("k").select(text.substitute(F.col("t"), "[0-9]", lambda m: F.concat(F.lit("<"), m, F.lit(">"))).alias("r")).collect()
+    assert [r["r"] for r in got] == ["a<1>b<2><2>", "<1>", "", None, "x\x01y<1>z", "<1><1>\x01", "\x01"]
