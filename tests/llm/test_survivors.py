@@ -35,6 +35,10 @@ def test_ids_of_boxes_outside_articles_count():
     assert Page('<body><div id="comments">Gone</div><div id="comments-on-method">Kept words</div></body>').text(set()) == "Kept words"
 
 
+def test_ids_of_sections_outside_articles_count_for_comments():
+    assert Page('<body><h1>Title</h1><section id="comments"><article>Gone</article></section><section id="related"><p>Kept words</p></section></body>').text(set()) == "Title\n\nKept words"
+
+
 KEPT = [
     "The design in question won the prize that year.", "She keeps a catalog in the back office.", "He wrote a blog in the evenings.", "Their design up to then was rejected by every board.",
     "The newsletter reached its readers in May of that year.", "| Tag | Limit | Unit | Note |", "|---a|---b|---c|---d|", "You sign in at the desk and wait there.", "Read more books than you write, she said.", "A cookie policy was all they talked about.",
