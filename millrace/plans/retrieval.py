@@ -148,7 +148,7 @@ _Q = f"q2 AS (SELECT doc_id AS qid, array_to_string(list_slice(w, 2, 6), ' ') AS
 
 def top_hits(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text", "source", "lang")
-    return sparse(spark, d, K).join(docs, "doc").join(F.broadcast(questions(spark, d).withColumnRenamed("text", "question")), "qid")
+    return L.with_documents(sparse(spark, d, K).join(questions(spark, d).withColumnRenamed("text", "question"), "qid"), docs)
 
 
 @query(

@@ -3,10 +3,12 @@
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from support import DATA
 
 from millrace.functions.vectors import cosine
 from millrace.operators import dense, fusion, lexical, nearest, quantized, segments, sync
 from millrace.operators.lexical import ranked
+from millrace.plans import retrieval
 
 
 def vectors(spark, n=600, dim=8):
@@ -76,6 +78,25 @@ def test_lexical_search_in_blocks(spark, monkeypatch):
     assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] == 2  # not a row for each copy
 
 
+def test_hits_go_to_their_documents(spark, monkeypatch):
+    """The texts of all documents were shuffled for those of the hits."""
+    docs = spark.createDataFrame([(d, f"t{d}" if d % 5 else None) for d in range(60)], "doc long, text string").repartition(3)
+    hits = spark.createDataFrame([(q, (q * r) % 65, r) for q in range(20) for r in range(4)], "qid long, doc long, rank int").distinct()
+    plain = sorted(hits.join(docs, "doc").select("qid", "doc", "rank", "text").collect(), key=str)
+    for at_once in (lexical.HITS, 7):
+        monkeypatch.setattr(lexical, "HITS", at_once)
+        found = lexical.with_documents(hits, docs)
+        assert sorted(found.select("qid", "doc", "rank", "text").collect(), key=str) == plain
+    # Also where Spark doesn't know that the hits are few.
+    monkeypatch.setattr(lexical, "HITS", 250_000)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "SortMergeJoin" not in retrieval.top_hits(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_a_question_without_a_vector_keeps_its_lexical_hits(spark):
     """Vectors without a score took places among the first 3 k."""
     docs = spark.createDataFrame([(d, "pump " * (1 + d % 7) + "x " * d, f"f{d}.txt", "", "Active", 1) for d in range(40)], "doc long, text string, filename string, location string, revision string, page_number int")
