@@ -1,5 +1,7 @@
 """What tasks hold and hand on stays bounded, and results are those of the plain way."""
 
+import html
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from millrace.functions.vectors import cosine
 from millrace.operators import dense, fusion, lexical, nearest, quantized, segments, sync
 from millrace.operators.lexical import ranked
 from millrace.plans import retrieval
+from millrace.sources import sinks
 
 
 def vectors(spark, n=600, dim=8):
@@ -60,6 +63,30 @@ def test_records_are_handed_on_by_many(monkeypatch):
     assert len(list(run(iter([files])))) > 50
 
 
+def test_contents_come_to_a_task_by_few(spark, monkeypatch):
+    """A task held thousands of files, however large: the session's batches are bounded, smaller ones stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    schema = sync.to_arrow_schema(sync.StructType.fromDDL(f"{sync.RECORDS}, error string"))
+
+    def sizes(readers, content):
+        return lambda batches: (pa.RecordBatch.from_pylist([{"source": "/d", "text": str(b.num_rows)}], schema) for b in batches)
+
+    monkeypatch.setattr(sync, "_records", sizes)
+    files = spark.range(0, 1000, 1, 1).select(F.concat(F.lit("/d"), "id").alias("path"), F.lit(b"x").alias("content"))
+    try:
+        for most, rows in (("5000", [232, 256, 256, 256]), ("0", [232, 256, 256, 256]), ("400", [232, 256, 256, 256]), ("250", [250] * 4)):
+            spark.conf.set(name, most)
+            assert sorted(int(r["text"]) for r in sync.parse(files)[0].collect()) == rows
+    finally:
+        spark.conf.set(name, held)
+
+
+def test_text_of_office_files_is_cleaned_as_before():
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10400)]))
+    assert sinks._clean(every) == html.escape("".join(c for c in every if c in "\t\n\r" or ord(c) >= 32))
+
+
 def test_lexical_search_in_blocks(spark, monkeypatch):
     """The first k by blocks, tasks and passes are those of all pairs; ties go by document, also among many copies."""
     words = [f"w{x}" for x in np.random.default_rng(2).zipf(1.5, 6000) % 90]
