@@ -509,3 +509,27 @@ def test_shingles_in_several_passes(spark, edge, monkeypatch):
     whole = rows()
     monkeypatch.setattr(D, "BROADCAST_SHINGLES", 15)
     assert rows() == whole
+
+
+def test_words_of_a_chunk_are_cut_once():
+    import re
+
+    from public_tokenizers import path
+
+    from millrace.llm import alignment as A
+
+    class Cut:
+        def __init__(self, pattern):
+            self.pattern, self.seen = re.compile(pattern), []
+
+        def findall(self, text):
+            self.seen.append(text)
+            return self.pattern.findall(text)
+
+    cut = Cut(A.cuts(A.Pieces(path("piece_bpe_32k.model")).pieces))
+    texts = ["so, it is, so, it\nis, so,", None, "", "it  is,\tso, ", "so, ", "end\n", " ", "\n", "x\r y", "漢字 a² é, ½", "is\n it", "ends\u2028", "so,\n\nso,"] * 3
+    different, n, numbers = A._stretches(cut, [None if t is None else t.encode() for t in texts])
+    assert cut.seen.count(" so,") == cut.seen.count(" is,") == 1
+    assert len(set(different.to_pylist())) == len(different)
+    found, want = iter(np.array(different)[numbers].tolist()), [cut.pattern.findall(f" {t}") if t else [] for t in texts]
+    assert [[next(found) for _ in range(k)] for k in n.tolist()] == want and next(found, None) is None

@@ -136,6 +136,30 @@ def test_tokenizer_alignment_of_hard_texts(spark):
     assert {(r["a"], r["b"]): r["n_times"] for r in pairs.collect()} == dict(counts)
 
 
+def test_aligned_texts_are_cut_once(spark, edge, monkeypatch):
+    """The texts' chunk files go when their stretches are counted: rows of documents come from the numbers of those."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from public_tokenizers import path
+
+    from millrace.llm import alignment as A
+
+    staged, stage = [], A.C.stage
+
+    def run(*args):
+        staged.append(stage(*args))
+        return staged[-1]
+
+    monkeypatch.setattr(A.C, "stage", run)
+    texts = documents(spark, edge)
+    docs = spark.read.parquet(f"{edge}/documents.parquet").select("doc_id", "text")
+    found, _ = A.align_tokenizers(docs, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    assert len(staged) == 1 and not Path(urlparse(staged[0][0]).path).exists()
+    want, _ = alignment(list(texts.values()))
+    assert {r["id"]: (r["n_a"], r["n_b"], r["n_links"], r["groups"]) for r in found.collect()} == {d: (a, b, len(links), g) for d, (a, b, g, links) in zip(texts, want, strict=True)}
+
+
 def test_model_beats_its_base_on_held_out_texts(spark):
     held = [r for r in catalog.queries()["op9_lm_scoring"](spark, f"{DATA}/sf0.01").collect() if r["held_out"]]
     assert len(held) > 50 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
