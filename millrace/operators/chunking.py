@@ -83,17 +83,21 @@ def semantic_chunks(docs: DataFrame, doc: str, text: str, size: int = SIZE, over
     return docs.select(F.col(doc).alias("doc"), F.col(text).alias("t")).mapInPandas(run, f"doc {kind}, chunk_index int, chunk string")
 
 
-def block_chunks(records: DataFrame) -> DataFrame:
+def block_chunks(records: DataFrame, blank: bool = False) -> DataFrame:
     """One chunk for each block of each record, with its context line, provenance, tags and measurements.
 
     The current heading is carried forward to the blocks below it; the chunk's id has the record's number, so that
-    rows of one sheet don't share one.
+    rows of one sheet don't share one.  A record without blocks is one by its text.  Blocks without text are left out,
+    unless ``blank``.  Source and ``rec_idx`` must tell records apart, or their blocks mix.
     """
     blocks = records.select("*", F.posexplode_outer("blocks").alias("block_idx", "block"))
-    body = F.coalesce(F.col("block.text"), F.col("text"))
-    blocks = blocks.withColumn("body", body).where(F.length(F.trim("body")) > 0)
+    body = F.when(F.col("block_idx").isNull(), F.col("text")).otherwise(F.col("block.text"))
+    blocks = blocks.withColumn("body", body)
+    told = F.length(F.trim("body")) > 0
+    if not blank:
+        blocks = blocks.where(told)
     at = Window.partitionBy("source", "rec_idx").orderBy("block_idx")
-    head = F.last(F.when(F.col("block.type") == "heading", F.col("body")), ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, 0))
+    head = F.last(F.when((F.col("block.type") == "heading") & told, F.col("body")), ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, 0))
     blocks = blocks.withColumn("section", F.coalesce(head, F.col("section"))).withColumn("class", classify("source"))
     page = F.when(F.col("page_number").isNotNull(), F.concat(F.lit(" | Page "), F.col("page_number").cast("string"))).otherwise("")
     headed = (F.col("block.type") != "heading") | F.col("block.type").isNull()

@@ -98,6 +98,17 @@ def test_readers_and_broken_files(spark, tmp_path):
     assert chunking.block_chunks(records).count() == 6
 
 
+def test_blocks_without_text(spark):
+    from millrace.schemas import RECORDS
+
+    blocks = [{"type": t, "text": x} for t, x in (("heading", "Limits"), ("heading", " "), ("paragraph", None), ("paragraph", "5 bar"))]
+    rows = [{"source": "/x/a.pdf", "filename": "a.pdf", "rec_idx": k, "page_number": 1, "text": "whole page", "blocks": b} for k, b in enumerate((blocks, []))]
+    records = spark.createDataFrame(rows, RECORDS)
+    got = lambda **a: [(r["chunk_index"], r["section"], (r["text"] or "").rpartition("\n")[2]) for r in chunking.block_chunks(records, **a).orderBy("chunk_index").collect()]
+    assert got() == [(0, "Limits", "Limits"), (1, "Limits", "5 bar"), (2, None, "whole page")]
+    assert got(blank=True) == [(0, "Limits", "Limits"), (1, "Limits", " "), (2, "Limits", ""), (3, "Limits", "5 bar"), (4, None, "whole page")]
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
