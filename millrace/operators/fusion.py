@@ -32,8 +32,9 @@ def fuse(dense: DataFrame, sparse: DataFrame, questions: DataFrame, k: int) -> D
     dw, bw = weights(F.col("tagged"))
     d = dense.select("qid", "doc", F.col("score").alias("dense"), F.lit(None).cast("double").alias("bm25"), F.col("rank"))
     s = sparse.select("qid", "doc", F.lit(None).cast("double").alias("dense"), F.col("score").alias("bm25"), F.col("rank"))
-    # Dealt out here: adaptive execution may give both sides of the union other partitions than it has said.
-    both = d.unionByName(s).repartition("qid").join(questions.select("qid", "tagged"), "qid")
+    # Dealt out here: adaptive execution may give both sides of the union other partitions than it has said.  By both
+    # columns, as a dealing by qid alone is left out where both sides say that they have it.
+    both = d.unionByName(s).repartition("qid", "doc").join(questions.select("qid", "tagged"), "qid")
     part = F.when(F.col("dense").isNotNull(), dw).otherwise(bw) / (RRF_K + F.col("rank"))
     found = both.groupBy("qid", "doc", "tagged").agg(
         F.max("dense").alias("dense"), F.max("bm25").alias("bm25"), F.sum(part).alias("rrf"), F.min(F.when(F.col("dense").isNotNull(), F.col("rank"))).alias("d_rank"), F.min("rank").alias("s_rank")

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import chunking, dense, graph, lexical, providers, registry
+from millrace.operators import chunking, dense, fusion, graph, lexical, providers, registry
 from millrace.sources import readers
 from millrace.streaming import streams
 
@@ -109,6 +109,13 @@ def test_blocks_without_text(spark):
     assert got(blank=True) == [(0, "Limits", "Limits"), (1, "Limits", " "), (2, "Limits", ""), (3, "Limits", "5 bar"), (4, None, "whole page")]
 
 
+def test_fused_sides_are_dealt_out(spark):
+    """Both sides say that they lie by question; the plan must not trust that, as they may be read in other parts."""
+    side = lexical.ranked(spark.range(40).selectExpr("id % 4 as qid", "id as doc", "id * 0.1D as score"), ["qid"], [F.desc("score")], 5)
+    found = fusion.fuse(side, side, spark.range(4).selectExpr("id as qid", "false as tagged"), 5)
+    assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 20
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
